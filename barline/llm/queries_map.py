@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import toxicity
+from barline.llm import tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(_remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and their decoding, as digests."""
+    return tokens.encoding_digests(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of every whole text against a budget of 1024 tokens."""
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer files stand on this machine and its workers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts}
 ORACLES: dict[str, str] = {}
