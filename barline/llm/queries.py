@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import queries_map
+from barline.llm import queries_map, queries_native
 
-QUERIES = {**queries_map.QUERIES}
-ORACLES = {**queries_map.ORACLES}
+QUERIES = {**queries_map.QUERIES, **queries_native.QUERIES}
+ORACLES = {**queries_map.ORACLES, **queries_native.ORACLES}
