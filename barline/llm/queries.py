@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import queries_map, queries_native
+from barline.llm import queries_map, queries_native, queries_pairs
 
-QUERIES = {**queries_map.QUERIES, **queries_native.QUERIES}
-ORACLES = {**queries_map.ORACLES, **queries_native.ORACLES}
+QUERIES = {**queries_map.QUERIES, **queries_native.QUERIES, **queries_pairs.QUERIES}
+ORACLES = {**queries_map.ORACLES, **queries_native.ORACLES, **queries_pairs.ORACLES}
