@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import jaccard
+from barline.llm import itq, jaccard
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +12,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component at cosine 0.9."""
+    return itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
+
+
+QUERIES = {"op9_embedding_near_dedup": op9_embedding_near_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 ORACLES: dict[str, str] = {}
