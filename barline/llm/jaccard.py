@@ -388,3 +388,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rooted = by_mark.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("mark", "component_id")
     return profile.join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that lead their group, with all their columns.
+
+    Of rows that share id and text one stays; rows without a shingle all stay.
+    """
+    leads = join(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = leads.groupBy(F.col("doc_id").alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = docs.join(counted, docs[doc_id].eqNullSafe(counted["_lead"])).drop("_lead")
+    again = kept.where("_rows > 1").withColumn("_text", F.sha2(F.col(text), 256)).dropDuplicates([doc_id, "_text"])
+    return kept.where("_rows = 1").drop("_rows").union(again.drop("_rows", "_text"))

@@ -33,8 +33,13 @@ from pyspark.sql import functions as F
 _ADDED = ("block", "release", "due", "slot", "in_mix")
 
 
-def _weights(docs: DataFrame, source: str, weights: Mapping[str, int], default: int) -> DataFrame:
-    """(_source, _a, _rows), one row for each source present with a positive weight."""
+def _weights(docs: DataFrame, source: str, weights: Mapping[str, int] | None, default: int, alpha: float, parts: int) -> DataFrame:
+    """(_source, _a, _rows), one row for each source present."""
+    if weights is None:  # shares in proportion to rows ** alpha
+        counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_rows"))
+        all_ = counts.agg(F.sum(F.pow("_rows", F.lit(alpha))).alias("_all"))  # one row
+        share = F.round(parts * F.pow("_rows", F.lit(alpha)) / F.col("_all"))
+        return counts.join(F.broadcast(all_), F.lit(True)).select("_source", "_rows", F.greatest(F.lit(1), share).cast("long").alias("_a"))
     given = F.lit(default)
     for name, a in weights.items():
         given = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(int(a))).otherwise(given)
@@ -66,12 +71,17 @@ def pattern(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_rows: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with the schedule's columns; sources of weight 0 get no slot."""
+def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, default: int = 1, block_rows: int = 1, alpha: float = 0.7, parts: int = 100, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """``docs`` with the schedule's columns; sources of weight 0 get no slot.
+
+    Without ``weights``, a source's weight is its part, of about ``parts``, in
+    the sources' row counts to the power ``alpha``: large sources get a smaller
+    share than they have of the rows, small ones a larger.
+    """
     docs = docs.drop(*_ADDED)
     columns = docs.columns
     keyed = docs.withColumn("_md5", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).withColumn("_prefix", F.substring("_md5", 1, 3))
-    sources = _weights(docs, source, weights, default)
+    sources = _weights(docs, source, weights, default, alpha, parts)
     slots = pattern(sources)
     # where each (source, prefix) begins in its source
     counts = keyed.groupBy(F.col(source).alias("_source"), "_prefix").agg(F.count(F.lit(1)).alias("_n"))

@@ -1,18 +1,60 @@
-"""A corpus pipeline of four stages over `documents`."""
+"""A corpus pipeline over `documents`: toxic documents go, one document of each
+near-duplicate group stays, sources are mixed to target weights, and what is
+left is encoded.  Each stage works on all that the stage before has kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from barline.llm import jaccard, mixing, shared, tokens, toxicity
+from barline.llm.queries_map import tokenizer_file
+
+#: Score from which a document is toxic.
+TOXIC = 0.7
+#: Sources get shares in proportion to their rows to this power, out of so many parts.
+ALPHA, PARTS = 0.7, 100
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC; the model learns from labels with remainder 0 or 2."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    model = toxicity.fit(docs, labels)
+    return docs.where(toxicity.score_column("text", model) < TOXIC)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group linked at Jaccard 0.75."""
+    return jaccard.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose slot comes before any source has run out: this
+    longest stretch of the schedule has every source at its target share."""
+    return mixing.mix(docs, alpha=ALPHA, parts=PARTS).where("in_mix").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each whole text's ids and their decoding."""
+    return tokens.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 #: A learned score decides the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's rows are written to the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        docs = shared.table(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
