@@ -1,4 +1,6 @@
 """Queries over the driver tables, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from barline.plans import market
+
+QUERIES = {**market.QUERIES}
+ORACLES = {**market.ORACLES}
