@@ -1,5 +1,7 @@
 """SQL of the views that the queries' oracles start from."""
 
+import re
+
 BARS_1D = "bars AS (SELECT o_orderpriority AS sym, o_orderdate AS ts, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, sum(o_totalprice) AS volume FROM orders GROUP BY 1, 2)"
 BARS_15M = "bars15 AS (SELECT event_type AS sym, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, arg_min(1 + value, (ts, event_id)) AS open, max(1 + value) AS high, min(1 + value) AS low, arg_max(1 + value, (ts, event_id)) AS close, sum(value) AS volume FROM events GROUP BY 1, 2)"
 RETURNS = "rets AS (SELECT sym, ts, ret FROM (SELECT sym, ts, 0.01 * ln(close / lag(close) OVER (PARTITION BY sym ORDER BY ts)) AS ret FROM bars) WHERE ret IS NOT NULL)"
@@ -24,3 +26,8 @@ def rolling(expr: str, n: int, least: int, counted: str = "x") -> str:
     """An expression over the last n rows, null under ``least`` values of ``counted``."""
     frame = f"(PARTITION BY sym ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({counted}) OVER {frame} >= {least} THEN {expr.replace('@', frame)} END"
+
+
+def plain_zeros(sql: str) -> str:
+    """Rounded columns without negative zeros, which compare as another value."""
+    return re.sub(r", (\d+)\) AS ", r", \1) + 0.0 AS ", sql)
