@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import shared
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least reachable number of each of n points, for one task's edges."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        after = after[after]
+        if np.array_equal(after, root):
+            return root
+        root = after
+
+
+def stars(edges: list[tuple[bytes, bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """(least node, other node) of each component of one task's edges."""
+    names = sorted({x for edge in edges for x in edge})
+    place = {x: i for i, x in enumerate(names)}
+    a, b = (np.array([place[e[k]] for e in edges], dtype=np.int64) for k in (0, 1))
+    root = forest(len(names), a, b)
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return [names[root[i]] for i in moved], [names[i] for i in moved]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of an edge with the least node that it reaches.
 

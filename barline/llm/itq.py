@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import shared, wordhash
-from barline.llm.components import components
+from barline.llm.components import components, forest
 
 TILE = 512
 #: Bits in which codes may differ, beyond what is expected at the threshold, in deviations.
@@ -95,20 +95,6 @@ def _pairs_inside(starts: np.ndarray, sizes: np.ndarray):
             yield (base + i).ravel(), (base + j).ravel()
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least reachable number of each of n points."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        after = root.copy()
-        np.minimum.at(after, root[a], low)
-        np.minimum.at(after, root[b], low)
-        after = after[after]
-        if np.array_equal(after, root):
-            return root
-        root = after
-
-
 def _scatter(model: Quantiser, buckets: int):
     """Keys of a chunk's codes, packed by bucket; codes close to another's stand for it."""
     tables, width = model.tables, model.width
@@ -173,7 +159,7 @@ def _gather(words: int, most: int):
             ok = _hamming(codes, a, b) <= most
             left.append(a[ok]), right.append(b[ok])  # noqa: B018
         if left:
-            root = _forest(len(marks), np.concatenate(left), np.concatenate(right))
+            root = forest(len(marks), np.concatenate(left), np.concatenate(right))
             moved = np.flatnonzero(root != np.arange(len(marks)))
             yield from _edges(marks[moved], marks[root[moved]])
         for r in held:
@@ -229,7 +215,7 @@ def _small(threshold: float):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         linked = _linked(x, x, threshold)
         np.fill_diagonal(linked, False)
-        root = _forest(len(rows), *np.nonzero(linked))
+        root = forest(len(rows), *np.nonzero(linked))
         return _results(marks, linked @ weight, [(marks[i], marks[r]) for i, r in enumerate(root) if i != r])
 
     def run(batches):
@@ -265,7 +251,7 @@ def _tiles(threshold: float):
         core = np.array([r[3] for r in inner])
         a, b = np.nonzero(linked)
         names = [r[1] for r in outer] + [r[1] for r in inner]
-        root = _forest(len(names), a, b + len(outer))
+        root = forest(len(names), a, b + len(outer))
         return _results(names, np.r_[linked @ (w_in * core), linked.T @ w_out], [(names[i], names[r]) for i, r in enumerate(root) if i != r])
 
     def run(batches):

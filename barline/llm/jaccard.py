@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from barline.llm import counttree as T
 from barline.llm import shared, wordhash
-from barline.llm.components import components
+from barline.llm.components import components, stars
 
 #: Elements in the list of frequent ones (8 bytes each when sent to workers).
 FREQUENT = 1 << 17
 #: Bytes of text that are handled as one chunk, and input bytes for each bucket.
-CHUNK, BUCKET = 8 << 20, 8 << 20
+CHUNK, BUCKET = 4 << 20, 8 << 20
 #: Classes of a block that are indexed together, and of a cluster in one task.
 BLOCK, TILE, HUBS = 1024, 1024, 64
 
@@ -240,8 +240,12 @@ def _block_links(memberships: DataFrame, vectors: DataFrame) -> DataFrame:
     blocks = memberships.where("block is not null").join(vectors, "mark").groupBy("block").agg(F.collect_list(F.struct("mark", "n", "vector")).alias("m"))  # at most BLOCK classes
 
     def run(batches):
+        edges = []
         for batch in batches:
             for i in range(batch.num_rows):
+                if len(edges) > 200_000:
+                    yield _to_batch(stars(edges), "ab")
+                    edges = []
                 members = batch.column(0)[i].values
                 mark, n, vector = (members.field(k).to_pylist() for k in range(3))
                 # a repeated id may bring a class in twice
@@ -251,17 +255,19 @@ def _block_links(memberships: DataFrame, vectors: DataFrame) -> DataFrame:
                     continue
                 sizes = np.array([n[k] for k in use], dtype=np.int64)
                 found = T.links([T.unpack_vector(vector[k], n[k]) for k in use], sizes)
-                if found:
-                    yield _to_batch(([mark[use[a]] for a, _ in found], [mark[use[b]] for _, b in found]), "ab")
+                edges += [(mark[use[a]], mark[use[b]]) for a, b in found]
+        if edges:
+            yield _to_batch(stars(edges), "ab")
 
     return blocks.select("m").mapInArrow(run, "a binary, b binary")
 
 
 def _verify_groups(rows: DataFrame) -> DataFrame:
-    """(a, b): verified links inside each (cluster, tile); rows come sorted by these."""
+    """(a, b, large): each class's verified links inside its (cluster, tile), as stars from the least mark."""
 
     def solve(held):
-        unique = {m: (n, s) for m, n, s in held}
+        large = held[0][3]
+        unique = {m: (n, s) for m, n, s, _ in held}
         marks = sorted(unique)
         sizes = np.array([unique[m][0] for m in marks], dtype=np.int64)
         sets = [np.frombuffer(unique[m][1], dtype="<u8") for m in marks]
@@ -273,22 +279,23 @@ def _verify_groups(rows: DataFrame) -> DataFrame:
 
         found = T.links(vectors, sizes, check)
         if found:
-            yield _to_batch(([marks[a] for a, _ in found], [marks[b] for _, b in found]), "ab")
+            a, b = stars([(marks[i], marks[j]) for i, j in found])
+            yield _to_batch((a, b, [large] * len(a)), ("a", "b", "large"), [pa.binary(), pa.binary(), pa.bool_()])
 
     def run(batches):
         current, held = None, []
         for batch in batches:
-            for cluster, tile, mark, n, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for cluster, tile, mark, n, s, large in zip(*(c.to_pylist() for c in batch.columns)):
                 if (cluster, tile) != current and held:
                     yield from solve(held)
                     held = []
                 current = cluster, tile
-                held.append((mark, n, s))
+                held.append((mark, n, s, large))
         if held:
             yield from solve(held)
 
-    dealt = rows.select("cluster", "tile", "mark", "n", "elements").repartition("cluster", "tile").sortWithinPartitions("cluster", "tile")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    dealt = rows.select("cluster", "tile", "mark", "n", "elements", "large").repartition("cluster", "tile").sortWithinPartitions("cluster", "tile")
+    return dealt.mapInArrow(run, "a binary, b binary, large boolean")
 
 
 def _hub_links(sets: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -376,9 +383,12 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     placed = clusters.join(counts, "cluster").select("mark", "cluster", F.when(F.col("m") <= TILE, 0).otherwise(F.pmod(F.xxhash64("mark"), tiles)).cast("int").alias("tile"), (F.col("m") > TILE).alias("large"))
     sets = shared.table(_with_texts(docs, firsts.join(placed, "mark"), doc_id, text, "elements binary", lambda keys, n: keys.astype("<u8").tobytes(), ("cluster", "tile", "large")).dropDuplicates(["mark"]), "sets")
     links = shared.table(_verify_groups(sets), "links")
+    # a whole cluster's stars are its components; tiles' stars are joined first
+    roots = links.where("not large").select(F.col("b").alias("mark"), F.col("a").alias("root"))
     if sets.where("large").limit(1).count():
-        links = _large_clusters(sets.where("large"), links)
-    return profile, components(links).select(F.col("node").alias("mark"), "root")
+        joined = components(_large_clusters(sets.where("large"), links.where("large").select("a", "b")))
+        roots = roots.union(joined.select(F.col("node").alias("mark"), "root"))
+    return profile, roots
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,8 +14,10 @@ import pyarrow as pa
 #: An odd multiplier and its inverse modulo 2**64, for position-free window sums.
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Texts are handled in slices of about this many bytes, which bounds memory.
+#: Texts are handled in slices of about this many bytes; inside, hashes are
+#: worked out over a quarter of that at a time, which bounds memory.
 SLICE_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -36,7 +38,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, STEP_BYTES + 1)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
@@ -78,6 +80,14 @@ def words(texts: pa.Array, separators: np.ndarray | None = None, prefixes: tuple
     lo, hi = int(offsets[0]), int(offsets[-1])
     if hi == lo:
         return none
+    if hi - lo > STEP_BYTES and n > 1:
+        steps = [(at, words(part, separators, prefixes)) for at, part in slices(texts, STEP_BYTES)]
+        rows = np.concatenate([w[0] + at for at, w in steps])
+        hashes = np.concatenate([w[1] for _, w in steps])
+        if not prefixes:
+            return rows, hashes
+        base = np.cumsum([0] + [int(w[2][-1]) + 1 if len(w[2]) else 0 for _, w in steps])
+        return rows, hashes, np.concatenate([w[2] + b for (_, w), b in zip(steps, base)]), [np.concatenate([w[3][k] for _, w in steps]) for k in range(len(prefixes))]
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=hi)[lo:]
     bounds = offsets - lo
     if texts.null_count:  # a null's bytes, if any, are not text
@@ -98,7 +108,10 @@ def words(texts: pa.Array, separators: np.ndarray | None = None, prefixes: tuple
     last[cuts[cuts > 0] - 1] = inside[cuts[cuts > 0] - 1]
     ends = np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers("up", _BASE, len(data)), out=sums[1:])
+    value = _BYTE[data]
+    value *= _powers("up", _BASE, len(data))
+    np.cumsum(value, out=sums[1:])
+    del value
     span = (sums[ends] - sums[starts]) * _powers("down", _INVERSE, len(data) + 1)[starts]
     hashes = mix(span + mix((ends - starts).astype(np.uint64), 3))
     rows = np.searchsorted(bounds, starts, side="right") - 1
