@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from barline.llm import wordhash
 
 START, END = (np.uint64(0x53746172745F5F31), np.uint64(0x456E645F5F5F5F32))
-#: Text bytes of a chunk; input bytes for each bucket; buckets of one context.
-CHUNK, BUCKET, SPREAD = 8 << 20, 16 << 20, 8
+#: Text bytes of a chunk; text bytes for each bucket; buckets of one context.
+CHUNK, BUCKET, SPREAD = 8 << 20, 64 << 20, 8
 _ROW = "bucket int, chunk long, train binary, v binary, vn binary, w binary, wn binary, doc binary, info binary"
 _FIGURES = ("raw", "before", "after", "n1", "n2", "n3")
 _TOTALS = ("tokens", "words", "kinds", "m1", "m2", "m3", "m4", "c1", "c2", "c3", "c4")
@@ -252,7 +252,7 @@ def _shard(rows: list[dict], answers: list[dict], word_buckets: int):
 def _plan(docs: DataFrame, train: str, doc_id: str, text: str):
     """(dealt pairs, answers with totals, number of word buckets)."""
     kind = dict(docs.dtypes)[doc_id]
-    size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(max(12, min(size // BUCKET, 1 << 20)))
     dealt = docs.select(F.col(doc_id), F.col(train).cast("boolean"), F.col(text)).mapInArrow(_scatter(buckets, kind), _ROW).repartition(buckets, "bucket")
     asked = dealt.sortWithinPartitions("bucket").mapInArrow(_ask(buckets), "home int, bucket int, words binary, figures binary, coc binary")
