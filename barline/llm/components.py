@@ -1,8 +1,9 @@
-"""Connected components of an edge table, by joins and grouped minima."""
+"""Connected components of an edge table, by forests of dealt edges and joins."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,30 +34,73 @@ def stars(edges: list[tuple[bytes, bytes]]) -> tuple[list[bytes], list[bytes]]:
     return [names[root[i]] for i in moved], [names[i] for i in moved]
 
 
+#: Edges that a task holds before it reduces them to a forest.
+HELD = 500_000
+
+
+def _merge(batches):
+    """(a, b, again): a task's edges (a < b, dealt by b) as stars; ``again`` if
+    some b has edges to several nodes, which other tasks must then hear of."""
+    held, parent, again = set(), {}, False
+
+    def reduced():
+        low, other = stars(list(held))
+        return set(zip(low, other))
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for edge in zip(*(c.to_pylist() for c in batch.columns)):
+            again = again or parent.setdefault(edge[1], edge[0]) != edge[0]
+            held.add(edge)
+        if len(held) > HELD:
+            held = reduced()
+    if held:
+        low, other = zip(*reduced())
+        for at in range(0, len(low), 10_000):
+            a, b = (pa.array(x[at : at + 10_000], kind) for x in (low, other))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array([again] * len(a))], names=["a", "b", "again"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of an edge with the least node that it reaches.
 
-    Rounds of two steps, both by grouped minima with map-side combination:
-    every node takes the least root among its neighbours', and its root's root.
-    Each round's table is written to the shared folder.  Long chains halve
-    every round.  Nodes may be of any ordered type; loops and repeated edges
-    do no harm, edges with a null end are left out.
+    Edges are dealt by their larger end, so no root gathers rows, and each task
+    gives back the stars of its edges' forest.  A node that then has edges to
+    several smaller ones makes another round; from the third on, edges move up
+    to their smaller end's smaller neighbour between rounds, so that long chains
+    halve.  When every node has one edge to a smaller one, these are followed
+    to the roots by joins.  Each round's table is written to the shared folder.
+    Nodes may be of any ordered type; loops and repeated edges do no harm, edges
+    with a null end are left out.
     """
-    both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = shared.table(both.union(both.select("b", "a")).distinct(), "edges")
-    labels = shared.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    for _ in range(most_rounds):
-        # the least root among the neighbours, given to the node and to its root
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        seen = labels.join(near, "node").select("node", "root", F.least("root", "r").alias("r"))
-        hooks = seen.select("node", "r").union(seen.select(F.col("root").alias("node"), "r")).groupBy("node").agg(F.min("r").alias("hook"))
-        hooked = labels.join(hooks, "node").select("node", F.col("root").alias("old"), F.least("root", "hook").alias("root"))
-        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = shared.table(hooked.join(up, "root", "left").select("node", "old", F.coalesce("up", "root").alias("root")), "labels")
-        moved = after.where("root <> old").limit(1).count()
-        shared.drop(labels)
-        labels = after.select("node", "root")
-        if not moved:
-            shared.drop(both)
-            return labels
-    raise RuntimeError(f"components need more than {most_rounds} rounds")
+    kind = dict(edges.dtypes)[a]
+    schema = f"a {kind}, b {kind}, again boolean"
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    pairs = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    merged = shared.table(pairs.repartition("b").mapInArrow(_merge, schema), "forest")
+    for done in range(1, most_rounds + 1):
+        if not merged.where("again").limit(1).count():
+            break
+        pairs = merged.select("a", "b")
+        if done > 2:
+            up = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("up"))
+            tied = up.select(F.col("up").alias("a"), F.col("a").alias("b"))
+            pairs = pairs.join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b").union(tied)
+        after = shared.table(pairs.repartition("b").mapInArrow(_merge, schema), "forest")
+        shared.drop(merged)
+        merged = after
+    else:
+        raise RuntimeError(f"components need more than {most_rounds} rounds")
+    while True:  # every node has one parent now; a node's parent's parent, until that is a root
+        up = merged.select(F.col("a").alias("up"), F.col("b").alias("a"))
+        after = shared.table(merged.join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b", F.col("up").isNotNull().alias("again")), "forest")
+        shared.drop(merged)
+        merged = after
+        if not merged.where("again").limit(1).count():
+            break
+    loops = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    all_ = merged.select(F.col("b").alias("node"), F.col("a").alias("root")).union(merged.select(F.col("a").alias("node"), F.col("a").alias("root"))).union(loops)
+    labels = shared.table(all_.groupBy("node").agg(F.min("root").alias("root")), "labels")
+    shared.drop(merged)
+    return labels

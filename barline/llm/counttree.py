@@ -118,6 +118,41 @@ class Tree:
         return self.order[at[7 * bound >= 3 * (n + self.sizes[at])]]
 
 
+class Group:
+    """Sets of (mark, elements, root) that hubs are compared with, indexed by size class."""
+
+    def __init__(self, rows: list[tuple[bytes, np.ndarray, bytes]]):
+        self.rows = rows
+        #: Roots that hubs have joined in this group.
+        self.joined: dict[bytes, bytes] = {}
+        sizes = np.array([len(s) for _, s, _ in rows], dtype=np.int64)
+        self.trees = []
+        for bits in sorted({group_bits(n) for n in sizes}):
+            own = np.array([i for i, n in enumerate(sizes) if group_bits(n) == bits])
+            points = np.stack([count_vector(rows[i][1], bits) for i in own])
+            self.trees.append((bits, own, Tree(points, sizes[own])))
+
+    def root(self, x: bytes) -> bytes:
+        while x in self.joined:
+            x = self.joined[x]
+        return x
+
+    def reach(self, elements: np.ndarray, root: bytes) -> list[bytes]:
+        """Marks of sets similar to a hub: one of each component that isn't joined to it yet."""
+        n, found = len(elements), []
+        for bits, own, tree in self.trees:
+            if 4 * tree.sizes.max() < 3 * n or 3 * tree.sizes.min() > 4 * n:
+                continue
+            point = count_vector(elements, bits)
+            for k in own[tree.query(point, n, np.ones(len(own), dtype=bool))]:
+                mark, other, theirs = self.rows[k]
+                a, b = self.root(root), self.root(theirs)
+                if a != b and similar(len(np.intersect1d(elements, other, assume_unique=True)), n, len(other)):
+                    self.joined[b] = a
+                    found.append(mark)
+        return found
+
+
 def links(vectors: list[np.ndarray], sizes: np.ndarray, check=None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the points under ``check`` (by the bound alone, if None).
 

@@ -17,9 +17,10 @@ has four steps.
 3.  *Verification.*  Each cluster's sets meet in one task, where surviving
     pairs are verified on the sets unless their documents are joined already.
     A cluster of more than ``tile`` classes is cut into tiles: tiles are
-    solved alone, then hubs (a few sets of each component that is not the
-    largest) are compared with every tile, until each class outside the
-    largest component has been a hub.  No pair is skipped otherwise.
+    solved alone, then hubs (sets of components that are not the largest, in
+    rounds of twice as many) are compared with every tile, until each class
+    outside the largest component has been a hub.  Pairs whose documents are
+    joined already need no comparison; no pair is skipped otherwise.
 4.  *Components* of the verified links, named by their smallest id.
 
 Null and empty texts and texts of white space have no shingle and link with
@@ -40,10 +41,10 @@ from barline.llm.components import components, stars
 
 #: Elements in the list of frequent ones (8 bytes each when sent to workers).
 FREQUENT = 1 << 17
-#: Bytes of text that are handled as one chunk, and input bytes for each bucket.
-CHUNK, BUCKET = 4 << 20, 8 << 20
+#: Bytes of text that are handled as one chunk, and set elements for each bucket.
+CHUNK, BUCKET = 4 << 20, 5 << 18
 #: Classes of a block that are indexed together, and of a cluster in one task.
-BLOCK, TILE, HUBS = 1024, 1024, 64
+BLOCK, TILE, HUBS = 1024, 1024, 1024
 
 
 def _sets(part: pa.Array):
@@ -299,38 +300,37 @@ def _verify_groups(rows: DataFrame) -> DataFrame:
 
 
 def _hub_links(sets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(a, b): verified links between the hubs and all sets of their clusters.
+    """(a, b): verified links between hubs and the sets of their clusters' tiles.
 
-    A cluster's hubs (at most HUBS sets) go to each of its tiles.
+    ``sets`` has each class's present ``root``; classes that are joined already
+    aren't compared.  ``hubs`` (cluster, mark, part): each part of the hubs meets
+    each tile of the cluster in one group, where the tile is indexed by an R-tree
+    and the hubs stream past it.
     """
-    hub_rows = hubs.select("cluster", "mark").join(sets.select("mark", "n", "elements"), "mark")
-    tiles = sets.select("cluster", "tile").distinct()
+    columns = "mark", "n", "elements", "root"
+    hub_rows = hubs.join(sets.select(*columns), "mark").join(sets.select("cluster", "tile").distinct(), "cluster")
+    parts = hubs.select("cluster", "part").distinct()
     both = (
-        hub_rows.join(tiles, "cluster").select("cluster", "tile", F.lit(0).alias("kind"), "mark", "n", "elements")
-        .union(sets.select("cluster", "tile", F.lit(1), "mark", "n", "elements"))
-        .repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "kind")
+        sets.join(parts, "cluster").select("cluster", "tile", "part", F.lit(0).alias("kind"), *columns)
+        .union(hub_rows.select("cluster", "tile", "part", F.lit(1), *columns))
+        .repartition("cluster", "tile", "part").sortWithinPartitions("cluster", "tile", "part", "kind")
     )
 
     def run(batches):
-        current, held = None, []
+        current, held, group = None, [], None
         for batch in batches:
             out = [], []
-            for cluster, tile, kind, mark, n, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if (cluster, tile) != current:
-                    current, held = (cluster, tile), []
+            for cluster, tile, part, kind, mark, n, s, root in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cluster, tile, part) != current:
+                    current, held, group = (cluster, tile, part), [], None
                 own = np.frombuffer(s, dtype="<u8")
                 if kind == 0:
-                    held.append((mark, own, T.count_vector(own, T.group_bits(n))))
+                    held.append((mark, own, root))
                     continue
-                v = T.count_vector(own, T.group_bits(n))
-                for hub, other, w in held:
-                    a, b = len(own), len(other)
-                    if hub == mark or 4 * min(a, b) < 3 * max(a, b):
-                        continue
-                    bits = min(T.group_bits(a), T.group_bits(b))
-                    if 7 * int(np.minimum(T.fold(v, bits), T.fold(w, bits)).sum()) >= 3 * (a + b) and T.similar(len(np.intersect1d(own, other, assume_unique=True)), a, b):
-                        out[0].append(hub)
-                        out[1].append(mark)
+                group = group or T.Group(held)
+                for other in group.reach(own, root):
+                    out[0].append(mark)
+                    out[1].append(other)
             if out[0]:
                 yield _to_batch(out, "ab")
 
@@ -339,38 +339,36 @@ def _hub_links(sets: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def _large_clusters(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Links that join the tiles of large clusters: see step 3 above."""
-    spark = sets.sparkSession
-    used = spark.createDataFrame([], "mark binary")
-    first = True
+    used = sets.sparkSession.createDataFrame([], "mark binary")
+    limit, first = HUBS, True
     while True:
-        roots = components(links)
-        comp = sets.select("cluster", "mark").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("cluster", "mark", F.coalesce("root", "mark").alias("root"))
-        comp = shared.table(comp, "comp")
+        roots = components(links).withColumnRenamed("node", "mark")
+        sets_now = sets.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+        comp = shared.table(sets_now.select("cluster", "mark", "root"), "comp")
         size = comp.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("least"))
-        largest = size.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-        if first:  # one class of each of the largest components, so that most classes meet at once
-            candidates = size.select("cluster", F.col("least").alias("mark"), "n")
-        else:
-            candidates = comp.join(largest, "cluster").where("root <> largest").select("cluster", "mark", F.lit(1).alias("n")).join(used, "mark", "left_anti")
-        chosen = candidates.groupBy("cluster").agg(F.expr(f"slice(sort_array(collect_list(struct(-n as n, mark))), 1, {HUBS})").alias("h")) if first else None
-        if chosen is None:
-            # a bounded number of each cluster's open classes, those that come first by hash in 64 parts
-            parts = candidates.groupBy("cluster", F.pmod(F.xxhash64("mark"), F.lit(HUBS)).alias("part")).agg(F.min("mark").alias("mark"))
-            hubs = shared.table(parts.select("cluster", "mark"), "hubs")
+        largest = size.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"))
+        if first:  # one class of each component that is not below 1/HUBS of the cluster, so that most classes meet at once
+            chosen = size.join(largest, "cluster").where(F.col("n") * HUBS >= F.col("all")).select("cluster", F.col("least").alias("mark"), F.lit(0).alias("part"))
         else:
-            hubs = shared.table(chosen.select("cluster", F.explode("h").alias("h")).select("cluster", "h.mark"), "hubs")
-        if hubs.limit(1).count() == 0:
+            candidates = comp.join(largest, "cluster").where("root <> largest").select("cluster", "mark").join(used, "mark", "left_anti")
+            open_ = candidates.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / limit).alias("shares"))
+            hash_ = lambda k: F.xxhash64("mark", F.lit(k))
+            chosen = candidates.join(open_, "cluster").where(F.pmod(hash_(1), F.col("shares")) == 0).select("cluster", "mark", F.pmod(hash_(2), F.lit(limit // HUBS)).cast("int").alias("part"))
+        hubs = shared.table(chosen, "hubs")
+        if not first and hubs.limit(1).count() == 0:
             return links
-        links = shared.table(links.union(_hub_links(sets, hubs)), "links")
+        links = shared.table(links.union(_hub_links(sets_now, hubs)), "links")
         used = shared.table(used.union(hubs.select("mark")), "used")
+        if not first:
+            limit *= 2
         first = False
 
 
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(profiles, roots): ``profiles`` as above; ``roots`` (mark, root) of the classes that have a link."""
-    size = docs.sparkSession._jvm.java.lang.Long.parseLong(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = int(max(12, min(size // BUCKET, 1 << 20)))
     profile = shared.table(profiles(docs, doc_id, text), "profiles")
+    elements = profile.agg(F.sum("n")).first()[0] or 0
+    buckets = int(max(12, min(elements // BUCKET, 1 << 20)))
     firsts = profile.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"))
     memberships = shared.table(_memberships(docs, frequent_elements(docs, text), buckets, text).distinct(), "blocks")
     classes = firsts.join(memberships.select("mark").distinct(), "mark")
