@@ -20,7 +20,9 @@ partial figures of its words to word buckets, which send back the totals.
 The bucket then holds a shard of the model, a sorted array of pair hashes with
 an array of log-probabilities, which the worker maps from an unlinked file
 while it looks up the chunks' pairs.  Both uses of the dealt pairs are in one
-plan and share its exchange.  No table is broadcast but one row of totals.
+plan and share its exchange.  What a bucket tells a chunk names only the
+documents with pairs there, so it grows with the tokens and not with the number
+of buckets times documents.  No table is broadcast but one row of totals.
 
 Null and empty texts are the end mark alone.  Rows whose training flag is null
 count as training rows.  Repeated rows count as often as they stand there, and
@@ -43,7 +45,7 @@ from barline.llm import wordhash
 START, END = (np.uint64(0x53746172745F5F31), np.uint64(0x456E645F5F5F5F32))
 #: Text bytes of a chunk; text bytes for each bucket; buckets of one context.
 CHUNK, BUCKET, SPREAD = 8 << 20, 64 << 20, 8
-_ROW = "bucket int, chunk long, train binary, v binary, vn binary, w binary, wn binary, doc binary, info binary"
+_ROW = "bucket int, chunk long, docs binary, train binary, v binary, vn binary, words binary, w binary, wn binary, doc binary, info binary"
 _FIGURES = ("raw", "before", "after", "n1", "n2", "n3")
 _TOTALS = ("tokens", "words", "kinds", "m1", "m2", "m3", "m4", "c1", "c2", "c3", "c4")
 
@@ -58,6 +60,16 @@ def _split(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, value.astype(np.uint8)
 
 
+def _narrow(index: np.ndarray, size: int) -> bytes:
+    """Numbers below ``size`` in as few bytes each as hold them."""
+    return index.astype(np.min_scalar_type(max(int(size) - 1, 0))).tobytes()
+
+
+def _widen(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that ``_narrow`` packed."""
+    return np.frombuffer(data, dtype=f"<u{len(data) // max(n, 1) or 1}").astype(np.int64)
+
+
 def _scatter(buckets: int, kind):
     """Chunks of (id, training flag, text) to packed pairs by bucket."""
 
@@ -97,14 +109,16 @@ def _scatter(buckets: int, kind):
                 first = np.flatnonzero(np.r_[True, context_no[1:] != context_no[:-1]])
                 place, context_n = _split(np.diff(np.r_[first, len(pair_at)]))  # pairs of each context
                 context_v, context_bucket = v[pair_at[first]][place], pair_bucket[first][place]
-                doc = doc.astype("<u2" if len(part) < 65536 else "<u4")
-                bits = np.packbits(train.astype(bool)).tobytes()
                 present = np.unique(bucket)
                 i, j, k = (np.searchsorted(x, np.r_[present, present[-1] + 1]) for x in (context_bucket, pair_bucket, bucket))
-                columns = [[] for _ in range(9)]
+                columns = [[] for _ in range(11)]
                 for at_b, b in enumerate(present):
                     ci, pi, ti = slice(i[at_b], i[at_b + 1]), slice(j[at_b], j[at_b + 1]), slice(k[at_b], k[at_b + 1])
-                    for column, value in zip(columns, (int(b), chunk, bits, context_v[ci].tobytes(), context_n[ci].tobytes(), pair_w[pi].tobytes(), pair_n[pi].tobytes(), doc[ti].tobytes(), sink.getvalue().to_pybytes() if at_b == 0 else None)):
+                    used, at_doc = np.unique(doc[ti], return_inverse=True)
+                    known, at_word = np.unique(pair_w[pi], return_inverse=True)
+                    documents = _narrow(used, len(part)), np.packbits(train[used].astype(bool)).tobytes()
+                    pairs = context_v[ci].tobytes(), context_n[ci].tobytes(), known.tobytes(), _narrow(at_word, len(known)), pair_n[pi].tobytes(), _narrow(at_doc, len(used))
+                    for column, value in zip(columns, (int(b), chunk, *documents, *pairs, sink.getvalue().to_pybytes() if at_b == 0 else None)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in _ROW.split(", ")])
 
@@ -112,12 +126,11 @@ def _scatter(buckets: int, kind):
 
 
 def _unpack(row: dict):
-    """(pair hash, v, w, tokens, documents, training flag of each document) of a packed row."""
+    """(pair hash, v, w, tokens, places of their documents in ``docs``, training flag of each of these) of a packed row."""
     v = np.repeat(np.frombuffer(row["v"], dtype="<u8"), np.frombuffer(row["vn"], dtype=np.uint8))
-    w = np.frombuffer(row["w"], dtype="<u8")
     n = np.frombuffer(row["wn"], dtype=np.uint8).astype(np.int64)
-    total = int(n.sum())
-    doc = np.frombuffer(row["doc"], dtype="<u2" if len(row["doc"]) == 2 * total else "<u4").astype(np.int64)
+    w = np.frombuffer(row["words"], dtype="<u8")[_widen(row["w"], len(n))]
+    doc = _widen(row["doc"], int(n.sum()))
     train = np.unpackbits(np.frombuffer(row["train"], dtype=np.uint8)).astype(bool)
     return wordhash.mix(v * np.uint64(5) + w, 74), v, w, n, doc, train
 
@@ -285,7 +298,7 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
     dealt, answers, buckets = _plan(docs, train, doc_id, text)
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [], [], [], [], [], []
+        out = [], [], [], [], [], [], []
         rows = left.to_pylist()
         del left
         if rows:
@@ -298,11 +311,11 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
                 at = np.repeat(np.searchsorted(hashes, h), n)
                 size = int(doc.max()) + 1
                 sums = [np.bincount(doc, weights=x[at], minlength=size) for x in (p, base, known)]
-                for column, value in zip(out, (row["chunk"], sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes(), row["info"], tokens)):
+                for column, value in zip(out, (row["chunk"], row["docs"], sums[0].tobytes(), sums[1].tobytes(), _narrow(sums[2], sums[2].max() + 1), row["info"], tokens)):
                     column.append(value)
-        return pa.table([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:5]), pa.array(out[5], pa.int64())], names=["chunk", "p", "base", "known", "info", "tokens"])
+        return pa.table([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:6]), pa.array(out[6], pa.int64())], names=["chunk", "docs", "p", "base", "known", "info", "tokens"])
 
-    parts = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(look_up, "chunk long, p binary, base binary, known binary, info binary, tokens long")
+    parts = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(look_up, "chunk long, docs binary, p binary, base binary, known binary, info binary, tokens long")
 
     def add_up(batches):
         current, held = None, []
@@ -325,13 +338,12 @@ def _whole(rows: list[dict]) -> pa.RecordBatch:
     with pa.ipc.open_stream(next(r["info"] for r in rows if r["info"])) as reader:
         info = reader.read_next_batch()
     size = info.num_rows
-    sums = []
-    for name, kind in (("known", "<u4"), ("base", "<f8"), ("p", "<f8")):
-        total = np.zeros(size)
-        for r in rows:
-            part = np.frombuffer(r[name], dtype=kind)
-            total[: len(part)] += part
-        sums.append(total)
+    sums = np.zeros((3, size))
+    for r in rows:
+        base = np.frombuffer(r["base"], dtype="<f8")
+        docs = _widen(r["docs"], len(base))
+        for total, part in zip(sums, (_widen(r["known"], len(base)), base, np.frombuffer(r["p"], dtype="<f8"))):
+            total[docs] += part
     return pa.RecordBatch.from_arrays(
         [info.column(0), info.column(2), info.column(1), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, rows[0]["tokens"]), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
         names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
