@@ -277,18 +277,22 @@ def _large(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     unit = members.withColumn("norm", norm).withColumn("u", F.transform("v", lambda x: x.cast("double") / F.col("norm")))
     mean = unit.groupBy("cluster").agg(F.array(*(F.avg(F.col("u")[i]) for i in range(dims))).alias("mean"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cored = unit.join(mean, "cluster").withColumn("core", F.coalesce(dot(F.col("u"), F.col("mean")) >= half * F.sqrt(dot(F.col("mean"), F.col("mean"))), F.lit(False)))
+    # a cluster's figures go to each of its tiles, so that joins with them deal rows by tile and not whole clusters
+    tiles = unit.select("cluster", "tile").distinct()
+    by_tile = "cluster", "tile"
+    cored = unit.join(mean.join(tiles, "cluster"), [*by_tile]).withColumn("core", F.coalesce(dot(F.col("u"), F.col("mean")) >= half * F.sqrt(dot(F.col("mean"), F.col("mean"))), F.lit(False)))
     cored = shared.table(cored.select("cluster", "mark", "w", "v", F.col("core").cast("int").alias("core"), F.col("tile")), "cores")
+    tiles = shared.table(cored.select(*by_tile).distinct(), "tiles")
     core = cored.where("core = 1").groupBy("cluster").agg(F.sum("w").alias("all"), F.min("mark").alias("first"))
-    inside = cored.where("core = 1").join(core, "cluster").select("mark", (F.col("all") - F.col("w")).alias("n"), F.col("mark").alias("a"), F.col("first").alias("b"))
+    inside = cored.where("core = 1").join(core.join(tiles, "cluster"), [*by_tile]).select("mark", (F.col("all") - F.col("w")).alias("n"), F.col("mark").alias("a"), F.col("first").alias("b"))
     outer = cored.where("core = 0")
     sizes = outer.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
-    outer = outer.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("mark", F.lit(1)), F.col("parts")).cast("int"))
-    tiles = cored.select("cluster", "tile").distinct()
+    outer = outer.join(sizes.join(tiles, "cluster"), [*by_tile]).withColumn("part", F.pmod(F.xxhash64("mark", F.lit(1)), F.col("parts")).cast("int"))
     parts = outer.select("cluster", "part").distinct()
+    meetings = shared.table(parts.join(tiles, "cluster"), "meetings")
     rows = (
-        outer.select("cluster", "part", "mark", "w", "core", "v").join(tiles, "cluster").select("cluster", "tile", "part", F.lit(0).alias("kind"), "mark", "w", "core", "v")
-        .union(cored.join(parts, "cluster").select("cluster", "tile", "part", F.lit(1), "mark", "w", "core", "v"))
+        outer.select("cluster", "part", "mark", "w", "core", "v").join(meetings, ["cluster", "part"]).select("cluster", "tile", "part", F.lit(0).alias("kind"), "mark", "w", "core", "v")
+        .union(cored.join(meetings, [*by_tile]).select("cluster", "tile", "part", F.lit(1), "mark", "w", "core", "v"))
         .repartition("cluster", "tile", "part").sortWithinPartitions("cluster", "tile", "part")
     )
     return inside.union(rows.mapInArrow(_tiles(threshold), _OUT))
