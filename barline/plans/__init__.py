@@ -1,7 +1,7 @@
 """Queries over the driver tables, by name, and their SQL."""
 
-from barline.plans import market, paths
+from barline.plans import market, paths, weights
 from barline.plans.views import plain_zeros
 
-QUERIES = {**market.QUERIES, **paths.QUERIES}
-ORACLES = {name: plain_zeros(sql) for name, sql in (market.ORACLES | paths.ORACLES).items()}
+QUERIES = {**market.QUERIES, **paths.QUERIES, **weights.QUERIES}
+ORACLES = {name: plain_zeros(sql) for name, sql in (market.ORACLES | paths.ORACLES | weights.ORACLES).items()}
