@@ -245,7 +245,7 @@ def q_scorecard(spark, sf):
 
 def _fold_scores(spark, sf):
     rets = rows(spark, sf)
-    fr = folds.expand(rets, folds.bar_splits(rets)).where("role = 'test' and fold < 12")
+    fr = folds.expand(rets, folds.bar_splits(rets)).where("role = 'test'")
     s = backtest.with_pnl(fr, by=("sym", "fold")).groupBy("fold").agg(F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s"))
     return s.select("fold", (F.col("m") / F.col("s")).alias("score"))
 

@@ -153,3 +153,17 @@ def test_empty_rows(spark):
     df = frame(spark, ("ret", "pos"), [])
     assert backtest.full(df).count() == 0 and diagnostics.maxdd_interval(df).count() == 0
     assert scans.scan(df, scans.execute, ("pos",), ("out",)).count() == 0
+
+
+def test_pbo_takes_every_fold(spark):
+    """The SQL without its cap of 12 folds; sf0.01 has 17."""
+    duckdb = pytest.importorskip("duckdb")
+    from barline import plans
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    sql = plans.ORACLES["q_pbo"].replace("WHERE fold < 12", "").replace("range(4096)", "range(1 << 17)")
+    want = db.execute(sql).fetchone()
+    got = plans.QUERIES["q_pbo"](spark, sf).first()
+    assert want[1] == got.subsets == 24310 and abs(want[0] - got.pbo) < 1e-6
