@@ -2,7 +2,7 @@
 
 All of these are narrow maps: no shuffle, bounded caches, any text length.
 Null texts count as empty; empty texts have no token.  The outputs hold the id
-column and what is computed; other input columns are ignored.
+column, what is computed and columns to ``carry``; others are ignored.
 """
 
 from __future__ import annotations
@@ -18,20 +18,21 @@ from pyspark.sql import functions as F
 from barline.llm.bpe import byte_counter, word_coder
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str, added: str, make):
-    """Map ``make(text)`` -> tuple of values over the texts."""
-    schema = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, {added}"
+def _rows(docs: DataFrame, doc_id: str, text: str, added: str, make, carry: tuple[str, ...] = ()):
+    """Map ``make(text)`` -> tuple of values over the texts; ``carry`` columns stay."""
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"`{doc_id}` {kinds[doc_id]}", added, *(f"`{c}` {kinds[c]}" for c in carry)])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 made = [make(t or "") for t in part.column(1).to_pylist()]
-                columns = [part.column(0), *(pa.array(c) for c in zip(*made))]
+                columns = [part.column(0), *(pa.array(c) for c in zip(*made)), *part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = [doc_id, *(x.split()[0] for x in added.split(", "))]
-    return docs.select(F.col(doc_id), F.col(text).alias("_text")).mapInArrow(run, schema)
+    names = [doc_id, *(x.split()[0] for x in added.split(", ")), *carry]
+    return docs.select(F.col(doc_id), F.col(text).alias("_text"), *carry).mapInArrow(run, schema)
 
 
 def encode(text: str | Column, file: str) -> Column:
@@ -58,8 +59,8 @@ def decode(ids: str | Column, file: str) -> Column:
     return spelled(F.col(ids) if isinstance(ids, str) else ids)
 
 
-def encoding_digests(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text."""
+def encoding_digests(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text, and the ``carry`` columns."""
 
     def make(t: str):
         coder = word_coder(file)
@@ -67,7 +68,7 @@ def encoding_digests(docs: DataFrame, file: str, doc_id: str = "doc_id", text: s
         back = coder.vocabulary.decode(np.frombuffer(coded, dtype="<u4"))
         return len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(back).hexdigest()
 
-    return _rows(docs, doc_id, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _rows(docs, doc_id, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, carry)
 
 
 def token_counts(docs: DataFrame, file: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """A corpus pipeline over `documents`: toxic documents go, one document of each
 near-duplicate group stays, sources are mixed to target weights, and what is
-left is encoded.  Each stage works on all that the stage before has kept."""
+left is encoded.  Each stage works on all that the stage before has kept.
+Mixing orders the rows (``slot``) and cuts none."""
 
 from __future__ import annotations
 
@@ -31,14 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose slot comes before any source has run out: this
-    longest stretch of the schedule has every source at its target share."""
-    return mixing.mix(docs, alpha=ALPHA, parts=PARTS).where("in_mix").select(*docs.columns)
+    """All documents with their ``slot`` in the mix, each once.  When a source
+    has run out its slots stay empty, and the others go on in proportion to
+    their weights; ``in_mix`` is true before the first such slot."""
+    return mixing.mix(docs, alpha=ALPHA, parts=PARTS).select(*(c for c in docs.columns if c not in ("slot", "in_mix")), "slot", "in_mix")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each whole text's ids and their decoding."""
-    return tokens.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"))
+    """Token counts and digests of each whole text's ids and their decoding, with the slots."""
+    return tokens.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"), carry=("slot", "in_mix"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

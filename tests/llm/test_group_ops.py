@@ -318,6 +318,22 @@ def test_pipeline_against_brute_force(spark):
     assert whole.count() == size and {r.doc_id for r in whole.collect()} == {r.doc_id for r in mixed.collect()}
 
 
+def test_mixing_stage_keeps_all_rows_beside_a_source_of_one(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sizes = {"big": 700, "mid": 90, None: 1}
+    docs = spark.createDataFrame([(i, f"text {i} {s}", "en", s, 1) for s, n in sizes.items() for i in range(1000 * len(str(s)), 1000 * len(str(s)) + n)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = pipeline.mix_sources(spark, docs, "")
+    rows = mixed.collect()
+    assert Counter(r.source for r in rows) == sizes and len({r.slot for r in rows}) == len(rows)
+    assert 0 < sum(r.in_mix for r in rows) < len(rows)
+    # a prefix of the order after the single row has run out: the others in proportion to their weights
+    head = Counter(r.source for r in sorted(rows, key=lambda r: r.slot)[:300])
+    total = 700**0.7 + 90**0.7 + 1
+    assert head[None] == 1 and abs(head["mid"] / head["big"] - round(100 * 90**0.7 / total) / round(100 * 700**0.7 / total)) < 0.02
+    coded = pipeline.encode(spark, mixed, "").collect()
+    assert {(r.doc_id, r.slot, r.in_mix) for r in coded} == {(r.doc_id, r.slot, r.in_mix) for r in rows} and len(coded) == len(rows)
+
+
 def test_pipeline_stages_on_edges(spark, edge):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
