@@ -7,6 +7,11 @@ of known licence texts; a match means that the entire texts agree.  The same
 lookup is made for single lines that speak of a licence, as notices stand on
 lines of their own.
 
+Licences as projects ship them are looked up a second time, by the digest of
+a form without title line, copyright statements, list marks and the holders'
+names in the BSD texts.  The texts are the files of ``license_texts``, each with
+and without what follows its last condition.
+
 Null and empty texts match nothing.  Rows are kept one for one; if several
 rows share an id, each shows the notices found under that id.  Input columns
 other than the named ones are ignored.
@@ -14,6 +19,8 @@ other than the named ones are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +48,26 @@ KNOWN = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 )
 
+#: Whole licence texts, by SPDX id.
+TEXTS = Path(__file__).with_name("license_texts")
+#: What every whole licence text says somewhere.
+SPEAKS = r"(?i)licen[sc]e|permission|redistribution|unencumbered"
+#: A first line that only names a licence.
+TITLE = r"(?i)\A\s*(?![^\n]*\bunder\b)[^\n.]{0,60}\blicen[sc]e\b[^\n.]{0,40}\n"
+#: Lines that state a copyright, unlike lines of a wrapped sentence that begin with the word; list marks.
+STATEMENT = r"(?im)^[ \t]*((copyright|\(c\)|©)[^\n]*(\d{4}|yyyy|<year>|\(c\)|©)[^\n]*|all rights reserved\.?[ \t\r]*)$"
+LIST_MARK = r"(?m)^[ \t]*(\d{1,2}\.|[*-])[ \t]+"
+#: FIXED VALUES: names of holders in the BSD texts, in the canonical form.
+HOLDERS = (
+    (r"neither the names? (of )?.{1,80}? nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by .{1,80}? and contributors as is", "this software is provided by the copyright holders and contributors as is"),
+    (r"in no event shall .{1,80}? or contributors be liable", "in no event shall the copyright holder or contributors be liable"),
+)
 
-def canonical(text: Column) -> Column:
+
+def canonical(text: Column, dropped: str = COPYRIGHT_LINE) -> Column:
     """The canonical form of a text; null for null."""
-    form = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
+    form = F.lower(F.regexp_replace(text, dropped, ""))
     for old, new in SPELLINGS:
         form = F.replace(form, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(form, PUNCTUATION, " "))
@@ -56,17 +79,42 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def shipped_digest(text: Column) -> Column:
+    """SHA-256 (hex) of the form without title, statements, list marks and holders; null for texts that can't be licences."""
+    form = canonical(F.regexp_replace(F.regexp_replace(text, TITLE, ""), LIST_MARK, ""), STATEMENT)
+    for names, one in HOLDERS:
+        form = F.regexp_replace(form, names, one)
+    return F.when(text.rlike(SPEAKS) & (form != ""), F.sha2(form, 256))
+
+
+def shipped_licenses(spark: SparkSession) -> DataFrame:
+    """(license_id, shipped) of the whole licence texts, one row for each digest."""
+    texts = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        conditions, end, _ = text.rpartition("END OF TERMS AND CONDITIONS")
+        texts += [(file.stem, t) for t in (text, conditions + end, conditions) if t.strip()]
+    rows = spark.createDataFrame(texts, "license_id string, text string")
+    return rows.select("license_id", shipped_digest(F.col("text")).alias("shipped")).groupBy("shipped").agg(F.min("license_id").alias("license_id"))
+
+
 def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """(license_id, digest) of known texts, one row for each digest (the least id)."""
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
     return rows.select("license_id", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", shipped: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license_id, notices): the licence that the entire text is,
-    or null, and the sorted ids of the notices on its lines."""
+    or null, and the sorted ids of the notices on its lines.
+
+    ``shipped`` (see ``shipped_licenses``) is for texts whose digest isn't ``known``.
+    """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    whole = base.select("doc_id", digest(F.col("_text")).alias("digest")).join(known, "digest", "left")
+    whole = base.select("doc_id", digest(F.col("_text")).alias("digest"), *([shipped_digest(F.col("_text")).alias("shipped")] if shipped is not None else [])).join(known, "digest", "left")
+    if shipped is not None:
+        named = F.broadcast(shipped.withColumnRenamed("license_id", "_shipped"))  # a few rows for each licence
+        whole = whole.join(named, "shipped", "left").withColumn("license_id", F.coalesce("license_id", "_shipped")).drop("shipped", "_shipped")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.lower(x).rlike("licen|released under"))
     found = base.select("doc_id", F.explode(lines).alias("line")).select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(found, whole["doc_id"].eqNullSafe(found["_id"]), "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -20,7 +20,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that whole documents are, and notices on their lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return licenses.scan(docs, licenses.known_licenses(spark))
+    return licenses.scan(docs, licenses.known_licenses(spark), shipped=licenses.shipped_licenses(spark))
 
 
 OP7_SQL = f"""

@@ -83,6 +83,22 @@ def test_licences(spark, edge):
     assert known.count() == len(licenses.KNOWN)
 
 
+def test_licences_as_shipped(spark):
+    """Each whole text as its file, without its first line, and under another title and holder."""
+    files = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    assert len(files) >= 20 and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense", "MIT", "ISC"} <= set(files)
+    texts = [(k, t) for k, t in files.items()] + [(k, t.replace("\n", "\r\n")) for k, t in files.items()]
+    for k, titles in {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "BSD-3-Clause": ["BSD 3-Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"]}.items():
+        body = files[k][re.search("Permission|Redistribution", files[k]).start() :]
+        one = " ".join(body.split()).replace("University", "Example Corp")
+        texts += [(k, body), *((k, f"{title}\n\nCopyright (c) 2021, A. Holder\nAll rights reserved.\n\n{x}") for title in titles for x in (body, one.replace(" 2. ", "\n* ").replace(" 1. ", "\n* ").replace(" 3. ", "\n* ")))]
+    texts += [("Apache-2.0", files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")), ("Apache-2.0", files["Apache-2.0"].partition("   APPENDIX")[0])]
+    texts += [(None, files["MIT"] + "\nNo commercial use.\n"), (None, "Licensed under the Apache License, Version 2.0.\n" + files["MIT"]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known_licenses(spark), shipped=licenses.shipped_licenses(spark)).collect()}
+    assert [(k, got[i]) for i, (k, _) in enumerate(texts) if got[i] != k] == [] and len(got) == len(texts)
+
+
 # --- Jaccard join
 
 
