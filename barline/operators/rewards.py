@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,20 @@ def soft_label(x: Column, grid: tuple[float, ...]) -> Column:
     return F.array(*out)
 
 
+def anchor_bank(vectors: DataFrame, bank_size: int, vec_id: str = "vec_id") -> DataFrame:
+    """``bank_size`` rows of ``vectors``, evenly spaced over all rows in the order of their (unique) ids; all rows if fewer.
+
+    Only ids are sorted and numbered, in as many tasks as the shuffle has.
+    """
+    total = vectors.count()
+    if total <= bank_size:
+        return vectors
+    places = set(np.linspace(0, total - 1, num=bank_size, dtype=np.int64).tolist())
+    numbered = vectors.select(vec_id).orderBy(F.col(vec_id).asc_nulls_first()).rdd.zipWithIndex()
+    picked = numbered.filter(lambda x: x[1] in places).map(lambda x: x[0][0]).collect()  # the bank's ids
+    return vectors.where(F.col(vec_id).isin([i for i in picked if i is not None]) | (F.col(vec_id).isNull() if None in picked else F.lit(False)))
+
+
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, anchor, distance): the nearest of a fixed bank of anchors by Euclidean distance of unit vectors.
 

@@ -303,9 +303,10 @@ def q_soft_label(spark, sf):
     return round_to(rows(spark, sf).select("sym", "ts", s.alias("s")).select("sym", "ts", *(F.col("s")[i].alias(f"s{i}") for i in range(5))))
 
 
-def q_knn_anchor(spark, sf):
+def q_knn_anchor(spark, sf, bank_size=32):
+    """The nearest of ``bank_size`` anchors that are evenly spaced over all rows."""
     v = bars.read(spark, sf, "embeddings")
-    return round_to(rewards.nearest_anchor(v, v.where("vec_id < 32")), 5)
+    return round_to(rewards.nearest_anchor(v, rewards.anchor_bank(v, bank_size)), 5)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -167,3 +167,20 @@ def test_pbo_takes_every_fold(spark):
     want = db.execute(sql).fetchone()
     got = plans.QUERIES["q_pbo"](spark, sf).first()
     assert want[1] == got.subsets == 24310 and abs(want[0] - got.pbo) < 1e-6
+
+
+def test_knn_anchors_span_the_table(spark):
+    """The SQL with its bank spaced over all ids."""
+    duckdb = pytest.importorskip("duckdb")
+    from barline import plans
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    ids = sorted(r[0] for r in db.execute("SELECT vec_id FROM embeddings").fetchall())
+    bank = [ids[k] for k in np.linspace(0, len(ids) - 1, num=32, dtype=np.int64)]
+    want = db.execute(plans.ORACLES["q_knn_anchor"].replace("b.vec_id < 32", f"b.vec_id IN {tuple(bank)}")).fetchall()
+    got = [tuple(r) for r in plans.QUERIES["q_knn_anchor"](spark, sf).select("vec_id", "anchor", "distance").collect()]
+    assert len(got) == len(ids) and sorted((i, a, f"{d:.4f}") for i, a, d in got) == sorted((i, a, f"{d:.4f}") for i, a, d in want)
+    assert max(a for _, a, _ in got) > 31
+    assert rewards.anchor_bank(spark.range(7).withColumnRenamed("id", "vec_id"), 32).count() == 7
