@@ -7,7 +7,11 @@
     a table if they differ there in one bit at most: for each bit, a key leaves
     that bit out.  The number of tables is such that a pair at the threshold
     meets with probability 0.97 if its bits differ independently; closer pairs
-    meet almost surely.  Pairs that meet are compared by whole codes.
+    meet almost surely.  Bits are taken about the sample's mean, where such a
+    pair is at a wider angle; the tables are planned for the widest angle that
+    it can have at any vector of the sample, or the mean is not subtracted
+    where that would take more than ``WIDER`` times the tables.
+    Pairs that meet are compared by whole codes.
 3.  Only a spanning forest of the pairs that pass leaves a task.  Its components
     are clusters.  In each cluster all pairs are compared by the cosine of the
     original vectors, in double precision.  Clusters of more than ``tile``
@@ -38,14 +42,16 @@ TILE = 512
 SPREAD = 3.0
 #: Bits within which a chunk's codes stand for each other.
 CLOSE = 4
+#: Tables for vectors about their mean, at most, for each that they need about the origin.
+WIDER = 2.0
 
 
 class Quantiser:
     """Bits of vectors: signs of rotated principal components."""
 
-    def __init__(self, sample: np.ndarray, tables: int, width: int, rounds: int = 30, seed: int = 11):
+    def __init__(self, sample: np.ndarray, tables: int, width: int, rounds: int = 30, seed: int = 11, centre: bool = True):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.mean = unit.mean(axis=0)
+        self.mean = unit.mean(axis=0) * centre
         centred = unit - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
         v = centred @ axes
@@ -68,6 +74,7 @@ class Quantiser:
 def plan_tables(classes: int, threshold: float, recall: float = 0.97) -> tuple[int, int, int]:
     """(tables, bits in each, differing bits allowed in all)."""
     width = int(min(max(math.ceil(math.log2(max(classes, 2))), 8), 24))
+    threshold = min(threshold, 1 - 1e-9)
     p = math.acos(threshold) / math.pi
     meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
@@ -75,6 +82,25 @@ def plan_tables(classes: int, threshold: float, recall: float = 0.97) -> tuple[i
     return tables, width, math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
+def centred_threshold(sample: np.ndarray, threshold: float) -> float:
+    """The least cosine about the sample's mean of a pair at the threshold, one of which is in the sample.
+
+    Unit vectors at cosine t are sqrt(2 - 2 t) apart; seen from a point at
+    distance r or more from both, their cosine is 1 - (1 - t) / r^2 at least.
+    """
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    near = float(((unit - unit.mean(axis=0)) ** 2).sum(axis=1).min())
+    return max(-1.0, 1 - (1 - threshold) / near) if near > 0 else -1.0
+
+
+def plan(sample: np.ndarray, classes: int, threshold: float) -> tuple[int, int, int, bool]:
+    """(tables, bits in each, differing bits allowed in all, whether about the mean)."""
+    plain, inner = plan_tables(classes, threshold), centred_threshold(sample, threshold)
+    if inner > 0 and (about := plan_tables(classes, inner))[0] <= WIDER * plain[0]:
+        return *about, True
+    return *plain, False
+
+
 def _hamming(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1, dtype=np.int64)
 
@@ -318,8 +344,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     if count < 2:
         links = spark.createDataFrame([], _OUT)
     else:
-        tables, width, most = plan_tables(count, threshold)
-        model = Quantiser(np.array([x for x in picked if len(x) == dims], dtype=np.float64), tables, width)
+        learnt = np.array([x for x in picked if len(x) == dims], dtype=np.float64)
+        tables, width, most, centre = plan(learnt, count, threshold)
+        model = Quantiser(learnt, tables, width, centre=centre)
         words = (tables * width + 63) // 64
         buckets = int(max(12, min(count * tables * width // 500_000, 1 << 20)))
         packed = usable.select("mark", "v").mapInArrow(_scatter(model, buckets), "bucket int, points binary, keys binary, local binary, ties binary")

@@ -233,6 +233,35 @@ def test_recall_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.9 * 3000
 
 
+def _pairs_at(a, rng, low=0.9005, high=0.905):
+    a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.normal(size=a.shape)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (len(a), 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * o])
+
+
+@pytest.mark.parametrize("kind", ["offset", "hot"])
+def test_tables_find_pairs_off_the_origin(kind):
+    """Recall of the tables at the threshold, with a common offset and beside a hot group."""
+    rng = np.random.default_rng(9)
+    n, d = 3000, 64
+    a = rng.normal(size=(n, d)) / math.sqrt(d)
+    if kind == "offset":
+        a += np.eye(d)[0]  # the mean of unit vectors has norm 0.7
+    else:
+        a[: n // 3] = np.eye(d)[0] + 0.6 * a[: n // 3]
+    x = _pairs_at(a, rng)
+    sample = x[rng.permutation(len(x))[:2000]]
+    tables, width, most, centre = itq.plan(sample, 10_000_000, 0.9)
+    bits = itq.Quantiser(sample, tables, width, centre=centre).bits(x)
+    apart = bits[:n] != bits[n:]
+    met = (apart.reshape(n, tables, width).sum(axis=2) <= 1).any(axis=1) & (apart.sum(axis=1) <= most)
+    print(f"{kind}: recall {met.mean():.3f}, of the first third {met[: n // 3].mean():.3f}, {tables} tables of {width} bits, centred {centre}")
+    assert min(met.mean(), met[: n // 3].mean()) >= 0.93
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert itq.near_duplicates(spark.createDataFrame([], schema)).count() == 0
