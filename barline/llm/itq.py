@@ -11,7 +11,10 @@
     pair is at a wider angle; the tables are planned for the widest angle that
     it can have at any vector of the sample, or the mean is not subtracted
     where that would take more than ``WIDER`` times the tables.
-    Pairs that meet are compared by whole codes.
+    Pairs that meet are compared by whole codes; in a key with more than RUN
+    codes, all codes within twice the bound of a leader are tied to it, which
+    takes in every pair of the codes within the bound, and these are done.
+    After LEADERS leaders what is left of the key is tied together.
 3.  Only a spanning forest of the pairs that pass leaves a task.  Its components
     are clusters.  In each cluster all pairs are compared by the cosine of the
     original vectors, in double precision.  Clusters of more than ``tile``
@@ -44,6 +47,10 @@ SPREAD = 3.0
 CLOSE = 4
 #: Tables for vectors about their mean, at most, for each that they need about the origin.
 WIDER = 2.0
+#: Codes of a key that are compared all with all, and leaders of a longer run.
+RUN, LEADERS = 1024, 64
+#: Pairs that a bucket's task holds before it reduces them to a forest.
+PAIRS = 4_000_000
 
 
 class Quantiser:
@@ -109,11 +116,6 @@ def _pairs_inside(starts: np.ndarray, sizes: np.ndarray):
     """Places (i, j), i < j, of all pairs inside each run, a bounded number at a time."""
     for s in np.unique(sizes[sizes > 1]):
         runs = starts[sizes == s]
-        if s > 1500:
-            for r in runs:
-                for k in range(int(s) - 1):
-                    yield np.full(s - 1 - k, r + k), np.arange(r + k + 1, r + s)
-            continue
         i, j = np.triu_indices(int(s), 1)
         step = max(1, 2_000_000 // len(i))
         for k in range(0, len(runs), step):
@@ -121,6 +123,22 @@ def _pairs_inside(starts: np.ndarray, sizes: np.ndarray):
             yield (base + i).ravel(), (base + j).ravel()
 
 
+def _canopies(codes: np.ndarray, members: np.ndarray, most: int):
+    """(leader, others) ties that join, in one component each, every two members within ``most`` bits.
+
+    A member within ``most`` bits of a leader has its partners within twice
+    that of the leader, so it is done once these are tied.
+    """
+    for _ in range(LEADERS):
+        if len(members) < 2:
+            return
+        far = _hamming(codes, members, members[:1])
+        yield members[0], members[far <= 2 * most]
+        members = members[far > most]
+    if len(members) > 1:
+        yield members[0], members
+
+
 def _scatter(model: Quantiser, buckets: int):
     """Keys of a chunk's codes, packed by bucket; codes close to another's stand for it."""
     tables, width = model.tables, model.width
@@ -179,11 +197,21 @@ def _gather(words: int, most: int):
         order = np.argsort(keys, kind="stable")
         keys, who = keys[order], who[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-        left, right = [], []
-        for i, j in _pairs_inside(starts, np.diff(np.r_[starts, len(keys)])):
+        left, right, kept = [], [], 0
+        ends = np.r_[starts[1:], len(keys)] if len(starts) else starts
+        long = ends - starts > RUN
+        for i, j in zip(starts[long], ends[long]):
+            for leader, others in _canopies(codes, who[i:j], most):
+                left.append(np.full(len(others), leader)), right.append(others)  # noqa: B018
+        for i, j in _pairs_inside(starts[~long], (ends - starts)[~long]):
             a, b = who[i], who[j]
             ok = _hamming(codes, a, b) <= most
             left.append(a[ok]), right.append(b[ok])  # noqa: B018
+            kept += len(left[-1])
+            if kept > PAIRS:  # their forest says as much
+                root = forest(len(marks), np.concatenate(left), np.concatenate(right))
+                moved = np.flatnonzero(root != np.arange(len(marks)))
+                left, right, kept = [moved], [root[moved]], 0
         if left:
             root = forest(len(marks), np.concatenate(left), np.concatenate(right))
             moved = np.flatnonzero(root != np.arange(len(marks)))

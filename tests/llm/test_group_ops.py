@@ -262,6 +262,24 @@ def test_tables_find_pairs_off_the_origin(kind):
     assert min(met.mean(), met[: n // 3].mean()) >= 0.93
 
 
+def test_long_runs_are_tied_in_linear_work(monkeypatch):
+    """Every pair within the bound shares a component, and near copies take one leader."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (5, 512))
+    bits = np.concatenate([base[rng.integers(0, 5, 1500)], rng.integers(0, 2, (300, 512))]) ^ (rng.random((1800, 512)) < 0.03)
+    codes = np.packbits(bits.astype(bool), axis=1).view("<u8")
+    for leaders in (64, 3):
+        monkeypatch.setattr(itq, "LEADERS", leaders)
+        ties = list(itq._canopies(codes, np.arange(1800), 40))
+        root = components.forest(1800, np.concatenate([np.full(len(o), k) for k, o in ties]), np.concatenate([o for _, o in ties]))
+        i, j = np.triu_indices(1800, 1)
+        near = itq._hamming(codes, i, j) <= 40
+        assert near.sum() > 10_000 and (root[i[near]] == root[j[near]]).all()
+        assert len(ties) <= leaders + 1
+    one = list(itq._canopies(codes, np.flatnonzero((bits[:1500] ^ base[0]).sum(axis=1) < 60), 70))
+    assert len(one) == 1
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert itq.near_duplicates(spark.createDataFrame([], schema)).count() == 0
