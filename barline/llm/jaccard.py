@@ -216,10 +216,20 @@ def _with_texts(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, add
     """Texts of the classes' first documents, mapped by ``make(keys, n)``.
 
     ``classes`` has (mark, first_id) and the ``carry`` columns.  Of several
-    rows with one id, those whose set is not the class's are left out.
+    rows with one id, those whose set is not the class's are left out.  Classes
+    of null ids only find a row by its set's mark.
     """
     kinds = dict(classes.dtypes)
-    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("_text")).join(classes.select("first_id", "mark", *carry), "first_id").select("mark", *carry, "_text")
+
+    def marked(batches):
+        for batch, part in _chunks(batches, 0):
+            _, _, n, marks = _sets(part)
+            keep = [i for i in range(len(part)) if n[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([marks[i].tobytes() for i in keep], pa.binary()), batch.column(0).take(pa.array(keep, pa.int64()))], names=["mark", "_text"])
+
+    unnamed = docs.where(F.col(doc_id).isNull()).select(F.col(text).alias("_text")).mapInArrow(marked, "mark binary, _text string").dropDuplicates(["mark"])
+    unnamed = unnamed.join(classes.where("first_id is null").select("mark", *carry), "mark").select("mark", *carry, "_text")
+    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("_text")).join(classes.select("first_id", "mark", *carry), "first_id").select("mark", *carry, "_text").union(unnamed)
     schema = ", ".join(["mark binary", *(f"{c} {kinds[c]}" for c in carry), "n int", added])
     name = added.split()[0]
 

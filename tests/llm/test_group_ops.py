@@ -171,6 +171,16 @@ def test_jaccard_edges(spark, edge):
     assert sorted(r.doc_id for r in jaccard.keep_one(twice).collect()) == [1, 2]
 
 
+def test_null_id_bridges_two_documents(spark):
+    words = [f"q{i}" for i in range(60)]
+    a, b, c = (" ".join(words[k : k + 48]) for k in (0, 6, 12))
+    rows = [(1, a), (None, b), (None, b), (2, c), (3, "something else in five words")]
+    want = _components(rows)
+    assert (2, 44, 1) in want and (2, 44, 2) in _components([r for r in rows if r[0]])
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(0)
     for _ in range(30):
