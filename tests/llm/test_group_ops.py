@@ -300,7 +300,7 @@ def test_embedding_edges(spark):
 # --- language model
 
 
-def test_language_model_against_brute_force(spark):
+def _model_rows():
     rng = random.Random(8)
     words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(6000)]
     rows, at = [], 0
@@ -308,38 +308,54 @@ def test_language_model_against_brute_force(spark):
         n = rng.randint(0, 60)
         rows.append((i, i % 5 != 0, " ".join(words[at : at + n]) if n else None))
         at += n
-    rows += [(200, True, LONG[:3000]), (201, None, "W1 w2 NEW"), (202, False, ""), (203, True, "rep rep"), (203, True, "rep rep")]
-    got = kneser_ney.score(spark.createDataFrame(rows, "doc_id long, train boolean, text string").repartition(3), "train").collect()
-    tokens = [["<s>", *(t or "").lower().split(), "</s>"] for _, _, t in rows]
-    train = [f is not False for _, f, _ in rows]
-    one, two = Counter(), Counter()
-    for t, f in zip(tokens, train):
-        if f:
-            one.update(t[1:])
-            two.update(zip(t, t[1:]))
-    total, kinds = sum(one.values()), len(one)
-    before = Counter(b for _, b in two)
+    return rows + [(200, True, LONG[:3000]), (201, None, "W1 w2 NEW"), (202, False, ""), (203, True, "rep rep"), (203, True, "rep rep")]
+
+
+def _plain_model(rows, order):
+    """(probability of a token after its context, tokens with contexts by row, counts of words), in plain Python."""
+    texts = [["<s>"] * (order - 1) + (t or "").lower().split() + ["</s>"] for _, _, t in rows]
+    grams = [[tuple(t[i : i + order]) for i in range(len(t) - order + 1)] for t in texts]
+    counts = {order: Counter(g for (_, f, _), gs in zip(rows, grams) if f is not False for g in gs)}
+    one = Counter()
+    for g, c in counts[order].items():
+        one[g[-1]] += c
+    for k in range(order - 1, 0, -1):
+        lower = Counter()
+        for g, c in counts[k + 1].items():
+            lower[g[1:]] += c if k > 1 and g[1] == "<s>" else 1
+        counts[k] = lower
+    discounts = {k: kneser_ney._discounts(*(sum(v == i for v in x.values()) for i in (1, 2, 3, 4))) for k, x in counts.items()}
     after = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in two.items():
-        after[a][0] += c
-        after[a][min(c, 3)] += 1
-    coc = lambda x: [sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]
-    d, e = kneser_ney._discounts(*coc(two)), kneser_ney._discounts(*coc(before))
-    m = [sum(min(v, 3) == k for v in before.values()) for k in (1, 2, 3)]
-    spare = sum(e[k + 1] * m[k] for k in range(3)) / (kinds + 1)
-    single = lambda w: (max(before[w] - e[min(before[w], 3)], 0) + spare) / sum(before.values())
-
-    def p(v, w):
-        if v not in after:
-            return single(w)
-        x, c = after[v], two.get((v, w), 0)
-        return (max(c - d[min(c, 3)], 0) + (d[1] * x[1] + d[2] * x[2] + d[3] * x[3]) * single(w)) / x[0]
-
-    assert abs(sum(single(w) for w in one) + spare / sum(before.values()) - 1) < 1e-9
-    assert abs(sum(p("w1", w) for w in one) + p("w1", "<new>") - 1) < 1e-9
-    want = sorted((i, len(t) - 1, sum(one[w] > 0 for w in t[1:]), total, round(sum(math.log10((one[w] + 1) / (total + kinds + 1)) for w in t[1:]), 6), round(sum(math.log10(p(a, b)) for a, b in zip(t, t[1:])), 6)) for (i, _, _), t in zip(rows, tokens))
+    for x in counts.values():
+        for g, c in x.items():
+            after[g[:-1], len(g)][0] += c
+            after[g[:-1], len(g)][min(c, 3)] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (len(one) + 1)
+        if (g[:-1], len(g)) not in after:
+            return p(g[1:])
+        x, c, d = after[g[:-1], len(g)], counts[len(g)].get(g, 0), discounts[len(g)]
+        return (max(c - d[min(c, 3)], 0) + sum(d[i] * x[i] for i in (1, 2, 3)) * p(g[1:])) / x[0]
+
+    return p, grams, one
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_brute_force(spark, order, monkeypatch):
+    rows = _model_rows()
+    monkeypatch.setattr(kneser_ney, "PART", 300)  # several parts in each bucket
+    got = kneser_ney.score(spark.createDataFrame(rows, "doc_id long, train boolean, text string").repartition(3), "train", order=order).collect()
+    p, grams, one = _plain_model(rows, order)
+    total, kinds = sum(one.values()), len(one)
+    for context in (("w1",) * (order - 1), ("<s>",) * (order - 1), ("never",) * (order - 1)):
+        assert abs(sum(p((*context, w)) for w in one) + p((*context, "<new>")) - 1) < 1e-9
+    want = sorted((i, len(t), sum(one[g[-1]] > 0 for g in t), total, round(sum(math.log10((one[g[-1]] + 1) / (total + kinds + 1)) for g in t), 6), round(sum(math.log10(p(g)) for g in t), 6)) for (i, _, _), t in zip(rows, grams))
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
-    shards = kneser_ney.model(spark.createDataFrame(rows, "doc_id long, train boolean, text string"), "train").collect()
+    assert all(math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens)) for r in got)
+    shards = kneser_ney.model(spark.createDataFrame(rows, "doc_id long, train boolean, text string"), "train", order=order).collect()
+    assert sum(len(s.hashes) // 8 for s in shards) == len({g for t in grams for g in t})
     for s in shards:
         h = np.frombuffer(s.hashes, dtype="<u8")
         assert (np.diff(h.astype(object)) > 0).all() and len(s.log10p) * 2 == len(s.hashes)
