@@ -62,6 +62,19 @@ def _merge(batches):
             yield pa.RecordBatch.from_arrays([a, b, pa.array([again] * len(a))], names=["a", "b", "again"])
 
 
+def _ups(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """(a, up): the smaller ends that have a smaller neighbour themselves; ``up`` has one row for each of its ``a``."""
+    return pairs.select("a").distinct().join(up, "a")
+
+
+def _moved_up(pairs: DataFrame, ups: DataFrame) -> DataFrame:
+    """(a, b): each edge with its smaller end's ``up``, if there is one.  An end's
+    edges are dealt over SALTS tasks, as it may have most of them."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(shared.SALTS - 1))).alias("salt")
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(shared.SALTS)).cast("int"))
+    return dealt.join(ups.select("a", "up", salts), ["a", "salt"], "left").select(F.coalesce("up", "a").alias("a"), "b")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of an edge with the least node that it reaches.
 
@@ -69,9 +82,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     gives back the stars of its edges' forest.  A node that then has edges to
     several smaller ones makes another round; from the third on, edges move up
     to their smaller end's smaller neighbour between rounds, so that long chains
-    halve.  When every node has one edge to a smaller one, these are followed
-    to the roots by joins.  Each round's table is written to the shared folder.
-    Nodes may be of any ordered type; loops and repeated edges do no harm, edges
+    halve.  When every node has one edge to a smaller one, these are followed to
+    the roots by joins, in which only ends with a smaller neighbour take part,
+    and no end's edges meet in one task.  Each round's table is written to the
+    shared folder.  Nodes may be of any ordered type; loops and repeated edges do no harm, edges
     with a null end are left out.
     """
     kind = dict(edges.dtypes)[a]
@@ -86,19 +100,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if done > 2:
             up = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("up"))
             tied = up.select(F.col("up").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b").union(tied)
+            pairs = _moved_up(pairs, _ups(pairs, up)).select("a", "b").union(tied)
         after = shared.table(pairs.repartition("b").mapInArrow(_merge, schema), "forest")
         shared.drop(merged)
         merged = after
     else:
         raise RuntimeError(f"components need more than {most_rounds} rounds")
-    while True:  # every node has one parent now; a node's parent's parent, until that is a root
-        up = merged.select(F.col("a").alias("up"), F.col("b").alias("a"))
-        after = shared.table(merged.join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b", F.col("up").isNotNull().alias("again")), "forest")
+    while True:  # every node has one parent now; a node's parent's parent, until all parents are roots
+        ups = shared.table(_ups(merged, merged.select(F.col("a").alias("up"), F.col("b").alias("a"))), "ups")
+        if not ups.limit(1).count():
+            break
+        after = shared.table(_moved_up(merged, ups), "forest")
         shared.drop(merged)
         merged = after
-        if not merged.where("again").limit(1).count():
-            break
     loops = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     all_ = merged.select(F.col("b").alias("node"), F.col("a").alias("root")).union(merged.select(F.col("a").alias("node"), F.col("a").alias("root"))).union(loops)
     labels = shared.table(all_.groupBy("node").agg(F.min("root").alias("root")), "labels")

@@ -22,14 +22,16 @@
     cluster's mean are all linked with each other, by the triangle inequality,
     so only the others are compared, tile by tile, with all.  Nothing is capped.
 
-Vectors that are null, zero, hold nulls or non-finite numbers, or have another
-length than most of the sample link with nothing; each is its own component.
+Vectors that are null, zero, or hold nulls or non-finite numbers link with
+nothing; each is its own component.  Vectors are compared with those of their
+own length only; each length of more than FEW classes has its own tables.
 Repeated rows are links of each other.  A null id is never the smallest unless
 all ids of its component are null.  Other input columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -41,6 +43,8 @@ from barline.llm import shared, wordhash
 from barline.llm.components import components, forest
 
 TILE = 512
+#: Vectors of one length that are compared all with all, without tables.
+FEW = 32
 #: Bits in which codes may differ, beyond what is expected at the threshold, in deviations.
 SPREAD = 3.0
 #: Bits within which a chunk's codes stand for each other.
@@ -355,40 +359,47 @@ def _large(members: DataFrame, dims: int, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``."""
     spark = vectors.sparkSession
-    v = F.transform(F.col("_v"), lambda x: x.cast("double"))
-    good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists(v, lambda x: F.abs(x) > 1e-150), F.lit(False))
-    base = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("_v"))
+    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    size = F.array_max(F.transform("_v", F.abs))
+    good = F.coalesce(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (size > 0), F.lit(False))
+    # squares of very large or small components would leave the range of doubles
+    scaled = F.when((size > 1e150) | (size < 1e-150), F.transform("_v", lambda x: x / size)).otherwise(F.col("_v"))
     # the 128-bit mark of a vector's components; zero signs don't count
     plain = F.transform(F.col("_v"), lambda x: x + F.lit(0.0))
     mark = F.when(good, F.unhex(F.md5(F.to_json(plain).cast("binary"))))
-    marked = shared.table(base.withColumn("mark", mark), "marked")
+    marked = shared.table(vectors.select(F.col(vec_id).alias("vec_id"), v.alias("_v")).withColumn("mark", mark).withColumn("_v", F.when(good, scaled)), "marked")
     classes = marked.where("mark is not null").groupBy("mark").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("first_id"), F.first("_v").alias("v"))
     classes = shared.table(classes, "classes")
-    picked = classes.select("mark", "v").orderBy(F.xxhash64("mark")).limit(sample).toArrow().column("v").to_pylist()
-    lengths = [len(x) for x in picked]
-    dims = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
-    usable = classes.where(F.size("v") == dims)
-    count = usable.count()
-    if count < 2:
-        links = spark.createDataFrame([], _OUT)
-    else:
-        learnt = np.array([x for x in picked if len(x) == dims], dtype=np.float64)
-        tables, width, most, centre = plan(learnt, count, threshold)
-        model = Quantiser(learnt, tables, width, centre=centre)
-        words = (tables * width + 63) // 64
-        buckets = int(max(12, min(count * tables * width // 500_000, 1 << 20)))
-        packed = usable.select("mark", "v").mapInArrow(_scatter(model, buckets), "bucket int, points binary, keys binary, local binary, ties binary")
-        near = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(words, most + 2 * CLOSE), "a binary, b binary").distinct()
-        clusters = components(near).select(F.col("root").alias("cluster"), F.col("node").alias("mark"))
-        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-        placed = clusters.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("mark"), F.ceil(F.col("m") / TILE)).cast("int"))
-        members = shared.table(placed.join(usable.select("mark", "w", "v"), "mark"), "members")
-        small = members.where(F.col("m") <= TILE).select("cluster", "mark", "w", "v").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_small(threshold), _OUT)
-        large = members.where(F.col("m") > TILE)
-        links = shared.table(small.union(_large(large, dims, threshold)) if large.limit(1).count() else small, "links")
+    # vectors of another length have no cosine with these; a length that one task can hold needs no tables
+    lengths = classes.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    few = classes.join(lengths.where(F.col("n").between(2, FEW)).withColumnRenamed("n", "m"), F.size("v") == F.col("dims"))
+    parts = [few.select(F.col("dims").cast("string").cast("binary").alias("cluster"), "mark", "w", "v").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_small(threshold), _OUT)]
+    parts += [_of_length(classes.where(F.size("v") == r.dims), r.dims, r.n, threshold, sample) for r in lengths.where(F.col("n") > FEW).collect()]
+    links = shared.table(functools.reduce(DataFrame.union, parts), "links")
     counts = links.where("mark is not null").groupBy("mark").agg(F.sum("n").alias("n"))
     roots = components(links.select("a", "b")).select(F.col("node").alias("mark"), "root")
     rooted = classes.select("mark", "w", "first_id").join(roots, "mark", "left").join(counts, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("mark", "component_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    out = marked.select("vec_id", "mark").join(named, "mark", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = shared.attach(rooted, names, "root", "mark").select("mark", "component_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"))
+    linked = shared.attach(marked.where("mark is not null").select("vec_id", "mark"), named, "mark", "vec_id").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = marked.where("mark is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _of_length(classes: DataFrame, dims: int, count: int, threshold: float, sample: int) -> DataFrame:
+    """Counts and edges of the classes of one length."""
+    picked = classes.select("mark", "v").orderBy(F.xxhash64("mark"), "mark").limit(sample).toArrow().column("v").combine_chunks()
+    learnt = picked.flatten().to_numpy().reshape(-1, dims)
+    tables, width, most, centre = plan(learnt, count, threshold)
+    model = Quantiser(learnt, tables, width, centre=centre)
+    words = (tables * width + 63) // 64
+    buckets = int(max(12, min(count * tables * width // 500_000, 1 << 20)))
+    packed = classes.select("mark", "v").mapInArrow(_scatter(model, buckets), "bucket int, points binary, keys binary, local binary, ties binary")
+    near = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(words, most + 2 * CLOSE), "a binary, b binary").distinct()
+    clusters = components(near).select(F.col("root").alias("cluster"), F.col("node").alias("mark"))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    placed = shared.attach(clusters, sizes, "cluster", "mark").withColumn("tile", F.pmod(F.xxhash64("mark"), F.ceil(F.col("m") / TILE)).cast("int"))
+    members = shared.table(placed.join(classes.select("mark", "w", "v"), "mark"), "members")
+    small = members.where(F.col("m") <= TILE).select("cluster", "mark", "w", "v").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_small(threshold), _OUT)
+    large = members.where(F.col("m") > TILE)
+    return small.union(_large(large, dims, threshold)) if large.limit(1).count() else small

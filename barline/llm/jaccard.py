@@ -388,7 +388,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     clusters = components(near).select(F.col("root").alias("cluster"), F.col("node").alias("mark"))
     counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     tiles = F.ceil(F.col("m") / TILE)
-    placed = clusters.join(counts, "cluster").select("mark", "cluster", F.when(F.col("m") <= TILE, 0).otherwise(F.pmod(F.xxhash64("mark"), tiles)).cast("int").alias("tile"), (F.col("m") > TILE).alias("large"))
+    placed = shared.attach(clusters, counts, "cluster", "mark").select("mark", "cluster", F.when(F.col("m") <= TILE, 0).otherwise(F.pmod(F.xxhash64("mark"), tiles)).cast("int").alias("tile"), (F.col("m") > TILE).alias("large"))
     sets = shared.table(_with_texts(docs, firsts.join(placed, "mark"), doc_id, text, "elements binary", lambda keys, n: keys.astype("<u8").tobytes(), ("cluster", "tile", "large")).dropDuplicates(["mark"]), "sets")
     links = shared.table(_verify_groups(sets), "links")
     # a whole cluster's stars are its components; tiles' stars are joined first
@@ -404,8 +404,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     profile, roots = link_classes(docs, doc_id, text)
     by_mark = profile.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"))
     rooted = by_mark.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("mark", "component_id")
-    return profile.join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = shared.attach(rooted, names, "root", "mark").select("mark", "component_id")
+    alone = profile.where("mark is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return shared.attach(profile.where("mark is not null"), named, "mark", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

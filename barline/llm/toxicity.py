@@ -34,11 +34,19 @@ BITS = 20
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights by hashed feature, and the bias of every sentence."""
+    """Weights of hashed features (all others weigh 0), and the bias of every sentence."""
 
-    weights: np.ndarray
+    features: np.ndarray
+    values: np.ndarray
     bias: float
 
+    @property
+    def weights(self) -> np.ndarray:
+        """A weight for each hash."""
+        dense = np.zeros(1 << BITS, dtype=np.float32)
+        dense[self.features] = self.values
+        return dense
+
 
 def _features(texts: pa.Array):
     """(row, sentence, feature) of every word's features in a slice."""
@@ -70,13 +78,15 @@ def _sigmoid(x):
 
 def score_column(text: str | Column, model: ToxicityModel) -> Column:
     """Noisy-or score, 0 to 1, of each text."""
-    weights, bias = model.weights, model.bias
+    known = {}
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
+        if not known:
+            known["weights"] = model.weights
         for at, part in wordhash.slices(texts):
-            rows, p = _sentence_scores(part, weights, bias)
+            rows, p = _sentence_scores(part, known["weights"], model.bias)
             clean = np.bincount(rows, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(part))
             out[at : at + len(part)] = -np.expm1(clean)
         return pa.array(np.clip(out, 0.0, 1.0))
@@ -96,11 +106,12 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "do
     def locate(batches):
         import re
 
+        weights = model.weights
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for k, whole in zip(ids, batch.column(1).to_pylist()):
                 parts = [s for s in re.split(r"(?<=[.!?\n\r])", whole or "") if s.strip()]
-                rows, p = _sentence_scores(pa.array(parts, pa.large_string()), model.weights, model.bias)
+                rows, p = _sentence_scores(pa.array(parts, pa.large_string()), weights, model.bias)
                 best = np.zeros(len(parts))
                 np.maximum.at(best, rows, p)
                 out += [(k, i, float(best[i]), parts[i].strip()) for i in np.flatnonzero(best >= least)]
@@ -110,77 +121,75 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "do
     return docs.select(doc_id, text).mapInArrow(locate, schema)
 
 
-def _bags(batches):
-    """One row for each document: its label, and its sentences' features."""
+def _held(batches):
+    """(f, y, n): how many documents of each label hold each feature, batch by batch."""
     for batch in batches:
-        labels, texts = batch.column(0), batch.column(1)
-        for at, part in wordhash.slices(texts):
-            rows, sentences, columns = _features(part)
-            out = []
-            for r in range(len(part)):
-                lo, hi = np.searchsorted(rows, [r, r + 1])
-                s = sentences[lo:hi]
-                # word number and feature, for every word's features
-                local = (s - s[0] if len(s) else s).astype("<i4")
-                out.append(local.tobytes() + b"".join(c[lo:hi].astype("<i4").tobytes() for c in columns))
-            yield pa.RecordBatch.from_arrays([labels.slice(at, len(part)).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "bag"])
+        labels = batch.column(0).to_numpy().astype(np.int64)
+        for at, part in wordhash.slices(batch.column(1)):
+            rows, _, columns = _features(part)
+            pairs = np.unique(np.concatenate([rows << BITS | c for c in columns]))
+            key, n = np.unique((pairs & (1 << BITS) - 1) << 1 | labels[at + (pairs >> BITS)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(key & 1), pa.array(n)], names=["f", "y", "n"])
+
+
+def _hits(chosen: np.ndarray, strength: np.ndarray):
+    """One row for each document: label, sentences without a chosen feature, and (sentence, feature's place) of the rest's words."""
+
+    def run(batches):
+        slot, most = np.full(1 << BITS, -1, dtype=np.int32), np.zeros(1 << BITS)
+        slot[chosen], most[chosen] = np.arange(len(chosen)), strength
+        for batch in batches:
+            for at, part in wordhash.slices(batch.column(1)):
+                rows, sentences, columns = _features(part)
+                f = np.stack(columns)
+                best = f[np.argmax(most[f], axis=0), np.arange(f.shape[1])]  # one feature for each word: the strongest that it has
+                keep = slot[best] >= 0
+                bounds = np.searchsorted(rows, np.arange(len(part) + 1))
+                whole, empty, sent, feat = [], [], [], []
+                for lo, hi in zip(bounds[:-1], bounds[1:]):
+                    s, k = sentences[lo:hi], keep[lo:hi]
+                    used, local = np.unique(s[k], return_inverse=True)
+                    empty.append(len(np.unique(s)) - len(used))
+                    sent.append(local.astype("<i4").tobytes())
+                    feat.append(slot[best[lo:hi][k]].astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).cast(pa.int32()), pa.array(empty, pa.int64()), pa.array(sent, pa.binary()), pa.array(feat, pa.binary())], names=["y", "empty", "sent", "feat"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000, features: int = 512, steps: int = 200) -> ToxicityModel:
     """Train on at most ``sample`` labelled rows: those with the lowest hash of the id.
 
-    Rows without a label or id are left out.  The ``features`` with the
-    strongest link to the label get weights; the rest stay 0.  With no
-    labelled row of both kinds, the model scores everything near 0.
+    Rows without a label or id are left out.  The ``features`` (the model's
+    size) with the strongest link to the label get weights; the rest stay 0.
+    They are chosen from counts made in Spark, and only words with a chosen
+    feature come to the driver.  With no labelled row of both kinds, the model
+    scores everything near 0.
     """
     chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id), F.col(label).alias("y")).where(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)).limit(sample)
-    picked = docs.select(F.col(doc_id), F.col(text).alias("t")).join(F.broadcast(chosen), doc_id)  # at most `sample` rows
-    rows = picked.select("y", "t").mapInArrow(_bags, "y int, bag binary").toArrow()
-    y = rows.column("y").to_numpy().astype(np.float64)
-    width = 1 << BITS
-    weights = np.zeros(width, dtype=np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        return ToxicityModel(weights, -12.0)
-    parsed = []
-    for bag in rows.column("bag").to_pylist():
-        flat = np.frombuffer(bag, dtype="<i4")
-        parsed.append(flat.reshape(2 + len(PREFIXES), -1))
-    # documents of each label that hold each feature
-    held = np.zeros((2, width))
-    for k, bag in zip(y.astype(int), parsed):
-        held[k, np.unique(bag[1:])] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = np.log((held[1] + 0.5) / (n1 + 1)) - np.log((held[0] + 0.5) / (n0 + 1))
-    spread = np.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5))
-    z = np.where(held[1] >= 2, odds / spread, 0)
-    chosen_f = np.argsort(-z, kind="stable")[:features]
-    chosen_f = chosen_f[z[chosen_f] > 2.5]
-    slot = np.full(width, -1, dtype=np.int64)
-    slot[chosen_f] = np.arange(len(chosen_f))
-    strength = np.zeros(width)
-    strength[chosen_f] = z[chosen_f]
-    # one chosen feature for each word: the strongest that it has
-    doc_of, sent_of, feat_of, empties = [], [], [], np.zeros(len(y))
-    base = 0
-    for i, bag in enumerate(parsed):
-        s, f = bag[0], bag[1:]
-        if len(s) == 0:
-            continue
-        best = f[np.argmax(strength[f], axis=0), np.arange(f.shape[1])]
-        keep = slot[best] >= 0
-        total, hit = len(np.unique(s)), np.unique(s[keep], return_inverse=True)
-        empties[i] = total - len(hit[0])
-        if keep.any():
-            doc_of.append(np.full(len(hit[0]), i))
-            sent_of.append(hit[1] + base)
-            feat_of.append(slot[best[keep]])
-            base += len(hit[0])
-    doc_of = np.concatenate(doc_of) if doc_of else np.zeros(0, dtype=int)
-    sent_of = np.concatenate(sent_of) if sent_of else np.zeros(0, dtype=int)
-    feat_of = np.concatenate(feat_of) if feat_of else np.zeros(0, dtype=int)
+    picked = docs.select(F.col(doc_id), F.col(text).alias("t")).join(F.broadcast(chosen), doc_id).select("y", "t")  # at most `sample` rows
+    kinds = {r.y: r.n for r in picked.groupBy(F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(kinds) < 2:
+        return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -12.0)
+    n1, n0 = kinds[1], kinds[0]
+    by_label = [F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)) for k in (0, 1)]
+    held = picked.mapInArrow(_held, "f long, y long, n long").groupBy("f").agg(by_label[0].alias("h0"), by_label[1].alias("h1")).where("h1 >= 2")
+    odds = F.ln((F.col("h1") + 0.5) / (n1 + 1)) - F.ln((F.col("h0") + 0.5) / (n0 + 1))
+    z = odds / F.sqrt(1 / (F.col("h1") + 0.5) + 1 / (F.col("h0") + 0.5))
+    best = held.select("f", z.alias("z")).where("z > 2.5").orderBy(F.desc("z"), "f").limit(features).toArrow()
+    chosen_f, strength = best.column("f").to_numpy(), best.column("z").to_numpy()
+    rows = picked.mapInArrow(_hits(chosen_f, strength), "y int, empty long, sent binary, feat binary").toArrow()
+    y, empties = rows.column("y").to_numpy().astype(np.float64), rows.column("empty").to_numpy().astype(np.float64)
+    sents, feats = ([np.frombuffer(x, dtype="<i4") for x in rows.column(k).to_pylist()] for k in ("sent", "feat"))
+    del rows
+    sizes = np.array([s.max() + 1 if len(s) else 0 for s in sents])
+    begins = np.cumsum(sizes) - sizes
+    base = int(sizes.sum())
+    doc_of = np.repeat(np.arange(len(y)), sizes)
+    sent_of = np.concatenate([s + b for s, b in zip(sents, begins)])
+    feat_of = np.concatenate(feats)
     lift = np.sqrt(n0 / n1)  # the rarer label counts for more
-    w, b = np.full(len(chosen_f), 1.0), -6.0
-    theta = np.r_[w, b]
+    theta = np.r_[np.full(len(chosen_f), 1.0), -6.0]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         w, b = theta[:-1], theta[-1]
@@ -194,5 +203,4 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         g = np.r_[np.bincount(feat_of, weights=per[sent_of], minlength=len(w)) / len(y) - 1e-4 * w, ((up * empties * p0).sum() + per.sum()) / len(y)]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights[chosen_f] = theta[:-1]
-    return ToxicityModel(weights, float(theta[-1]))
+    return ToxicityModel(chosen_f, theta[:-1].astype(np.float32), float(theta[-1]))

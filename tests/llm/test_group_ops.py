@@ -297,6 +297,26 @@ def test_embedding_edges(spark):
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in one) == [("3", 1, 3), ("3", 1, 3), ("None", 0, None)]
 
 
+def test_vectors_of_any_length_and_size(spark):
+    """Links inside each length, whatever the magnitudes; brute force over whole vectors."""
+    rng = np.random.default_rng(4)
+    vectors = []
+    for d, n in ((3, 50), (5, 60), (4, 8), (2, 1)):
+        base = rng.normal(size=(4, d))
+        vectors += [[float(x) for x in base[k % 4] + rng.normal(scale=0.1, size=d)] for k in range(n)]
+    vectors = [[x * 10.0 ** (0, 160, -160, -300, 300)[k % 5] for x in v] for k, v in enumerate(vectors)]
+    vectors += [[5e-324, 0.0, 0.0], [1e308, 0.0, 0.0], [0.0, 0.0, 0.0], [], None, [float("inf"), 1.0, 2.0], [None, 1.0, 2.0]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    usable = {k: np.array(v) / max(map(abs, v)) for k, v in enumerate(vectors) if v and None not in v and all(map(math.isfinite, v)) and any(v)}
+    links = {k: [j for j, w in usable.items() if j != k and len(w) == len(v) and v @ w / math.sqrt((v @ v) * (w @ w)) >= 0.9] for k, v in usable.items()}
+    for k in range(len(vectors)):
+        seen, new = {k}, [k]
+        while new:
+            new = [j for i in new for j in links.get(i, []) if j not in seen]
+            seen.update(new)
+        assert got[k] == (len(links.get(k, [])), min(seen)), k
+
+
 # --- language model
 
 
