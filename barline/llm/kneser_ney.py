@@ -36,10 +36,10 @@ each gets its score.  Other input columns are ignored.
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ from barline.llm import wordhash
 
 START, END = (np.uint64(0x53746172745F5F31), np.uint64(0x456E645F5F5F5F32))
 #: Text bytes of a chunk; text bytes for each bucket; n-grams of a bucket's part.
-CHUNK, BUCKET, PART = 4 << 20, 40 << 20, 1 << 20
+CHUNK, BUCKET, PART = 4 << 20, 24 << 20, 1 << 18
 #: Words that are written as two bytes, and the share of a bucket that one context word may fill.
 FREQUENT, SHARE = 65_000, 8
 _ROW = "bucket int, chunk long, docs binary, train binary, data array<binary>, info binary"
@@ -89,32 +89,26 @@ class Words:
 
     def __init__(self, frequent: np.ndarray, spread: np.ndarray, buckets: int, part: int):
         order = np.argsort(frequent)
-        self.frequent, self.spread, self.buckets, self.part = frequent[order], spread[order].astype(np.uint64), buckets, part
+        self.frequent, self.buckets, self.part = frequent[order], buckets, part
+        self.spread = np.r_[1, spread[order]].astype(np.uint64)  # by code
 
-    def _find(self, words: np.ndarray):
+    def code(self, words: np.ndarray) -> np.ndarray:
+        """A number for each word, 0 for the words that aren't in the list."""
         at = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
-        return at, self.frequent[at] == words
-
-    def code(self, words: np.ndarray) -> tuple[bytes, bytes]:
-        """Two bytes for each word; the rest of the words, which have code 0, whole."""
-        at, hit = self._find(words)
-        return np.where(hit, at + 1, 0).astype("<u2").tobytes(), words[~hit].tobytes()
+        return np.where(self.frequent[at] == words, at + 1, 0).astype("<u2")
 
     def decode(self, codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The words again, with the ``rest`` for code 0."""
         words = self.frequent[np.maximum(codes, 1).astype(np.int64) - 1]
         words[codes == 0] = rest
         return words
 
-    def place(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Where n-grams with last context word v and token w belong, over the 64-bit range."""
-        at, hit = self._find(v)
-        spread = np.where(hit, self.spread[at], np.uint64(1))
-        return wordhash.mix(v + wordhash.mix(w, 72) % spread * np.uint64(0x9E3779B97F4A7C15), 71)
-
-    def spreads(self, v: np.ndarray) -> np.ndarray:
-        """Whether a context word's n-grams are spread over buckets."""
-        at, hit = self._find(v)
-        return hit & (self.spread[at] > 1)
+    def place(self, code: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Where n-grams with last context word v (of this code) and token w belong, over the 64-bit range."""
+        salt = np.zeros(len(v), dtype=np.uint64)
+        hot = np.flatnonzero(self.spread[code] > 1)
+        salt[hot] = wordhash.mix(w[hot], 72) % self.spread[code[hot]] * np.uint64(0x9E3779B97F4A7C15)
+        return wordhash.mix(v + salt, 71)
 
     def bucket(self, place: np.ndarray) -> np.ndarray:
         return ((place >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
@@ -132,60 +126,68 @@ def _gram(key: np.ndarray, w: np.ndarray) -> np.ndarray:
     return wordhash.mix(key + w * np.uint64(3), 76)
 
 
-def _grams(part: pa.Array, order: int):
-    """(document, token, context words from the last on) of each token, and tokens by document."""
-    rows, words = wordhash.words(part)
-    n = np.bincount(rows, minlength=len(part)) + 1
-    doc = np.repeat(np.arange(len(part), dtype=np.int32), n)
-    token = np.empty(len(doc), dtype=np.uint64)
-    ends = np.cumsum(n) - 1
-    token[np.arange(len(words)) + rows] = words
-    token[ends] = END
-    first, context, before = ends - n + 1, [], token
-    for _ in range(order - 1):
-        before = np.r_[START, before[:-1]]
-        before[first] = START
-        context.append(before)
-    return doc, token, context, n
+def _before(token: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """What stands before each token; ``start`` before the first of a document."""
+    out = np.empty_like(token)
+    out[1:] = token[:-1]
+    out[first] = start
+    return out
 
 
 def _scatter(words: Words, order: int):
     """Chunks of (id, training flag, text) to packed n-grams by bucket."""
 
+    def pack(part: pa.Array, train: np.ndarray):
+        """(tokens of each document, packed (bucket, documents, their flags, n-grams) of the chunk)."""
+        rows, found = wordhash.words(part)
+        n = np.bincount(rows, minlength=len(part)) + 1
+        doc = np.repeat(np.arange(len(part), dtype=np.int32), n)
+        w = np.empty(len(doc), dtype=np.uint64)
+        ends = np.cumsum(n) - 1
+        w[np.arange(len(found)) + rows] = found
+        w[ends] = END
+        del rows, found
+        tokens, codes, start = [w], [words.code(w)], words.code(np.array([START]))[0]
+        for _ in range(order - 1):
+            tokens.append(_before(tokens[-1], ends - n + 1, START))
+            codes.append(_before(codes[-1], ends - n + 1, start))
+        place, h = words.place(codes[1], tokens[1], w), _gram(_chain(tokens[1:]), w)
+        sort = np.argsort(place & np.uint64(0xFFFFFFFF00000000) | h >> np.uint64(32))
+        doc, h, bucket = doc[sort], h[sort], words.bucket(place[sort])
+        cuts = np.append(_starts(bucket), len(bucket))
+        out = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            held = np.zeros(len(part), dtype=bool)
+            held[doc[i:j]] = True
+            used = np.flatnonzero(held)
+            entry = _starts(h[i:j])  # where each distinct n-gram begins
+            times, count = _split(np.diff(np.append(entry, j - i)))
+            entry = sort[i:j][entry[times]]
+            v = tokens[1][entry]
+            run_ = _starts(v)
+            times, length = _split(np.diff(np.append(run_, len(v))))
+            data = [count.tobytes(), length.tobytes(), _narrow((np.cumsum(held) - 1)[doc[i:j]], len(used))]
+            for k, at in enumerate((entry[run_[times]], entry, *[entry] * (order - 2))):
+                k = (1, 0, *range(2, order))[k]
+                code = codes[k][at]
+                data += [code.tobytes(), tokens[k][at[code == 0]].tobytes()]
+            out.append((int(bucket[i]), _narrow(used, len(part)), np.packbits(train[used]).tobytes(), data))
+        return n, out
+
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at, part in wordhash.slices(batch.column(2), CHUNK):
-                doc, w, context, n = _grams(part, order)
                 train = batch.column(1).slice(at, len(part)).fill_null(True).to_numpy(zero_copy_only=False).astype(bool)
+                n, packed = pack(part, train)
                 info = pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(train)], names=["doc_id", "n", "train"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, info.schema) as writer:
                     writer.write_batch(info)
-                place, h = words.place(context[0], w), _gram(_chain(context), w)
-                sort = np.argsort(place & np.uint64(0xFFFFFFFF00000000) | h >> np.uint64(32))
-                doc, w, context, h, bucket = doc[sort], w[sort], [c[sort] for c in context], h[sort], words.bucket(place[sort])
-                del place, sort
-                cuts = np.append(_starts(bucket), len(bucket))
-                out = [], [], [], [], [], []
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    held = np.zeros(len(part), dtype=bool)
-                    held[doc[i:j]] = True
-                    used = np.flatnonzero(held)
-                    entry = _starts(h[i:j]) + i  # where each distinct n-gram begins
-                    times, count = _split(np.diff(np.append(entry, j)))
-                    entry = entry[times]
-                    v = context[0][entry]
-                    run_ = _starts(v)
-                    times, length = _split(np.diff(np.append(run_, len(v))))
-                    data = [count.tobytes(), length.tobytes(), _narrow((np.cumsum(held) - 1)[doc[i:j]], len(used)), *words.code(v[run_[times]])]
-                    for c in (w, *context[1:]):
-                        data += words.code(c[entry])
-                    row = int(bucket[i]), task << 32 | number, _narrow(used, len(part)), np.packbits(train[used]).tobytes(), data, sink.getvalue().to_pybytes() if i == 0 else None
-                    for column, value in zip(out, row):
-                        column.append(value)
+                bucket, docs, flags, data = zip(*packed)
+                first = [sink.getvalue().to_pybytes(), *[None] * (len(packed) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([task << 32 | number] * len(packed), pa.int64()), pa.array(docs, pa.binary()), pa.array(flags, pa.binary()), pa.array(data, pa.list_(pa.binary())), pa.array(first, pa.binary())], names=[x.split()[0] for x in _ROW.split(", ")])
                 number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:4]), pa.array(out[4], pa.list_(pa.binary())), pa.array(out[5], pa.binary())], names=[x.split()[0] for x in _ROW.split(", ")])
 
     return run
 
@@ -208,11 +210,21 @@ class _Packed:
         """Last context words (k=0), tokens (1), or earlier context words (2 and up) of a stretch."""
         codes, rest = self.codes[k]
         if k == 0:
-            return self.words.decode(codes, rest)[np.searchsorted(self.runs, np.arange(lo, hi), side="right")]
+            return self.words.decode(codes, rest)[self._runs(lo, hi)]
         skip = np.count_nonzero(codes[:lo] == 0)
         own = codes[lo:hi]
         return self.words.decode(own, rest[skip : skip + np.count_nonzero(own == 0)])
 
+    def _runs(self, lo: int, hi: int) -> np.ndarray:
+        """Runs of last context words that the stretch's n-grams are in."""
+        a, b = np.searchsorted(self.runs, (lo, hi - 1), side="right")
+        ends = np.minimum(self.runs[a : b + 1], hi)
+        return np.repeat(np.arange(a, b + 1), np.diff(np.r_[lo, ends]))
+
+    def code(self, lo: int, hi: int) -> np.ndarray:
+        """Codes of the last context words of a stretch."""
+        return self.codes[0][0][self._runs(lo, hi)]
+
     def occurrences(self, lo: int, hi: int) -> slice:
         """Where the stretch's occurrences stand in ``doc``."""
         return slice(int(self.ends[lo - 1]) if lo else 0, int(self.ends[hi - 1]) if hi else 0)
@@ -232,7 +244,7 @@ class _Bucket:
         for r in self.rows:
             inner = np.zeros(0, dtype=np.int64)
             if number > 1:
-                inner = np.searchsorted(words.place(r.column(0, 0, r.size), r.column(1, 0, r.size)) >> np.uint64(32), bounds)
+                inner = np.searchsorted(words.place(r.code(0, r.size), r.column(0, 0, r.size), r.column(1, 0, r.size)) >> np.uint64(32), bounds)
             self.cuts.append(np.r_[0, inner, r.size])
         self.parts = range(number)
 
@@ -241,7 +253,7 @@ class _Bucket:
         tokens, contexts = [], []
         for r in self.rows:
             tokens.append(np.unique(r.column(1, 0, r.size)))
-            hot = np.flatnonzero(self.words.spreads(r.column(0, 0, r.size)))
+            hot = np.flatnonzero(self.words.spread[r.code(0, r.size)] > 1)
             if len(hot):
                 context = [r.column(k, 0, r.size)[hot] for k in (0, *range(2, self.order))]
                 contexts += [np.unique(_chain(context[:k])) for k in range(1, self.order)]
@@ -346,7 +358,7 @@ def _ask(words: Words, order: int):
             for b in range(words.buckets):
                 w, c = order_w[cuts_w[b] : cuts_w[b + 1]], order_c[cuts_c[b] : cuts_c[b + 1]]
                 if len(w) or len(c) or b == 0:
-                    row = b, rows[0]["bucket"], tokens[w].tobytes(), zlib.compress(of_words[:, w].tobytes(), 1), contexts[c].tobytes(), zlib.compress(of_contexts[:, c].tobytes(), 1), coc.tobytes() if b == 0 else None
+                    row = b, rows[0]["bucket"], tokens[w].tobytes(), _press(of_words[:, w]), contexts[c].tobytes(), _press(of_contexts[:, c]), coc.tobytes() if b == 0 else None
                     for column, value in zip(out, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["home", "bucket", "words", "figures", "contexts", "stats", "coc"])
@@ -354,8 +366,15 @@ def _ask(words: Words, order: int):
     return run
 
 
+def _press(figures: np.ndarray) -> bytes:
+    """Whole numbers, compressed by byte planes."""
+    planes = np.ascontiguousarray(figures, dtype="<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
 def _figures(data: bytes, kinds: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype="<u8").reshape(kinds, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(kinds, -1)
 
 
 def _answer(order: int):
@@ -379,7 +398,7 @@ def _answer(order: int):
             coc = sum((np.frombuffer(r["coc"], dtype="<i8") for r in rows if r["coc"]), np.zeros(4 * (order - 1), dtype=np.int64))
             totals = [int(raw.sum()), int((raw > 0).sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), *map(int, coc)]
             for k, r in enumerate(rows):
-                own = [zlib.compress(np.ascontiguousarray(s[:, p[c[k] : c[k + 1]]]).tobytes(), 1) for s, p, c in zip(sums, places, cuts)]
+                own = [_press(s[:, p[c[k] : c[k + 1]]]) for s, p, c in zip(sums, places, cuts)]
                 t = totals if k == 0 else [0] * len(totals)
                 yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([home], pa.int32()), *(pa.array([x], pa.binary()) for x in own), *(pa.array([x], pa.int64()) for x in t)], names=["bucket", "home", "figures", "stats", *_names(order)])
 
@@ -480,12 +499,13 @@ def _plan(docs: DataFrame, train: str, doc_id: str, text: str, order: int):
     """(dealt n-grams, answers with totals, words)."""
     words = _words(docs, text)
     buckets = words.buckets
-    dealt = docs.select(F.col(doc_id), F.col(train).cast("boolean"), F.col(text)).mapInArrow(_scatter(words, order), _ROW).repartition(buckets, "bucket")
+    dealt = docs.select(F.col(doc_id), F.col(train).cast("boolean"), F.col(text)).mapInArrow(_scatter(words, order), _ROW).repartitionById(buckets, F.col("bucket"))
     asked = dealt.sortWithinPartitions("bucket").mapInArrow(_ask(words, order), "home int, bucket int, words binary, figures binary, contexts binary, stats binary, coc binary")
     sums = ", ".join(f"{k} long" for k in _names(order))
-    answers = asked.repartition(buckets, "home").mapInArrow(_answer(order), f"bucket int, home int, figures binary, stats binary, {sums}")
+    answers = asked.repartitionById(buckets, F.col("home")).mapInArrow(_answer(order), f"bucket int, home int, figures binary, stats binary, {sums}")
     totals = answers.agg(*(F.sum(k).alias(f"all_{k}") for k in _names(order)))
-    return dealt, answers.select("bucket", "home", "figures", "stats").join(F.broadcast(totals), F.lit(True)), words  # one row
+    with_totals = answers.select("bucket", "home", "figures", "stats").join(F.broadcast(totals), F.lit(True))  # one row
+    return dealt, with_totals.repartitionById(buckets, F.col("bucket")), words
 
 
 def model(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
