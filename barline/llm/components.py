@@ -78,8 +78,8 @@ def _moved_up(pairs: DataFrame, ups: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of an edge with the least node that it reaches.
 
-    Edges are dealt by their larger end, so no root gathers rows, and each task
-    gives back the stars of its edges' forest.  A node that then has edges to
+    Each task reduces its edges to a forest's stars; these are dealt by their
+    larger end, so no root gathers rows, and reduced again.  A node that then has edges to
     several smaller ones makes another round; from the third on, edges move up
     to their smaller end's smaller neighbour between rounds, so that long chains
     halve.  When every node has one edge to a smaller one, these are followed to
@@ -92,7 +92,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     schema = f"a {kind}, b {kind}, again boolean"
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     pairs = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    merged = shared.table(pairs.repartition("b").mapInArrow(_merge, schema), "forest")
+    # each task's own forest first, so that a node has few edges left when they are dealt
+    own = pairs.mapInArrow(_merge, schema).select("a", "b")
+    merged = shared.table(own.repartition("b").mapInArrow(_merge, schema), "forest")
     for done in range(1, most_rounds + 1):
         if not merged.where("again").limit(1).count():
             break

@@ -68,16 +68,16 @@ def _chunks(batches, column: int):
 
 
 def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, mark): each document's set size and the 128-bit mark of its set (null if empty)."""
+    """(doc_id, digest, n, mark): each document's set size and the 128-bit mark of its set (null if empty); ``digest`` is the text's."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
         for batch, part in _chunks(batches, 1):
             _, _, n, marks = _sets(part)
             mark = [m.tobytes() if k else None for m, k in zip(marks, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary())], names=["doc_id", "n", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(mark, pa.binary())], names=["doc_id", "digest", "n", "mark"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, mark binary")
+    return docs.select(F.col(doc_id), F.col(text), F.xxhash64(text)).mapInArrow(run, f"doc_id {kind}, digest long, n long, mark binary")
 
 
 def frequent_elements(docs: DataFrame, text: str = "text", limit: int = FREQUENT) -> np.ndarray:
@@ -399,24 +399,32 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return profile, roots
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id), one row for each row of ``docs``."""
     profile, roots = link_classes(docs, doc_id, text)
     by_mark = profile.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"))
     rooted = by_mark.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = shared.attach(rooted, names, "root", "mark").select("mark", "component_id")
-    alone = profile.where("mark is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return shared.attach(profile.where("mark is not null"), named, "mark", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
+    alone = profile.where("mark is null").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return shared.attach(profile.where("mark is not null"), named, "mark", "doc_id").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    return _grouped(docs, doc_id, text).drop("digest")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that lead their group, with all their columns.
 
-    Of rows that share id and text one stays; rows without a shingle all stay.
+    Of rows that share id and text one stays; of rows that share an id with
+    different texts, those stay whose own group the id leads; rows without a
+    shingle all stay, but for repeats of id and text.
     """
-    leads = join(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = leads.groupBy(F.col("doc_id").alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(counted, docs[doc_id].eqNullSafe(counted["_lead"])).drop("_lead")
-    again = kept.where("_rows > 1").withColumn("_text", F.sha2(F.col(text), 256)).dropDuplicates([doc_id, "_text"])
-    return kept.where("_rows = 1").drop("_rows").union(again.drop("_rows", "_text"))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the input can clash
+    rows = docs.select(*(F.col(f"`{k}`").alias(v) for k, v in own.items()))
+    leads = _grouped(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest").distinct()
+    same = rows[own[doc_id]].eqNullSafe(leads["doc_id"]) & (F.xxhash64(rows[own[text]]) == leads["digest"])
+    kept = rows.join(leads, same).dropDuplicates(["doc_id", "digest"])
+    return kept.select(*(F.col(v).alias(k) for k, v in own.items()))

@@ -78,8 +78,9 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, default: int
     the sources' row counts to the power ``alpha``: large sources get a smaller
     share than they have of the rows, small ones a larger.
     """
-    docs = docs.drop(*_ADDED)
-    columns = docs.columns
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in _ADDED}  # no name of the input can clash
+    docs = docs.select(*(F.col(f"`{k}`").alias(v) for k, v in own.items()))
+    doc_id, source = own[doc_id], own[source]
     keyed = docs.withColumn("_md5", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).withColumn("_prefix", F.substring("_md5", 1, 3))
     sources = _weights(docs, source, weights, default, alpha, parts)
     slots = pattern(sources)
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, default: int
     turn = slots.select(F.col("_source").alias("_s"), "_k", "_at")
     slotted = with_info.join(F.broadcast(turn), with_info[source].eqNullSafe(turn["_s"]) & (with_info["block"] % with_info["_a"] == turn["_k"]), "left")
     return slotted.join(F.broadcast(end), F.lit(True)).select(  # `end` is one row
-        *columns, "block",
+        *(F.col(v).alias(k) for k, v in own.items()), "block",
         F.expr("(block * _q) div _a").alias("release"),
         F.expr("((block + 1) * _q + _a - 1) div _a").alias("due"),
         F.expr("(block div _a) * _q + _at").alias("slot"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm import wordhash
+from barline.llm import shared, wordhash
 
 #: Lengths in bytes of the word beginnings that count as features.
 PREFIXES = (4, 5, 6, 7)
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id), F.col(label).alias("y")).where(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)).limit(sample)
     picked = docs.select(F.col(doc_id), F.col(text).alias("t")).join(F.broadcast(chosen), doc_id).select("y", "t")  # at most `sample` rows
+    picked = shared.table(picked, "labelled")
     kinds = {r.y: r.n for r in picked.groupBy(F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -12.0)
