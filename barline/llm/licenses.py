@@ -29,9 +29,12 @@ SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("per cent", "percent"),
     ("organisation", "organization"), ("favour", "favor"), ("whilst", "while"), ("wilful", "willful"),
     ("copyright owner", "copyright holder"), ("(c)", "copyright"), ("©", "copyright"), ("https:", "http:"), ("&", "and"),
+    ("\u201c", " "), ("\u201d", " "), ("\u2018", " "), ("\u2019", " "), ("\u2013", " "), ("\u2014", " "), ("\u00a0", " "),
 )
-#: A line that only states a copyright.
-COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that only states a copyright: after the mark a year or another mark follows, unlike in clauses and wrapped sentences.
+COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©|<year>|yyyy)[^\n]*$"
+#: What a line says that may be a notice.
+NOTICE = "licen|released under|permission"
 #: What counts as punctuation or space: ASCII other than letters and digits.
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
@@ -115,6 +118,6 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     if shipped is not None:
         named = F.broadcast(shipped.withColumnRenamed("license_id", "_shipped"))  # a few rows for each licence
         whole = whole.join(named, "shipped", "left").withColumn("license_id", F.coalesce("license_id", "_shipped")).drop("shipped", "_shipped")
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.lower(x).rlike("licen|released under"))
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.lower(x).rlike(NOTICE))
     found = base.select("doc_id", F.explode(lines).alias("line")).select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(found, whole["doc_id"].eqNullSafe(found["_id"]), "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -67,7 +67,7 @@ WITH known AS (
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (
   SELECT doc_id, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices
-  FROM (SELECT doc_id, {_digest_sql("line")} AS digest FROM lines WHERE regexp_matches(lower(line), 'licen|released under')) JOIN known USING (digest)
+  FROM (SELECT doc_id, {_digest_sql("line")} AS digest FROM lines WHERE regexp_matches(lower(line), '{licenses.NOTICE}')) JOIN known USING (digest)
   GROUP BY doc_id),
 whole AS (SELECT doc_id, {_digest_sql("text")} AS digest FROM documents)
 SELECT w.doc_id, w.digest, k.license_id, coalesce(f.notices, '') AS notices

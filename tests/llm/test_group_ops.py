@@ -83,6 +83,16 @@ def test_licences(spark, edge):
     assert known.count() == len(licenses.KNOWN)
 
 
+def test_clauses_are_no_copyright_lines(spark):
+    """Clauses and wrapped sentences stay; statements, typographic marks and spellings don't count."""
+    text = "(c) You must keep this notice.\nThe owner of the\ncopyright grants a \u201clicence\u201d."
+    known = licenses.known_licenses(spark, [("X", text)])
+    assert known.first().digest
+    texts = ["Copyright (c) 2001 A\n(C) you must keep this notice.\nThe owner of the copyright grants a 'license'", "The owner of the copyright grants a licence.", "(c) You must keep this notice.", "(c) 1999 A. Name\n" + text]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).collect()}
+    assert got == {0: "X", 1: None, 2: None, 3: "X"}
+
+
 def test_licences_as_shipped(spark):
     """Each whole text as its file, without its first line, and under another title and holder."""
     files = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
