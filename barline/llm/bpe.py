@@ -36,6 +36,8 @@ import regex
 
 #: Entries that a worker's caches hold before they are emptied.
 CACHE = 250_000
+#: Letters of a piece that is kept in a cache; longer ones are worked out each time.
+LONGEST = 64
 
 
 def _byte_letters() -> list[str]:
@@ -61,7 +63,8 @@ class _Cache(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST:
+            self[key] = value
         return value
 
 
@@ -208,11 +211,11 @@ class _Coder:
         self.vocabulary = vocabulary(file)
         self.pieces = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.specials)) + ")").split
-        self.has_special = min(self.vocabulary.specials, key=len)[:2]
+        self.openings = sorted({s[:2] for s in self.vocabulary.specials})
 
     def segments(self, text: str) -> list[str]:
         """Ordinary texts at even places, special strings at odd ones."""
-        return self.cut(text) if self.has_special in text else [text]
+        return self.cut(text) if any(o in text for o in self.openings) else [text]
 
 
 class WordCoder(_Coder):

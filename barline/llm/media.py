@@ -97,6 +97,8 @@ def png_decode(media: bytes) -> tuple[np.ndarray, int]:
         if len(body) < n or at + 12 + n > len(media) or zlib.crc32(kind + body) != struct.unpack_from(">I", media, at + 8 + n)[0]:
             raise ValueError("checksum of a chunk")
         if kind == b"IHDR":
+            if len(body) != 13:
+                raise ValueError("length of the header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)

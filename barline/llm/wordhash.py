@@ -15,7 +15,8 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Texts are handled in slices of about this many bytes; inside, hashes are
-#: worked out over a quarter of that at a time, which bounds memory.
+#: worked out over a quarter of that at a time, which bounds memory; a longer
+#: text is taken in pieces.
 SLICE_BYTES = 4 << 20
 STEP_BYTES = 1 << 20
 
@@ -88,8 +89,37 @@ def words(texts: pa.Array, separators: np.ndarray | None = None, prefixes: tuple
             return rows, hashes
         base = np.cumsum([0] + [int(w[2][-1]) + 1 if len(w[2]) else 0 for _, w in steps])
         return rows, hashes, np.concatenate([w[2] + b for (_, w), b in zip(steps, base)]), [np.concatenate([w[3][k] for _, w in steps]) for k in range(len(prefixes))]
+    if hi - lo > STEP_BYTES:
+        return _in_pieces(texts, lo, hi, _SPACE if separators is None else separators, prefixes) if texts.null_count == 0 else none
+    return _words(texts, lo, hi, offsets - lo, none, separators, prefixes)
+
+
+def _in_pieces(texts: pa.Array, lo: int, hi: int, separators: np.ndarray, prefixes: tuple[int, ...]):
+    """``words`` of one long text, a piece at a time; pieces end at separators."""
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=hi)[lo:]
+    at, steps, base = 0, [], 0
+    while at < len(data):
+        end = at + STEP_BYTES
+        while end < len(data) and not separators[data[end]]:
+            near = np.flatnonzero(separators[data[end : end + 4096]])
+            end = end + int(near[0]) if len(near) else end + 4096
+        end = min(end, len(data))
+        bounds = np.array([lo + at, lo + end], dtype=np.int64)
+        piece = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(bounds), texts.buffers()[2]])
+        none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.uint64)] * len(prefixes))
+        found = _words(piece, lo + at, lo + end, bounds - bounds[0], none if prefixes else none[:2], separators, prefixes)
+        steps.append((*found[:2], *((found[2] + base, found[3]) if prefixes else ())))
+        base += int(_STOP[data[at:end]].sum())
+        at = end
+    rows, hashes = (np.concatenate([s[k] for s in steps]) for k in (0, 1))
+    if not prefixes:
+        return rows, hashes
+    return rows, hashes, np.concatenate([s[2] for s in steps]), [np.concatenate([s[3][k] for s in steps]) for k in range(len(prefixes))]
+
+
+def _words(texts: pa.Array, lo: int, hi: int, bounds: np.ndarray, none: tuple, separators: np.ndarray | None, prefixes: tuple[int, ...]):
+    """``words`` of texts that are few bytes together."""
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=hi)[lo:]
-    bounds = offsets - lo
     if texts.null_count:  # a null's bytes, if any, are not text
         data = data.copy()
         for i in np.flatnonzero(~texts.is_valid().to_numpy(zero_copy_only=False)):

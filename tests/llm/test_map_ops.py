@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -202,3 +203,29 @@ def test_media_columns(spark, edge):
     damaged = spark.createDataFrame([(1, bytearray(b"no png")), (2, None)], "doc_id long, media binary")
     assert [r.payload_bytes for r in media.png_features(damaged, keep=("doc_id",)).collect()] == [None, None]
     assert media.png_features(media.texts_to_png(edge.limit(0))).count() == 0
+
+
+def test_long_texts_are_split_like_short_ones(monkeypatch):
+    """A text beyond the step is taken in pieces: same words, sentences and beginnings."""
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word", "Ünïcode", "a", "x" * 90, "!"]) + rng.choice([" ", ". ", "\n", "-", "  "]) for _ in range(3000))
+    for separators, prefixes in ((None, ()), (wordhash.NOT_ALNUM, (4, 5))):
+        texts = pa.array([text], pa.large_string())
+        want = wordhash.words(texts, separators, prefixes)
+        with monkeypatch.context() as m:
+            m.setattr(wordhash, "STEP_BYTES", 1000)
+            got = wordhash.words(texts, separators, prefixes)
+        assert all(np.array_equal(a, b) for a, b in zip(want[:3] if prefixes else want, got[:3] if prefixes else got))
+        if prefixes:
+            assert all(np.array_equal(a, b) for a, b in zip(want[3], got[3]))
+    blanks = pa.array([" " * 5000 + "a" * 9000 + " "], pa.large_string())
+    monkeypatch.setattr(wordhash, "STEP_BYTES", 1000)
+    assert len(wordhash.words(blanks)[0]) == 1 and len(wordhash.words(pa.array(["a" * 5000], pa.large_string()))[0]) == 1
+
+
+def test_damaged_png_header_is_a_value_error():
+    whole = media.png_encode(np.zeros((2, 3), dtype=np.uint8))
+    body = whole[16:29] + b"more"
+    bad = whole[:8] + struct.pack(">I", len(body)) + b"IHDR" + body + struct.pack(">I", zlib.crc32(b"IHDR" + body)) + whole[33:]
+    with pytest.raises(ValueError):
+        media.png_decode(bad)
