@@ -50,6 +50,11 @@ def run_ids(df: DataFrame, changed: Column, into: str = "run", by=SYM) -> DataFr
     return df.withColumn(into, F.sum(F.when(changed, 1).otherwise(0)).over(running(by)))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out once: the optimiser doesn't fold their expressions into what is built on them."""
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+
+
 def round_to(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, for results that are compared by value."""
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))

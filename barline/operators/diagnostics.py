@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.frames import SYM, ahead, ordered, run_ids
+from barline.frames import SYM, ahead, ordered, run_ids, running
 from barline.operators import backtest
 
 
@@ -53,15 +53,21 @@ def sequence_windows(rows: DataFrame, length: int, value: str, by=SYM) -> DataFr
     return rows.withColumn("window", F.collect_list(value).over(w)).where(F.size("window") == length).select(*by, "ts", "window")
 
 
-def controller_state(rows: DataFrame, bench: float = 1.0, cap: int = 64, by=SYM) -> DataFrame:
-    """State before each bar: overlay, last change, bars held and bars below the benchmark (as shares of ``cap``)."""
+def controller_state(rows: DataFrame, bench: float = 1.0, cap: int = 64, cooldown: int = 0, eps: float = 1e-6, by=SYM) -> DataFrame:
+    """State before each bar: overlay, last change, bars since the last trade, bars below the benchmark, and what is left
+    of the ``cooldown`` bars after a rise from below it (all ages as shares of ``cap``)."""
     w = ordered(by)
     df = rows.withColumn("over", F.lag("pos", 1, bench).over(w) - bench)
-    df = df.withColumn("delta", F.col("over") - F.lag("over", 1, 0.0).over(w)).withColumn("low", F.col("over") < -1e-6).withColumn("was", F.lag("low").over(w))
-    df = run_ids(df, F.abs(F.col("delta")) > 1e-8, "_h", by)
+    df = df.withColumn("delta", F.col("over") - F.lag("over", 1, 0.0).over(w)).withColumn("low", F.col("over") < -eps).withColumn("was", F.lag("low").over(w))
+    df = run_ids(df, F.abs(F.col("delta")) > eps, "_h", by)
     df = run_ids(df, F.col("low") != F.col("was"), "_u", by)
-    age = lambda k: F.least(F.row_number().over(ordered((*by, k))) / cap, F.lit(1.0))
-    return df.withColumns({"hold_age": age("_h"), "under_age": F.when(F.col("low"), age("_u")).otherwise(0.0)}).drop("_h", "_u", "was", "low")
+    df = df.withColumn("_n", F.row_number().over(w))
+    rise = F.last(F.when(F.col("low") & (F.col("delta") > eps), F.col("_n")), ignorenulls=True).over(running(by))
+    age = lambda k, less: F.least((F.row_number().over(ordered((*by, k))) - less) / cap, F.lit(1.0))
+    left = F.greatest(F.lit(min(1.0, cooldown / cap)) - (F.col("_n") - rise) / cap, F.lit(0.0))
+    return df.withColumns({
+        "hold_age": age("_h", 1), "under_age": F.when(F.col("low"), age("_u", 0)).otherwise(0.0), "cooldown": F.coalesce(left, F.lit(0.0)),
+    }).drop("_h", "_u", "_n", "was", "low")
 
 
 def regime_prior(rows: DataFrame, label: str = "label", probs: str = "regime", shrink: float = 64.0) -> DataFrame:

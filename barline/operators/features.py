@@ -73,14 +73,19 @@ def add_rebound(df: DataFrame, windows: tuple[int, ...], ret: str = "r", by=SYM)
     return d.withColumns(out).drop("_p")
 
 
-def add_context(df: DataFrame, windows: tuple[int, ...], ret: str = "r", by=SYM) -> DataFrame:
-    """Momentum, deviation and downside deviation over past rows, one bar late."""
+def add_context(df: DataFrame, windows: tuple[int, ...], ret: str = "r", means: dict[str, str] | None = None, by=SYM) -> DataFrame:
+    """Momentum over whole windows, deviation, downside deviation and the means of other columns over past rows, one bar late.
+
+    ``means``: column -> name; ``ctx_NAME_w`` is its trailing mean.
+    """
     made = {}
+    df = df.withColumn("_p", F.sum(ret).over(running(by)))
     for w in windows:
         frame, least, r = trailing(w, by), max(w // 3, 1), F.col(ret)
         down = F.when(r.isNotNull(), F.least(r, F.lit(0.0)))
-        made |= {f"_mom_{w}": at_least(F.sum(r).over(frame), r, frame, least), f"_vol_{w}": at_least(F.stddev_samp(r).over(frame), r, frame, least), f"_down_{w}": at_least(F.sqrt(F.avg(down * down).over(frame)), r, frame, least)}
-    return df.withColumns(made).withColumns({f"ctx{k}": lag(F.col(k), 1, by) for k in made}).drop(*made)
+        made |= {f"_{name}_{w}": at_least(F.avg(c).over(frame), F.col(c), frame, least) for c, name in (means or {}).items()}
+        made |= {f"_mom_{w}": F.col("_p") - F.lag("_p", w).over(ordered(by)), f"_vol_{w}": at_least(F.stddev_samp(r).over(frame), r, frame, least), f"_down_{w}": at_least(F.sqrt(F.avg(down * down).over(frame)), r, frame, least)}
+    return df.withColumns(made).withColumns({f"ctx{k}": lag(F.col(k), 1, by) for k in made}).drop("_p", *made)
 
 
 def add_series_stats(df: DataFrame, name: str, windows: tuple[int, ...], by=SYM) -> DataFrame:
@@ -90,22 +95,27 @@ def add_series_stats(df: DataFrame, name: str, windows: tuple[int, ...], by=SYM)
     for w in windows:
         frame, least = trailing(w, by), max(2, w // 3)
         mean, dev = F.avg(x).over(frame), F.stddev_samp(x).over(frame)
-        out |= {f"{name}_mean_{w}": at_least(mean, x, frame, least), f"{name}_std_{w}": at_least(dev, x, frame, least), f"{name}_z_{w}": at_least((x - mean) / (dev + EPS), x, frame, least), f"{name}_impulse_{w}": at_least(x - mean, x, frame, least)}
+        out |= {f"{name}_mean_{w}": at_least(mean, x, frame, least), f"{name}_std_{w}": at_least(dev, x, frame, least), f"{name}_z_{w}": at_least((x - mean) / (dev + EPS), x, frame, least), f"{name}_impulse_{w}": at_least(F.abs(x - mean), x, frame, least)}
     return df.withColumns(out)
 
 
 def add_funding_context(df: DataFrame, windows: tuple[int, ...], name: str = "funding_rate", by=SYM) -> DataFrame:
-    """Mean, deviation, adjusted skew, positive share and impulse, one bar late."""
+    """Mean, deviation, z-score, adjusted skew, positive share and impulse, one bar late."""
     x, made = F.col(name), {}
     for w in windows:
         frame, least = trailing(w, by), max(w // 3, 3)
         n = F.count(x).over(frame)
         mean = F.avg(x).over(frame)
         skew = F.when((n >= 3) & (F.stddev_pop(x).over(frame) > 1e-12), F.skewness(x).over(frame) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
-        made |= {f"_mean_{w}": at_least(mean, x, frame, least), f"_std_{w}": at_least(F.stddev_samp(x).over(frame), x, frame, least), f"_skew_{w}": at_least(skew, x, frame, least), f"_pos_{w}": at_least(F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).over(frame), x, frame, least), f"_impulse_{w}": at_least(x - mean, x, frame, least)}
+        made |= {f"_mean_{w}": at_least(mean, x, frame, least), f"_std_{w}": at_least(F.stddev_samp(x).over(frame), x, frame, least), f"_skew_{w}": at_least(skew, x, frame, least), f"_pos_{w}": at_least(F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).over(frame), x, frame, least), f"_impulse_{w}": at_least(F.abs(x - mean), x, frame, least), f"_z_{w}": at_least((x - mean) / (F.stddev_samp(x).over(frame) + EPS), x, frame, least)}
     return df.withColumns(made).withColumns({f"f{k}": lag(F.col(k), 1, by) for k in made}).drop(*made)
 
 
+def scored(df: DataFrame, names: list[str], z: int, by=SYM) -> DataFrame:
+    """Trailing z-scores of the columns; rows with a null dropped."""
+    return df.select(*by, "ts", *(zscore(c, z, by).alias(c) for c in names)).na.drop("any")
+
+
 def feature_matrix(bars: DataFrame, z: int, rv: tuple[int, ...] = (2, 4), by=SYM) -> DataFrame:
     """Lagged returns, RSI, ATR forms and realised volatility, z-scored; rows with a null dropped."""
     df = add_atr(add_rsi(bars.withColumn("r", raw_return("close", by)), by=by), by=by)
@@ -114,5 +124,42 @@ def feature_matrix(bars: DataFrame, z: int, rv: tuple[int, ...] = (2, 4), by=SYM
     df = df.withColumns({f"{n}_ret": log_return(n, by) for n in names})
     df = df.withColumn("atr_norm_ret", F.col("close_ret") / (F.col("atr") / F.lag("close").over(ordered(by)) + EPS))
     features = [f"{n}_ret" for n in names] + ["rsi", "atr_norm_ret", "atr"] + [f"rv_{w}" for w in rv]
-    scored = df.select(*by, "ts", *(zscore(f, z, by).alias(f) for f in features))
-    return scored.na.drop("any")
+    return scored(df, features, z, by)
+
+
+#: Bars of a day, by the length of a bar.
+BARS_PER_DAY = {"1m": 1440, "5m": 288, "15m": 96, "30m": 48, "1h": 24, "4h": 6, "1d": 1}
+
+
+def days_to_bars(days: int, interval: str = "15m") -> int:
+    """Bars in so many days; unknown intervals count as 15 minutes."""
+    return days * BARS_PER_DAY.get(interval, BARS_PER_DAY["15m"])
+
+
+def composite(bars: DataFrame, z: int, rv: tuple[int, ...], side: dict[str, int] | None = None, windows: tuple[int, ...] = (12,), by=SYM) -> DataFrame:
+    """The whole feature table: prices, RSI, MACD pair, ATR forms, realised volatility and what side series are there, z-scored.
+
+    ``bars`` may carry (late by no bar yet) ``funding_rate``, ``open_interest``
+    and ``mark_close``, aligned, and series named in ``side``; each adds its
+    features.  Needs the columns ``macd`` and ``macd_signal`` from
+    ``scans.macd``.  Rows with a null feature are dropped.
+    """
+    names = ["open", "high", "low", "close", "volume"]
+    df = add_realized_vol(add_atr(add_rsi(bars.withColumn("r", raw_return("close", by)), by=by), by=by), rv, by=by)
+    df = df.withColumns({f"{n}_ret": log_return(n, by) for n in names})
+    df = df.withColumn("atr_norm_ret", F.col("close_ret") / (F.col("atr") / F.lag("close").over(ordered(by)) + EPS))
+    features = [f"{n}_ret" for n in names] + ["rsi", "macd", "macd_signal", "atr_norm_ret", "atr"] + [f"rv_{w}" for w in rv]
+    if "funding_rate" in bars.columns:
+        df = df.withColumn("funding_rate", lag(F.col("funding_rate"), 1, by))
+        features.append("funding_rate")
+    if "open_interest" in bars.columns:
+        df = df.withColumn("_oi", F.coalesce(F.ln(F.col("open_interest") / F.lag("open_interest").over(ordered(by))), F.lit(0.0))).withColumn("oi_change", lag(F.col("_oi"), 1, by))
+        features.append("oi_change")
+    if "mark_close" in bars.columns:
+        df = df.withColumn("basis", lag(F.ln(F.col("mark_close") / F.col("close")), 1, by)).withColumn("_m", F.col("basis") - F.lag("basis").over(ordered(by)))
+        df = df.withColumns({"basis_mom": lag(F.col("_m"), 1, by), "basis_abs": lag(F.abs("basis"), 1, by)})
+        features += ["basis", "basis_mom", "basis_abs"]
+    for name in side or ():
+        df = add_series_stats(df.withColumn(name, lag(F.col(name), 1, by)), name, windows, by)
+        features += [name, f"{name}_delta1", f"{name}_abs", *(f"{name}_{k}_{w}" for w in windows for k in ("mean", "std", "z", "impulse"))]
+    return scored(df, features, z, by)

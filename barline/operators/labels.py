@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.frames import SYM, ahead, clip, ordered, remaining
+from barline.frames import SYM, ahead, clip, ordered, remaining, settled
 from barline.operators.backtest import UNIT
 
 ACTIONS = (0.0, 0.5, 1.0, 1.25)
@@ -132,13 +132,13 @@ def first_best(values: Column) -> Column:
     return -best["i"]
 
 
-def transition_values(df: DataFrame, horizons=(4, 8), actions=ACTIONS, bench: float = 1.0, unit: float = UNIT, turnover: float = 0.0, vol: float = 0.1, drawdown: float = 0.2, leverage: float = 0.0, short: float = 0.0, by=SYM) -> DataFrame:
-    """(…, values): for each action the mean, over the horizons that are whole, of its gain over the benchmark less penalties.
+def transition_values(df: DataFrame, horizons=(4, 8), weights=None, actions=ACTIONS, bench: float = 1.0, unit: float = UNIT, turnover: float = 0.0, vol: float = 0.1, drawdown: float = 0.2, leverage: float = 0.0, short: float = 0.0, by=SYM) -> DataFrame:
+    """(…, values): for each action the mean (by ``weights``), over the horizons that are whole, of its gain over the benchmark less penalties.
 
     Drawdowns of ``k * path`` are ``|k|`` times those of the path with k's sign,
     so two for each horizon are enough.
     """
-    made = {}
+    made, share = {}, tuple(map(float, weights or (1,) * len(horizons)))
     for h in horizons:
         made |= {f"_s{h}": forward_sum(h, by=by), f"_v{h}": forward_vol(h, by=by), f"_u{h}": forward_drawdown(h, scale=1.0, by=by), f"_d{h}": forward_drawdown(h, scale=-1.0, by=by)}
     out = df.withColumns(made)
@@ -150,9 +150,9 @@ def transition_values(df: DataFrame, horizons=(4, 8), actions=ACTIONS, bench: fl
         for h in horizons:
             fall = F.col(f"_u{h}") if over > 0 else F.col(f"_d{h}")
             terms.append(over * F.col(f"_s{h}") - (unit + turnover) * delta - vol * F.col(f"_v{h}") * abs(over) - drawdown * abs(over) * fall - leverage * max(over, 0.0) * h - short * max(-a, 0.0) * h)
-        have = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in terms), F.lit(0))
-        each.append(F.try_divide(sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)), have.cast("double")))
-    return out.withColumn("values", F.array(*each)).drop(*made)
+        have = sum((F.when(t.isNotNull(), w).otherwise(0.0) for t, w in zip(terms, share)), F.lit(0.0))
+        each.append(F.try_divide(sum((w * F.coalesce(t, F.lit(0.0)) for t, w in zip(terms, share)), F.lit(0.0)), have))
+    return settled(out.withColumn("values", F.array(*each)).drop(*made))
 
 
 def transition_advantage(df: DataFrame, margin: float = 0.0, actions=ACTIONS, bench: float = 1.0, by=SYM, **penalties) -> DataFrame:
@@ -196,3 +196,20 @@ def position_utility(df: DataFrame, h: int, actions=ACTIONS, bench: float = 1.0,
     change = low(F.col("action")) - low(F.lit(bench))
     value = over * F.col("_sum") - unit * F.abs(F.col("action") - F.col("pos")) - dd * change - vol * F.abs(over) * F.col("_vol")
     return long.select(*by, "ts", "action", value.alias("utility"))
+
+
+def future_control(df: DataFrame, h: int, delta: float = 0.1, unit: float = UNIT, dd: float = 1.0, recovery_dd: float = 1.0, scale: float = 1.0, ret: str = "ret", by=SYM) -> DataFrame:
+    """``overweight_h``: what a small overweight gains over the next h bars, less drawdown and cost; ``recovery_h``: their
+    return less drawdown in deviations, bounded to [-1, 1]."""
+    w = ahead(1, h, by)
+    whole, x = F.count(ret).over(w) == h, F.col(ret)
+    low = F.aggregate(F.collect_list(ret).over(w), F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("m")), lambda s, v: F.struct((s["c"] + v).alias("c"), F.least(s["m"], s["c"] + v).alias("m")), lambda s: -s["m"])
+    total, vol = F.sum(ret).over(w), F.sqrt(F.sum(x * x).over(w) / h + 1e-12)
+    gain = (delta * total - delta * dd * low - unit * abs(delta)) * scale
+    back = clip((total - recovery_dd * low) / (vol * h**0.5 + 1e-6), -5.0, 5.0) / 5.0
+    return df.withColumns({f"overweight_{h}": F.when(whole, gain), f"recovery_{h}": F.when(whole, back)})
+
+
+def utility_allocator(utility: Column, actions=ACTIONS) -> Column:
+    """The action with the largest utility, the first on ties."""
+    return F.element_at(F.array(*map(F.lit, actions)), first_best(utility) + 1)

@@ -15,13 +15,24 @@ def pbo(fold_scores: DataFrame, score: str = "score") -> DataFrame:
     Subsets are the bit masks with half the bits set.  Folds are a few dozen
     at most, since the number of subsets doubles with each.
     """
-    s = fold_scores.agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", F.col(score).alias("s")))), lambda x: x["s"]).alias("s")).withColumn("n", F.size("s"))
-    masks = s.withColumn("mask", F.explode(F.expr("sequence(0L, cast(shiftleft(1L, n) - 1 as bigint))"))).where("bit_count(mask) = n div 2 and n >= 2")
+    n = fold_scores.count()
+    one = fold_scores.agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", F.col(score).alias("s")))), lambda x: x["s"]).alias("s"))  # one row
+    subsets = fold_scores.sparkSession.range(1 << n if n > 1 else 0).select(F.col("id").alias("mask")).where(F.bit_count("mask") == n // 2)
+    masks = subsets.join(F.broadcast(one), F.lit(True))
     side = lambda bit: f"array_max(filter(transform(s, (x, i) -> if(getbit(mask, i) = {bit}, x, null)), x -> x is not null))"
     share = masks.agg(F.avg((F.expr(side(1)) > F.expr(side(0))).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("subsets"))
     return share.withColumn("pbo", F.coalesce("pbo", F.lit(0.5)))
 
 
+def p_value(z: Column) -> Column:
+    """Share of the normal distribution above z, to about 1e-7 (a rational approximation)."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    # FIXED VALUES: coefficients of the normal distribution's tail
+    tail = sum((F.lit(c) * F.pow(t, F.lit(k)) for k, c in enumerate((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 1)), F.lit(0.0))
+    above = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * tail
+    return F.when(z >= 0, above).otherwise(1 - above)
+
+
 def expected_maximum(trials: int) -> float:
     return NormalDist().inv_cdf(1 - 1 / trials) if trials > 1 else 0.0
 

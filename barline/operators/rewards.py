@@ -46,6 +46,11 @@ def two_hot(x: Column, low: float, high: float, bins: int) -> Column:
     return F.struct(lower.alias("bin"), (at - lower).alias("upper"))
 
 
+def two_hot_value(bin_: Column, upper: Column, low: float, high: float, bins: int) -> Column:
+    """The value that ``two_hot`` stands for (bounded to the grid)."""
+    return low + (bin_ + upper) * ((high - low) / (bins - 1))
+
+
 def soft_label(x: Column, grid: tuple[float, ...]) -> Column:
     """Weights on a sorted grid, shared between the two neighbours of a value."""
     bounded = F.greatest(F.lit(grid[0]), F.least(F.lit(grid[-1]), x))
@@ -79,13 +84,124 @@ def anchor_bank(vectors: DataFrame, bank_size: int, vec_id: str = "vec_id") -> D
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, anchor, distance): the nearest of a fixed bank of anchors by Euclidean distance of unit vectors.
 
-    The bank is a bounded sample; its rows are sent to every task.
+    The bank is a bounded sample that becomes one array, sent to every task; no
+    row is multiplied and nothing is shuffled.
     """
     def unit(v):
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
         return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
-    bank = F.broadcast(anchors.select(F.col(vec_id).alias("anchor"), unit(F.col(embedding)).alias("_b")))
-    d = F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = vectors.select(vec_id, unit(F.col(embedding)).alias("_a")).join(bank, F.lit(True)).select(vec_id, "anchor", d.alias("d"))
-    return pairs.groupBy(vec_id).agg(F.min(F.struct("d", "anchor")).alias("m")).select(vec_id, F.col("m.anchor").alias("anchor"), F.col("m.d").alias("distance"))
+    bank = anchors.agg(F.collect_list(F.struct(F.col(vec_id).alias("anchor"), unit(F.col(embedding)).alias("b"))).alias("_bank"))  # one row
+    far = lambda b: F.sqrt(F.aggregate(F.zip_with("_a", b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near = F.array_min(F.transform("_bank", lambda e: F.struct(far(e["b"]).alias("d"), e["anchor"].alias("anchor"))))
+    found = vectors.select(vec_id, unit(F.col(embedding)).alias("_a")).join(F.broadcast(bank), F.lit(True)).select(vec_id, near.alias("m"))
+    return found.select(vec_id, F.col("m.anchor").alias("anchor"), F.col("m.d").alias("distance"))
+
+
+def reward_scale(batches: DataFrame, value: str = "net", batch: str = "batch", decay: float = 0.99, by=()) -> DataFrame:
+    """(by, batch, low, high, scale): running 5th and 95th percentiles over the batches, and their distance, 1 at least.
+
+    Percentiles come from one grouped aggregate; the running mean is a fold
+    over the batches' two figures.
+    """
+    q = batches.groupBy(*by, batch).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    before = Window.partitionBy(*by).orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
+
+    def mean(i: int) -> Column:
+        seen = F.transform(F.collect_list("q").over(before), lambda x: x[i])
+        return F.aggregate(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), seen[0], lambda s, x: decay * s + (1 - decay) * x)
+
+    out = q.select(*by, batch, mean(0).alias("low"), mean(1).alias("high"))
+    return out.withColumn("scale", F.greatest(F.lit(1.0), F.col("high") - F.col("low")))
+
+
+#: Weights of the constrained rewards.
+CONSTRAINT = {"wealth": 1.0, "dd": 0.0, "dd_budget": 0.0, "dd_better": 0.0, "end_dd": 0.0, "end_better": 0.0, "floor": 0.0, "floor_weight": 0.0, "tail": 0.0, "tail_margin": 0.0, "level": 0.0, "downside": 0.0}
+#: Weights of penalties on the overlay itself.
+EXPOSURE = {"l2": 0.0, "short": 0.0, "over": 0.0, "absolute": 0.0, "risk": 0.0, "tilt": 0.0, "edge": 0.0}
+
+
+def _plus(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0))
+
+
+def exposure_terms(overlay: Column, bench: float, risk: Column | None, edge: Column | None, weights: dict | None = None) -> Column:
+    """What an overlay costs by its size, side, exposure and the present risk, less what its edge is worth."""
+    k = EXPOSURE | (weights or {})
+    held, risk, edge = overlay + bench, F.lit(0.0) if risk is None else risk, F.lit(0.0) if edge is None else edge
+    return (
+        -k["l2"] * overlay * overlay - k["short"] * _plus(-overlay) - k["over"] * _plus(overlay) - k["absolute"] * held * held - k["risk"] * risk * held * held
+        - k["tilt"] * risk * overlay + k["edge"] * edge * overlay
+    )
+
+
+def constrained_rewards(steps: DataFrame, kind: str = "relative", scale: float = 1.0, by=("episode",), weights: dict | None = None, exposure: dict | None = None, bench: float = 1.0) -> DataFrame:
+    """``reward`` of each step of an episode, by one of three functionals.
+
+    "budget": growth of ``net`` less drawdown levels, what is over a budget,
+    the last level, losses and tails.  "relative": growth of ``net`` (already
+    over the benchmark) less its drawdowns below the path's peak or its start,
+    a shortfall at the end and tails.  "absolute": growth of ``net`` over
+    ``bench_net``, and how much deeper or shallower the drawdown is.  All have
+    the exposure terms of ``over`` (``risk`` and ``edge`` where there are such
+    columns).
+    """
+    k = CONSTRAINT | (weights or {})
+    order = Window.partitionBy(*by).orderBy("step")
+    so_far, all_ = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    log = lambda c: F.log1p(F.greatest(F.col(c), F.lit(-0.95)))
+    df = steps.withColumn("_g", log("net") - (log("bench_net") if kind == "absolute" else F.lit(0.0)))
+    if kind == "budget":
+        df = df.withColumn("_path", F.sum("net").over(so_far)).withColumn("_dd", F.max("_path").over(so_far) - F.col("_path"))
+        worse, better, tail = _plus(F.col("_dd") - k["dd_budget"]), F.lit(0.0), _plus(-F.col("net") - k["tail_margin"])
+    elif kind == "relative":
+        df = df.withColumn("_path", F.sum("_g").over(so_far)).withColumn("_dd", F.greatest(F.max("_path").over(so_far), F.lit(0.0)) - F.col("_path"))
+        worse, better, tail = _plus(F.col("_dd") - k["dd_budget"]), F.lit(0.0), _plus(-F.col("net") - k["tail_margin"])
+    else:
+        df = df.withColumns({"_a": F.sum(log("net")).over(so_far), "_b": F.sum(log("bench_net")).over(so_far), "_path": F.sum("_g").over(so_far)})
+        df = df.withColumn("_dd", F.max("_a").over(so_far) - F.col("_a") - F.max("_b").over(so_far) + F.col("_b"))
+        worse, better, tail = _plus(F.col("_dd") - k["dd_budget"]), _plus(-F.col("_dd") - k["dd_budget"]), _plus(-F.col("_g") - k["tail_margin"])
+    df = df.withColumns({"_end_dd": F.max_by("_dd", "step").over(all_), "_end": F.max_by("_path", "step").over(all_), "_n": F.count(F.lit(1)).over(all_)})
+    budget = 0.0 if kind == "budget" else k["dd_budget"]
+    if kind == "absolute":
+        end = k["end_dd"] * _plus(F.col("_end_dd") - budget) - k["end_better"] * _plus(-F.col("_end_dd") - budget)
+    else:
+        end = k["end_dd"] * F.col("_end_dd")
+    value = (
+        k["wealth"] * F.col("_g") - k["level"] * F.col("_dd") - k["dd"] * worse + k["dd_better"] * better - end - k["tail"] * tail
+        - (k["floor_weight"] * _plus(k["floor"] - F.col("_end")) / F.col("_n") if kind != "budget" else F.lit(0.0)) - k["downside"] * _plus(-F.col("net"))
+    )
+    extra = exposure_terms(F.col("over"), bench, *(F.col(c) if c in steps.columns else None for c in ("risk", "edge")), exposure)
+    return df.withColumn("reward", value / scale + extra).drop(*(c for c in df.columns if c.startswith("_")))
+
+
+def drawdown_rewards(steps: DataFrame, beta: float, scale: float = 1.0, by=("episode",)) -> DataFrame:
+    """``reward``: scaled net return less ``beta`` times the drawdown level."""
+    so_far = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    df = steps.withColumn("_c", F.sum("net").over(so_far))
+    return df.withColumn("reward", F.col("net") / scale - beta * (F.max("_c").over(so_far) - F.col("_c"))).drop("_c")
+
+
+def smooth_l1(pred: Column, target: Column) -> Column:
+    d = F.abs(pred - target)
+    return F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)
+
+
+def bce_with_logits(logit: Column, target: Column, pos_weight: float = 1.0) -> Column:
+    """Cross-entropy of a logit; positive targets may weigh more."""
+    soft = F.log1p(F.exp(-F.abs(logit)))
+    return pos_weight * target * (soft + _plus(-logit)) + (1 - target) * (soft + _plus(logit))
+
+
+def masked_losses(rows: DataFrame, losses: dict[str, tuple[Column, Column]], by=()) -> DataFrame:
+    """Means of losses, each over the rows that its mask keeps and where it is finite; 0 where there are none."""
+    ok = lambda x, mask: F.when(mask & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return rows.groupBy(*by).agg(*(F.coalesce(F.avg(ok(x, mask)), F.lit(0.0)).alias(name) for name, (x, mask) in losses.items()))
+
+
+def ranking_loss(pred: Column, target: Column) -> Column:
+    """Cross-entropy of an array of scores against the place of the largest target."""
+    top = F.array_max(pred)
+    total = top + F.ln(F.aggregate(pred, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    best = F.array_max(F.transform(target, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))["i"]
+    return total - F.element_at(pred, 1 - best)

@@ -8,6 +8,7 @@ rows, a few numbers each, are all that a task holds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -47,83 +48,134 @@ def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return late(line), late(ema(line, span(signal)))
 
 
-def hindsight(ret: np.ndarray, actions=(0.0, 0.5, 1.0, 1.25), unit: float = 5.5e-4, bench: float | None = None, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Best positions in hindsight under costs, from flat, and their values."""
+def _worths(ret: np.ndarray, actions, unit: float, bench: float | None, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+    """(best worth before each bar by the position held, best action by it), backwards from 0."""
     a = np.asarray(actions, dtype=np.float64)
     change = unit * np.abs(a[None, :] - a[:, None])  # from, to
     n = len(ret)
     value, policy = np.zeros((n + 1, len(a))), np.zeros((n, len(a)), dtype=np.int64)
     for t in range(n - 1, -1, -1):
-        gain = a * ret[t] - (0.0 if bench is None else bench * ret[t]) + gamma * value[t + 1]
-        choice = gain[None, :] - change
+        choice = ((a - (bench or 0.0)) * ret[t] + gamma * value[t + 1])[None, :] - change
         policy[t] = choice.argmax(axis=1)
         value[t] = choice[np.arange(len(a)), policy[t]]
-    pos, worth, state = np.empty(n), np.empty(n), int(np.abs(a).argmin())
-    for t in range(n):
-        worth[t] = value[t, state]
-        state = int(policy[t, state])
-        pos[t] = a[state]
-    return pos, worth
+    return value, policy
+
+
+def hindsight(ret: np.ndarray, actions=(0.0, 0.5, 1.0, 1.25), unit: float = 5.5e-4, bench: float | None = None, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Best positions in hindsight under costs, from flat, and their values."""
+    value, policy = _worths(ret, actions, unit, bench, gamma)
+    flat = int(np.abs(np.asarray(actions)).argmin())
+    taken = np.array(fold(flat, lambda state, row: int(row[0][state]), policy), dtype=np.int64)
+    before = np.r_[flat, taken[:-1]].astype(np.int64)[: len(ret)]
+    return np.asarray(actions, dtype=np.float64)[taken], value[np.arange(len(ret)), before]
+
+
+def hindsight_ahead(ret: np.ndarray, actions=(0.0, 0.5, 1.0, 1.25), unit: float = 5.5e-4, bench: float | None = None, gamma: float = 1.0) -> tuple:
+    """``hindsight``, and for each action the best worth from the next bar on."""
+    value, _ = _worths(ret, actions, unit, bench, gamma)
+    return (*hindsight(ret, actions, unit, bench, gamma), *value[1:].T)
+
+
+def fold(state, step: Callable, *columns: np.ndarray) -> list:
+    """The states after each row, by the transition ``step(state, row)``."""
+    return list(accumulate(zip(*columns), step, initial=state))[1:]
+
+
+def toward(now: float, aim: float, most: float) -> float:
+    """From ``now`` to ``aim`` by ``most`` at most."""
+    return now + float(np.clip(aim - now, -most, most))
 
 
 def min_hold(target: np.ndarray, bars: int) -> np.ndarray:
     """Switches that come before ``bars`` bars at the last position are undone."""
-    out = target.copy()
-    held, since = (out[0], 1) if len(out) else (0.0, 0)
-    for t in range(1, len(out)):
-        if out[t] != held and since >= bars:
-            held, since = out[t], 1
-        else:
-            out[t] = held
-            since += 1
-    return out
-
-
-def smooth_aim(target: np.ndarray, future_run: np.ndarray, step: float, band: float, start: float, low: float, high: float, bench: float = 1.0, confirm: int = 0, least_scale: float = 0.0, step_scale: float = 0.0, floor: float | None = None) -> np.ndarray:
+
+    def step(state, row):
+        held, age = state
+        free = row[0] != held and age >= bars
+        return (row[0], 1) if free else (held, age + 1)
+
+    return np.array([held for held, _ in fold((target[0], 0), step, target)]) if len(target) else target
+
+
+def confirmed(aim: np.ndarray, under: np.ndarray, ahead: np.ndarray, bars: int, bench: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(aims, shares): underweights count in full once their run, up to here or from here on, has ``bars`` bars."""
+    n = np.arange(len(aim))
+    share = np.maximum(np.maximum(n - np.maximum.accumulate(np.where(under, -1, n)), ahead) / bars, least)
+    share = np.where(under, np.minimum(share, 1.0), 1.0)
+    return bench + (aim - bench) * share, share
+
+
+def smooth_aim(target: np.ndarray, future_run: np.ndarray, step: float, band: float, start: float, low: float, high: float, bench: float = 1.0, confirm: int = 0, least_scale: float = 0.0, step_scale: float = 1.0, floor: float | None = None) -> np.ndarray:
     """A path towards the targets: confirmed underweights, dead band, limited steps."""
-    out, now, streak = np.empty(len(target)), start, 0
-    for t, aim in enumerate(np.clip(target, low, high)):
-        limit = step
-        if confirm > 0 and bench != 0.0 and aim < bench:
-            streak += 1
-            share = max(min(1.0, max(streak, future_run[t]) / confirm), least_scale)
-            aim, limit = bench + (aim - bench) * share, step * max(share, step_scale)
-        else:
-            streak = 0
-        if floor is not None and bench != 0.0 and aim < bench:
-            aim = max(aim, floor)
-        gap = aim - now
-        if abs(gap) > band:
-            now += min(max(gap, -limit), limit)
-        now = min(max(now, low), high)
-        out[t] = now
-    return out
+    aim, most = np.clip(target, low, high), np.full(len(target), max(step, 1e-6))
+    if bench != 0.0:
+        under = aim < bench
+        if confirm > 0:
+            aim, share = confirmed(aim, under, future_run, confirm, bench, least_scale)
+            most = np.where(under, most * np.maximum(share, step_scale), most)
+        if floor is not None:
+            aim = np.where(aim < bench, np.maximum(aim, np.clip(floor, low, high)), aim)
+    move = lambda now, row: now if abs(row[0] - now) <= band else float(np.clip(toward(now, *row), low, high))
+    return np.array(fold(float(np.clip(start, low, high)), move, aim, most))
 
 
 def execute(target: np.ndarray, blend: float = 1.0, hold: int = 0, step: float = 0.04, bench: float = 1.0, low: float = 0.5, high: float = 1.12) -> np.ndarray:
     """Targets blended with the benchmark, locked after a trade, in limited steps."""
-    out, now, since = np.empty(len(target)), bench, hold
-    for t, aim in enumerate(np.clip(bench + blend * (target - bench), low, high)):
-        gap = 0.0 if since < hold else min(max(aim - now, -step), step)
-        after = min(max(now + gap, low), high)
-        since = 0 if abs(after - now) > 1e-8 else since + 1
-        now = out[t] = after
-    return out
-
-
-def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, high: float = 0.12, alpha: float = 0.2, hold_band: float = 0.02, dead: float = 0.01, step: float = 0.05) -> np.ndarray:
-    """Overlay bounded, smoothed, held inside a band, zeroed when small, stepped from 0."""
-    over = np.clip(target - bench, low, high)
-    over = ema(over, alpha) if len(over) else over
-    held = over[0] if len(over) else 0.0
-    out, now = np.empty(len(over)), 0.0
-    for t, x in enumerate(over):
-        if t and abs(x - held) >= hold_band:
-            held = x
-        aim = 0.0 if abs(held) < dead else held
-        now += min(max(aim - now, -step), step)
-        out[t] = bench + now
-    return out
+    aims = np.clip((1 - blend) * bench + blend * target, low, high)
+
+    def trade(state, row):
+        at, idle = state
+        after = float(np.clip(toward(at, row[0], step), low, high)) if idle >= hold else at
+        return after, idle + 1 if abs(after - at) <= 1e-8 else 0
+
+    return np.array([at for at, _ in fold((bench, hold), trade, aims)])
+
+
+def execute_grid(target: np.ndarray, specs: list[tuple[float, float, int]], bench: float = 1.0, low: float = 0.5, high: float = 1.12) -> tuple[np.ndarray, ...]:
+    """``execute`` for many settings (blend, step, hold) at once: all take each bar together."""
+    blend, step, hold = (np.array(x, dtype=np.float64) for x in zip(*specs))
+    aims = np.clip((1 - blend) * bench + blend * np.asarray(target)[:, None], low, high)
+
+    def trade(state, row):
+        at, idle = state
+        after = np.where(idle >= hold, np.clip(at + np.clip(row[0] - at, -step, step), low, high), at)
+        return after, np.where(np.abs(after - at) <= 1e-8, idle + 1, 0)
+
+    path = [at for at, _ in fold((np.full(len(specs), bench), hold), trade, aims)]
+    return tuple(np.array(path).reshape(len(target), len(specs)).T)
+
+
+def held_band(x: np.ndarray, band: float) -> np.ndarray:
+    """The last value that lay ``band`` or more from the one held before it."""
+    return np.array(fold(x[0], lambda now, row: row[0] if abs(row[0] - now) >= band else now, x)) if len(x) else x
+
+
+def edge_gate(edge: np.ndarray, centre: float = 0.0, scale: float = 1.0) -> np.ndarray:
+    """Share, 0 to 1, that rises with an edge about its centre."""
+    return 1.0 / (1.0 + np.exp(-np.clip((np.nan_to_num(edge) - centre) * scale, -30.0, 30.0)))
+
+
+def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, high: float = 0.12, alpha: float = 0.2, hold_band: float = 0.02, dead: float = 0.01, step: float = 0.05, gate: np.ndarray | None = None, down_cut: float = 0.0, up_add: float = 0.0) -> np.ndarray:
+    """Overlay protected by an edge gate, bounded, smoothed, held inside a band, zeroed when small, stepped from 0."""
+    over = target - bench
+    if gate is not None:
+        over = np.where(over < 0, over * (1 - down_cut * gate), over)
+        over = np.where(over >= 0, over + up_add * gate, over)
+    over = np.clip(over, low, high)
+    over = held_band(ema(over, alpha) if len(over) else over, hold_band)
+    over = np.where(np.abs(over) < dead, 0.0, over)
+    return bench + np.array(fold(0.0, lambda now, row: toward(now, row[0], step), over))
+
+
+def regime_hold(target: np.ndarray, bars: int, dead: float) -> np.ndarray:
+    """Overlays, from flat, that move by more than ``dead`` only after ``bars`` bars without a move."""
+
+    def step(state, row):
+        at, idle = state
+        after = at if idle < bars and abs(row[0] - at) > dead else row[0]
+        return after, idle + 1 if abs(after - at) <= 1e-8 else 0
+
+    return np.array([at for at, _ in fold((0.0, bars), step, target)])
 
 
 def rate_cap(fire: np.ndarray, share: float) -> np.ndarray:
@@ -138,16 +190,16 @@ def soft_step(now: float, aim: float, rate: float, band: float, step: float, slo
     return now + min(max(rate, 0.0), 1.0) / (1.0 + np.exp(-slope * (abs(gap) - band))) * min(max(gap, -step), step)
 
 
+def soft_path(aim: np.ndarray, rate: np.ndarray, band: np.ndarray, step: float, start: float, low: float, high: float, slope: float = 50.0) -> np.ndarray:
+    """The smooth executor over a path of aims, trade rates and bands."""
+    return np.array(fold(start, lambda now, row: float(np.clip(soft_step(now, *row, step, slope), low, high)), aim, rate, band))
+
+
 def differential_sharpe(ret: np.ndarray, eta: float = 0.01) -> np.ndarray:
     """Differential Sharpe ratio with running first and second moments."""
-    a = b = 0.0
-    out = np.empty(len(ret))
-    for t, r in enumerate(ret):
-        da, db = r - a, r * r - b
-        spread = max(b - a * a, 1e-8)
-        out[t] = (b * da - 0.5 * a * db) / spread**1.5
-        a, b = a + eta * da, b + eta * db
-    return out
+    before = lambda x: ema(np.r_[0.0, x], eta)[:-1]
+    a, b = before(ret), before(ret * ret)
+    return (b * (ret - a) - 0.5 * a * (ret * ret - b)) / (b - a * a + 1e-8) ** 1.5
 
 
 def forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
@@ -163,3 +215,48 @@ def forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: n
         back[t] = p / p.sum()
     both = ahead * back
     return both / both.sum(axis=1, keepdims=True)
+
+
+def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, moves, means, deviations) of a Gaussian hidden Markov model by expectation and maximisation, states in order of their means.
+
+    The first guess puts the means at evenly spaced quantiles, so the fit needs
+    no random numbers and gives the same result each time.
+    """
+    mean = np.quantile(x, (np.arange(states) + 0.5) / states)
+    std = np.full(states, max(float(np.std(x)), 1e-6))
+    start, move = np.full(states, 1.0 / states), np.full((states, states), 0.1 / max(states - 1, 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    last = -np.inf
+    for _ in range(rounds):
+        like = np.exp(-0.5 * ((x[:, None] - mean) / std) ** 2) / std + 1e-300
+        scale, ahead = np.empty(len(x)), np.empty_like(like)
+        for t in range(len(x)):
+            p = (start if t == 0 else ahead[t - 1] @ move) * like[t]
+            scale[t] = p.sum()
+            ahead[t] = p / scale[t]
+        back, pairs = np.ones(states), np.zeros((states, states))
+        both = np.empty_like(like)
+        both[-1] = ahead[-1]
+        for t in range(len(x) - 2, -1, -1):
+            reach = like[t + 1] * back / scale[t + 1]
+            pairs += ahead[t][:, None] * move * reach
+            back = move @ reach
+            both[t] = ahead[t] * back
+        weight = both.sum(axis=0) + 1e-12
+        start, move = both[0] / both[0].sum(), (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True)
+        mean = both.T @ x / weight
+        std = np.sqrt(np.maximum((both * (x[:, None] - mean) ** 2).sum(axis=0) / weight, 1e-12))
+        now = float(np.log(scale).sum())
+        if now - last < tol:
+            break
+        last = now
+    order = np.argsort(mean, kind="stable")
+    return start[order], move[np.ix_(order, order)], mean[order], std[order]
+
+
+def regimes(ret: np.ndarray, states: int = 3) -> tuple[np.ndarray, ...]:
+    """Probabilities of the states of a model that is fitted to the same returns, the lowest mean first."""
+    if len(ret) < 2:
+        return tuple(np.full(len(ret), 1.0 / states) for _ in range(states))
+    return tuple(forward_backward(ret, *fit_hmm(ret, states)).T)

@@ -41,7 +41,11 @@ TIEBREAKS = {
 }
 
 
-def choose(candidates: DataFrame, by=("sym",), mode: str = "conservative", alpha_tol: float = 1.0, sharpe_tol: float = 0.1, score_tol: float = 2.0, active: dict | None = None) -> DataFrame:
+#: What an active candidate must reach to be preferred to holding the benchmark.
+ACTIVE = {"alpha": 8.0, "maxdd": 0.0, "win_rate": 0.48, "margin": 5.0, "sharpe": 0.05}
+
+
+def choose(candidates: DataFrame, by=("sym",), mode: str = "conservative", alpha_tol: float = 5.0, sharpe_tol: float = 0.2, score_tol: float = 15.0, active: dict | None = None) -> DataFrame:
     """One candidate of each group.
 
     Rejected candidates count only if all are.  The best score (first by
@@ -51,7 +55,7 @@ def choose(candidates: DataFrame, by=("sym",), mode: str = "conservative", alpha
     sharpe_delta, maxdd_pt, win_rate, turnover, m2_pass, stretch_hit, hold
     (boolean), reject.
     """
-    active = {"alpha": 0.5, "maxdd": 0.0, "win_rate": 0.5, "margin": 0.0, "sharpe": 0.0} | (active or {})
+    active = ACTIVE | (active or {})
     group = Window.partitionBy(*by)
     pool = candidates.withColumn("_ok", F.max(F.col("reject").isNull().cast("int")).over(group)).where((F.col("_ok") == 0) | F.col("reject").isNull())
     row = F.struct("score", "alpha_pt", "sharpe_delta", "maxdd_pt", "win_rate", "m2_pass", "stretch_hit", "hold")

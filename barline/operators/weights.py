@@ -21,6 +21,16 @@ def quality_weights(rows: DataFrame, edge: str, into: str = "quality", quantile:
     return _with_quantiles(rows, edge, (quantile, 0.9), by).withColumn(into, F.when(q.isNull(), 0.0).otherwise(value)).drop("_q")
 
 
+def quality_edge(mode: str, signal: str, edge: str, pos: str = "pos", bench: float = 1.0) -> Column:
+    """What ``quality_weights`` may weigh: "outcome_edge", "underweight_edge" (how far below the benchmark while the edge is
+    negative) or "abs_signal", which is a weight by itself."""
+    if mode == "abs_signal":
+        return F.abs(signal)
+    if mode == "underweight_edge":
+        return F.greatest(bench - F.col(pos), F.lit(0.0)) * F.greatest(-F.col(edge), F.lit(0.0))
+    return F.col(edge)
+
+
 def advantage_scale(rows: DataFrame, edge: str, into: str = "advantage", by=SYM) -> DataFrame:
     """An edge as a share of the ninth decile of its group's positive edges, in [0, 1]."""
     q = F.col("_q")

@@ -96,7 +96,7 @@ def q_asof_funding(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_funding_context(spark: SparkSession, sf: str) -> DataFrame:
     df = align.asof(bars.bars_15m(spark, sf).select("sym", "ts"), bars.funding_8h(spark, sf), "funding_rate", zero=True).withColumn("funding_rate", F.col("funding_rate") * 1e4)
-    return round_to(features.add_funding_context(df, (96,)).select("sym", "ts", "f_mean_96", "f_std_96", "f_pos_96", "f_impulse_96"), 5)
+    return round_to(features.add_funding_context(df, (96,)).select("sym", "ts", "f_mean_96", "f_std_96", "f_z_96", "f_skew_96", "f_pos_96", "f_impulse_96"), 3)
 
 
 def q_basis(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,12 +183,12 @@ ORACLES = {
     "q_ema": _ema_sql("SELECT sym, ts, round(f, 4) AS ema FROM e"),
     "q_macd": _ema_sql(f"SELECT sym, ts, round(lag(f - s) {W}, 4) AS macd, round(lag(g) {W}, 4) AS signal FROM e"),
     "q_rebound": f"{_R15}, p0 AS (SELECT *, sum(r) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r15), p AS (SELECT *, lag(c) {W} AS x FROM p0) SELECT sym, ts, round({rolling('x - max(x) OVER @', 24, 8)}, 6) AS dd_24, round({rolling('x - min(x) OVER @', 24, 8)}, 6) AS rebound_24, round({rolling('(x - min(x) OVER @) / greatest(max(x) OVER @ - min(x) OVER @, 1e-8)', 24, 8)}, 6) AS range_pos_24, round(x - lag(x, 24) {W}, 6) AS mom_24 FROM p",
-    "q_context": f"{_R15}, c AS (SELECT sym, ts, {rolling('sum(r) OVER @', 24, 8, 'r')} AS m, {rolling('stddev_samp(r) OVER @', 24, 8, 'r')} AS v, {rolling('sqrt(avg(CASE WHEN r IS NOT NULL THEN least(r, 0) * least(r, 0) END) OVER @)', 24, 8, 'r')} AS d FROM r15) SELECT sym, ts, round(lag(m) {W}, 6) AS ctx_mom_24, round(lag(v) {W}, 6) AS ctx_vol_24, round(lag(d) {W}, 6) AS ctx_down_24 FROM c",
+    "q_context": f"{_R15}, c0 AS (SELECT *, sum(r) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r15), c AS (SELECT sym, ts, c - lag(c, 24) {W} AS m, {rolling('stddev_samp(r) OVER @', 24, 8, 'r')} AS v, {rolling('sqrt(avg(CASE WHEN r IS NOT NULL THEN least(r, 0) * least(r, 0) END) OVER @)', 24, 8, 'r')} AS d FROM c0) SELECT sym, ts, round(lag(m) {W}, 6) AS ctx_mom_24, round(lag(v) {W}, 6) AS ctx_vol_24, round(lag(d) {W}, 6) AS ctx_down_24 FROM c",
     "q_asof_funding": f"WITH {BARS_15M}, {_FUND} SELECT sym, ts, round(coalesce(lag(f) {W}, 0), 10) AS funding_rate FROM (SELECT b.sym, b.ts, coalesce(funding_rate, 0) AS f FROM bars15 b ASOF LEFT JOIN fund ON b.ts >= fund.ts)",
-    "q_funding_context": f"WITH {BARS_15M}, {_FUND}, a AS (SELECT b.sym, b.ts, coalesce(funding_rate, 0) * 1e4 AS x FROM bars15 b ASOF LEFT JOIN fund ON b.ts >= fund.ts), c AS (SELECT sym, ts, {rolling('avg(x) OVER @', 96, 32)} AS m, {rolling('stddev_samp(x) OVER @', 96, 32)} AS s, {rolling('avg((x > 0)::DOUBLE) OVER @', 96, 32)} AS p, {rolling('x - avg(x) OVER @', 96, 32)} AS i FROM a) SELECT sym, ts, round(lag(m) {W}, 5) AS f_mean_96, round(lag(s) {W}, 5) AS f_std_96, round(lag(p) {W}, 5) AS f_pos_96, round(lag(i) {W}, 5) AS f_impulse_96 FROM c",
+    "q_funding_context": f"WITH {BARS_15M}, {_FUND}, a AS (SELECT b.sym, b.ts, coalesce(funding_rate, 0) * 1e4 AS x FROM bars15 b ASOF LEFT JOIN fund ON b.ts >= fund.ts), c AS (SELECT sym, ts, {rolling('avg(x) OVER @', 96, 32)} AS m, {rolling('stddev_samp(x) OVER @', 96, 32)} AS s, {rolling('avg((x > 0)::DOUBLE) OVER @', 96, 32)} AS p, {rolling('abs(x - avg(x) OVER @)', 96, 32)} AS i, {rolling('(x - avg(x) OVER @) / (stddev_samp(x) OVER @ + 1e-8)', 96, 32)} AS z, {rolling('CASE WHEN stddev_pop(x) OVER @ > 1e-12 THEN skewness(x) OVER @ END', 96, 32)} AS k FROM a) SELECT sym, ts, round(lag(m) {W}, 3) AS f_mean_96, round(lag(s) {W}, 3) AS f_std_96, round(lag(z) {W}, 3) AS f_z_96, round(lag(k) {W}, 3) AS f_skew_96, round(lag(p) {W}, 3) AS f_pos_96, round(lag(i) {W}, 3) AS f_impulse_96 FROM c",
     "q_basis": f"{_X1D}, {_MARK}, x AS (SELECT sym, ts, lag(ln(mark_close / close)) {W} AS basis FROM am), y AS (SELECT *, basis - lag(basis) {W} AS m FROM x) SELECT sym, ts, round(basis, 6) AS basis, round(lag(m) {W}, 6) AS basis_mom, round(lag(abs(basis)) {W}, 6) AS basis_abs FROM y",
     "q_oi_change": f"{_X1D}, {_MARK}, x AS (SELECT sym, ts, coalesce(ln(mark_close / lag(mark_close) {W}), 0) AS d FROM am) SELECT sym, ts, round(lag(d) {W}, 6) AS oi_change FROM x",
-    "q_extra_series": f"{_X1D}, {_MARK}, y AS (SELECT sym, ts, lag(mark_close) {W} / 1e4 AS x FROM am) SELECT sym, ts, round(x, 6) AS x, round(x - lag(x) {W}, 6) AS x_delta1, round(abs(x), 6) AS x_abs, round({rolling('avg(x) OVER @', 12, 4)}, 6) AS x_mean_12, round({rolling('stddev_samp(x) OVER @', 12, 4)}, 6) AS x_std_12, round({rolling('(x - avg(x) OVER @) / (stddev_samp(x) OVER @ + 1e-8)', 12, 4)}, 6) AS x_z_12, round({rolling('x - avg(x) OVER @', 12, 4)}, 6) AS x_impulse_12 FROM y",
+    "q_extra_series": f"{_X1D}, {_MARK}, y AS (SELECT sym, ts, lag(mark_close) {W} / 1e4 AS x FROM am) SELECT sym, ts, round(x, 6) AS x, round(x - lag(x) {W}, 6) AS x_delta1, round(abs(x), 6) AS x_abs, round({rolling('avg(x) OVER @', 12, 4)}, 6) AS x_mean_12, round({rolling('stddev_samp(x) OVER @', 12, 4)}, 6) AS x_std_12, round({rolling('(x - avg(x) OVER @) / (stddev_samp(x) OVER @ + 1e-8)', 12, 4)}, 6) AS x_z_12, round({rolling('abs(x - avg(x) OVER @)', 12, 4)}, 6) AS x_impulse_12 FROM y",
     "q_feature_matrix": f"{_X1D}, {_ATR}, {_RSI}, rr AS (SELECT *, ln(close / lag(close) {W}) AS r FROM atr), v AS (SELECT rr.*, {rolling('stddev_samp(r) OVER @', 2, 1, 'r')} AS v2, {rolling('stddev_samp(r) OVER @', 4, 2, 'r')} AS v4 FROM rr), f0 AS (SELECT sym, ts, atr, {_LR}, lag(close) {W} AS pc, lag(v2) {W} AS rv_2, lag(v4) {W} AS rv_4 FROM v), f AS (SELECT f0.*, rsi, close_ret / (atr / pc + 1e-8) AS atr_norm_ret FROM f0 JOIN rsi USING (sym, ts)), z AS (SELECT sym, ts, {', '.join(f'{_z(c, 60)} AS {c}_z' for c in _FEATURES)} FROM f) SELECT sym, ts, {', '.join(f'round({c}_z, 5) AS {c}' for c in _FEATURES)} FROM z WHERE {' AND '.join(f'{c}_z IS NOT NULL' for c in _FEATURES)}",
     "q_taker_proxy": "WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, l_quantity * l_discount * 10 AS b FROM lineitem), u AS (SELECT *, greatest(v - b, 0.0) AS s FROM t) SELECT l_orderkey, l_linenumber, round(b - s, 4) AS signed_order_flow, round((b - s) / (v + 1e-8), 4) AS taker_imbalance, round(b / (s + 1e-8), 4) AS buy_sell_ratio FROM u",
     "q_wfo_splits": f"{RETS}, {FOLDS} SELECT * FROM folds",

@@ -89,7 +89,7 @@ def q_sequence_windows(spark, sf):
 
 
 def q_controller_state(spark, sf):
-    return round_to(diagnostics.controller_state(rows(spark, sf)).select("sym", "ts", "over", "delta", "hold_age", "under_age"))
+    return round_to(diagnostics.controller_state(rows(spark, sf), cooldown=16).select("sym", "ts", "over", "delta", "hold_age", "under_age", "cooldown"))
 
 
 def q_forward_stats(spark, sf):
@@ -178,7 +178,7 @@ def q_min_hold(spark, sf):
 
 def q_smooth_aim(spark, sf):
     df = labels.add_underweight_run(_targets(spark, sf))
-    out = scans.scan(df, lambda t, f: scans.smooth_aim(t, f, 0.1, 0.02, 1.0, 0.5, 1.12, confirm=3), ("target", "future_run"), ("aim",))
+    out = scans.scan(df, lambda t, f: scans.smooth_aim(t, f, 0.1, 0.02, 1.0, 0.3, 1.12, confirm=3, step_scale=0.5, floor=0.45), ("target", "future_run"), ("aim",))
     return round_to(out.select("sym", "ts", "future_run", "aim"))
 
 
@@ -199,10 +199,10 @@ def _grid(spark, sf):
     level = fr.where("role = 'train'").groupBy("sym", "fold").agg(F.percentile("vol", F.lit(0.5)).alias("level"))
     goal = F.greatest(F.lit(0.5), F.least(F.lit(1.12), F.col("level") / F.greatest(F.col("vol"), F.lit(1e-8))))
     test = fr.where("role = 'test'").join(level, ["sym", "fold"]).withColumn("target", goal)
-    specs = F.array(*(F.struct(F.lit(i).alias("spec"), F.lit(b).alias("blend"), F.lit(s).alias("step")) for i, (b, s) in enumerate(((0.5, 0.04), (0.5, 0.1), (1.0, 0.04), (1.0, 0.1)))))
-    wide = test.withColumn("s", F.explode(specs)).select("sym", "fold", "ts", "ret", "target", "s.*")
-    by = ("sym", "fold", "spec")
-    return scans.scan(wide, lambda t, b, s: scans.execute(t, b[0], 0, s[0]), ("target", "blend", "step"), ("pos",), by=by), by
+    specs = [(b, s, 0) for b in (0.5, 1.0) for s in (0.04, 0.1)]
+    paths = [f"p{i}" for i in range(len(specs))]
+    wide = scans.scan(test.select("sym", "fold", "ts", "ret", "target"), lambda t: scans.execute_grid(t, specs), ("target",), tuple(paths), by=("sym", "fold"))
+    return wide.select("sym", "fold", "ts", "ret", F.posexplode(F.array(*paths)).alias("spec", "pos")), ("sym", "fold", "spec")
 
 
 def q_vol_target_grid(spark, sf):
@@ -223,19 +223,6 @@ def q_policy_family_summary(spark, sf):
     return round_to(selection.family_summary(_metrics(spark, sf), "spec"), 4)
 
 
-def _candidates(spark, sf):
-    m = _metrics(spark, sf)
-    hold = F.col("spec") == 0
-    return m.withColumns({
-        "cand": F.col("spec"), "score": F.round(selection.validation_score(F.col("alpha_pt"), F.col("maxdd_pt"), F.col("turnover")), 4), "win_rate": F.lit(0.5),
-        "m2_pass": F.col("alpha_pt") >= 3, "stretch_hit": F.col("alpha_pt") >= 10, "hold": hold, "reject": selection.reject_reason([("turnover", F.col("turnover") > 4), ("drawdown", F.col("maxdd_pt") > 2)]),
-    }).drop("spec")
-
-
-def q_selector_choice(spark, sf):
-    return selection.choose(_candidates(spark, sf), ("sym", "fold")).select("sym", "fold", "cand", "score", "reject")
-
-
 def q_scorecard(spark, sf):
     stats = backtest.action_stats(rows(spark, sf))
     m = backtest.summary(rows(spark, sf)).join(stats, "sym").join(backtest.period_win_rate(rows(spark, sf), 21), "sym")
@@ -247,7 +234,7 @@ def _fold_scores(spark, sf):
     rets = rows(spark, sf)
     fr = folds.expand(rets, folds.bar_splits(rets)).where("role = 'test'")
     s = backtest.with_pnl(fr, by=("sym", "fold")).groupBy("fold").agg(F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s"))
-    return s.select("fold", (F.col("m") / F.col("s")).alias("score"))
+    return s.select("fold", F.when(F.col("s") < 1e-10, 0.0).otherwise(F.try_divide("m", "s")).alias("score"))
 
 
 def q_pbo(spark, sf):
@@ -388,7 +375,7 @@ SELECT sym, bars, n_trades, {_round('sharpe', 'sortino', 'total_return', 'bench_
     "q_active_blocks": f"{ROWS}, u0 AS (SELECT *, abs(CASE WHEN abs(ret) > 0.004 THEN pos ELSE 1.0 END - 1) > 0.05 AS o, row_number() OVER {W} - 1 AS i FROM rows), u AS (SELECT *, lag(o) OVER {W} AS w FROM u0), r AS ({_RUNS.format(c='o <> w', t='u')}) SELECT sym, min(i) AS start, max(i) AS \"end\" FROM r WHERE o GROUP BY sym, run",
     "q_fire_metrics": f"{ROWS}, u AS (SELECT *, CASE WHEN abs(ret) > 0.004 THEN 1.0 ELSE pos END::DOUBLE AS base, {_fwd(4, 'sum(ret)')} AS f4, {_fwd(8, 'sum(ret)')} AS f8 FROM rows), v AS (SELECT *, abs(pos - base) > 1e-8 AS fire FROM u) SELECT sym, count_if(fire)::BIGINT AS fires, round(avg(fire::DOUBLE), 6) AS fire_rate, round(coalesce(sum((pos - base) * ret) FILTER (fire), 0), 6) AS incremental, round(avg(f4) FILTER (fire), 6) AS fwd_4, round(avg(f8) FILTER (fire), 6) AS fwd_8 FROM v GROUP BY sym",
     "q_sequence_windows": f"{ROWS}, u AS (SELECT sym, ts, {_fwd(16, 'list(ret)')} AS l FROM rows) SELECT sym, ts, len(l)::INT AS n, round(list_sum(l), 6) AS total, round(l[16], 6) AS last FROM u WHERE len(l) = 16",
-    "q_controller_state": f"{ROWS}, o AS (SELECT sym, ts, lag(pos, 1, 1.0) OVER {W} - 1 AS \"over\" FROM rows), d AS (SELECT *, \"over\" - lag(\"over\", 1, 0.0) OVER {W} AS delta, \"over\" < -1e-6 AS low FROM o), e AS (SELECT *, lag(low) OVER {W} AS was FROM d), h AS (SELECT *, sum(CASE WHEN abs(delta) > 1e-8 THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS h, sum(CASE WHEN low <> was THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS u FROM e) SELECT sym, ts, round(\"over\", 6) AS \"over\", round(delta, 6) AS delta, round(least(row_number() OVER (PARTITION BY sym, h ORDER BY ts) / 64, 1), 6) AS hold_age, round(CASE WHEN low THEN least(row_number() OVER (PARTITION BY sym, u ORDER BY ts) / 64, 1) ELSE 0 END, 6) AS under_age FROM h",
+    "q_controller_state": f"{ROWS}, o AS (SELECT sym, ts, lag(pos, 1, 1.0) OVER {W} - 1 AS \"over\" FROM rows), d AS (SELECT *, \"over\" - lag(\"over\", 1, 0.0) OVER {W} AS delta, \"over\" < -1e-6 AS low FROM o), e AS (SELECT *, lag(low) OVER {W} AS was, row_number() OVER {W} AS n FROM d), h AS (SELECT *, last_value(CASE WHEN low AND delta > 1e-6 THEN n END IGNORE NULLS) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS rise, sum(CASE WHEN abs(delta) > 1e-6 THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS h, sum(CASE WHEN low <> was THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS u FROM e) SELECT sym, ts, round(\"over\", 6) AS \"over\", round(delta, 6) AS delta, round(least((row_number() OVER (PARTITION BY sym, h ORDER BY ts) - 1) / 64, 1), 6) AS hold_age, round(coalesce(greatest(0.25 - (n - rise) / 64, 0), 0), 6) AS cooldown, round(CASE WHEN low THEN least(row_number() OVER (PARTITION BY sym, u ORDER BY ts) / 64, 1) ELSE 0 END, 6) AS under_age FROM h",
     "q_forward_stats": f"{ROWS} SELECT sym, ts, round(coalesce({_fwd(8, 'sum(ret)', 1)}, 0), 6) AS fwd_sum, round(coalesce({_fwd(8, 'stddev_pop(ret)', 1)}, 0), 6) AS fwd_std, round({_whole(8, _fwd(8, 'sum(ret)'))}, 6) AS whole_sum, round({_whole(8, _fwd(8, 'stddev_pop(ret)'))} * sqrt(8), 6) AS whole_vol FROM rows",
     "q_forward_dd": f"{ROWS}, u AS (SELECT sym, ts, {_whole(4, _fwd(4, 'list(ret)'))} AS p FROM rows) SELECT sym, ts, round({_dd('p')}, 6) AS fwd_dd FROM u",
     "q_outcome_edge": f"{ROWS} SELECT sym, ts, round(greatest(0, (pos - 1) * 0.5 * (coalesce({_fwd(4, 'sum(ret)', 1)}, 0) + coalesce({_fwd(8, 'sum(ret)', 1)}, 0))), 6) AS edge FROM rows",
@@ -413,13 +400,13 @@ SELECT sym, ts, [0.0, 0.5, 1.0, 1.25][s]::DOUBLE AS best, round(worth, 6) AS val
     "q_execute_targets": f"{_REC}, {_TARGETS}, t AS MATERIALIZED (SELECT *, greatest(0.5, least(1.12, 1 + 0.8 * (target - 1))) AS aim FROM tg), h AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 1.0::DOUBLE AS p, 3 AS since FROM t UNION ALL SELECT sym, ts, n, np, CASE WHEN abs(np - p) > 1e-8 THEN 0 ELSE since + 1 END FROM (SELECT t.sym, t.ts, t.n, h.p, h.since, greatest(0.5, least(1.12, h.p + CASE WHEN h.since < 3 THEN 0 ELSE greatest(-0.04, least(0.04, t.aim - h.p)) END)) AS np FROM h JOIN t ON t.sym = h.sym AND t.n = h.n + 1)) SELECT sym, ts, round(p, 6) AS position FROM h WHERE n > 0",
     "q_deflated_sharpe": f"{PNLS}, m AS (SELECT sym, {_sharpe('pnl')} AS sr, count(*) AS n, avg(pnl) AS mu, stddev_pop(pnl) AS sd FROM pnl GROUP BY sym), k AS (SELECT m.sym, sr, n, avg(pow((pnl - mu) / sd, 3)) AS skew, avg(pow((pnl - mu) / sd, 4)) AS kurt FROM pnl JOIN m USING (sym) GROUP BY ALL) SELECT sym, round(sr, 4) AS sr, n, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round((sr - {overfit.expected_maximum(10)!r}) / sqrt(greatest((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / greatest(n - 1, 1), 1e-10)), 4) AS z FROM k",
     "q_scorecard": f"{EQS}, {_SUMMARY}, {_STATS}, {_WIN}, j AS (SELECT s.sym, 100 * (total_return - bench_return) AS alpha_pt, 100 * (abs(max_dd) - abs(bench_dd)) AS maxdd_pt, sharpe - bench_sharpe AS sharpe_delta, win_rate, long_share, short_share, switches, turnover FROM s JOIN st USING (sym) JOIN pw USING (sym)), c AS (SELECT *, alpha_pt >= 3 AS ok_alpha, sharpe_delta >= 0.2 AS ok_sharpe, maxdd_pt <= -3 AS ok_maxdd, win_rate >= 0.6 AS ok_win_rate, NOT (greatest(long_share, short_share) >= 0.8 AND switches <= 5 AND turnover < 1) AS ok_collapse, alpha_pt >= 10 OR maxdd_pt <= -5 AS stretch_hit FROM j) SELECT sym, {_round('alpha_pt', 'maxdd_pt', 'sharpe_delta', 'win_rate')}, ok_alpha, ok_sharpe, ok_maxdd, ok_win_rate, ok_collapse, stretch_hit, ok_alpha AND ok_sharpe AND ok_maxdd AND ok_win_rate AND ok_collapse AS m2_pass FROM c",
-    "q_pbo": f"{ROWS}, {FOLDS}, fr AS (SELECT r.*, fold FROM rows r JOIN folds f ON ts >= test_start AND ts <= test_end WHERE fold < 12), p AS (SELECT fold, pos * ret - {UNIT} * abs(pos - lag(pos, 1, 0.0) OVER (PARTITION BY sym, fold ORDER BY ts)) AS pnl FROM fr), s AS (SELECT fold, avg(pnl) / stddev_pop(pnl) AS s FROM p GROUP BY fold), l AS (SELECT list(s ORDER BY fold) AS s, count(*) AS n FROM s), m AS (SELECT s, n, mask FROM l, range(4096) t(mask) WHERE mask < (1 << n) AND bit_count(mask) = n // 2), o AS (SELECT list_max(list_filter(s, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS a, list_max(list_filter(s, lambda x, i: (mask >> (i - 1)) & 1 = 0)) AS b FROM m) SELECT round(avg((a > b)::DOUBLE), 6) AS pbo, count(*) AS subsets FROM o",
+    "q_pbo": f"{ROWS}, {FOLDS}, fr AS (SELECT r.*, fold FROM rows r JOIN folds f ON ts >= test_start AND ts <= test_end), p AS (SELECT fold, pos * ret - {UNIT} * abs(pos - lag(pos, 1, 0.0) OVER (PARTITION BY sym, fold ORDER BY ts)) AS pnl FROM fr), s AS (SELECT fold, CASE WHEN stddev_pop(pnl) < 1e-10 THEN 0 ELSE avg(pnl) / stddev_pop(pnl) END AS s FROM p GROUP BY fold), l AS (SELECT list(s ORDER BY fold) AS s, count(*) AS n FROM s), m AS (SELECT s, n, mask FROM (SELECT s, n, unnest(range(1 << n)) AS mask FROM l) WHERE bit_count(mask) = n // 2), o AS (SELECT list_max(list_filter(s, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS a, list_max(list_filter(s, lambda x, i: (mask >> (i - 1)) & 1 = 0)) AS b FROM m) SELECT round(avg((a > b)::DOUBLE), 6) AS pbo, count(*) AS subsets FROM o",
     "q_support_counts": f"{ROWS}, u AS (SELECT CASE WHEN abs(ret) > 0.005 THEN 1 ELSE 0 END AS regime, CASE WHEN pos = 0.5 THEN 1 ELSE 2 END AS now, CASE WHEN lead(pos) OVER {W} = 0.5 THEN 1 WHEN lead(pos) OVER {W} IS NOT NULL THEN 2 END AS next FROM rows) SELECT regime, now, next, count(*) AS n FROM u WHERE next IS NOT NULL GROUP BY ALL",
     "q_regime_prior": f"{ROWS}, {_TRI}, l AS ({' UNION ALL '.join(f'SELECT {i} AS regime, p{i} AS p, (ret > 0.002)::DOUBLE AS y FROM tri' for i in range(3))}), b AS (SELECT avg((ret > 0.002)::DOUBLE) AS base FROM rows), g AS (SELECT regime, sum(p) AS mass, sum(p * y) / sum(p) AS r FROM l GROUP BY 1), h AS (SELECT regime, mass, base, base + mass / (mass + 64) * (r - base) AS rate FROM g, b) SELECT regime, round(mass, 6) AS mass, round(rate, 6) AS rate, round(ln(greatest(least(rate, 1 - 1e-6), 1e-6) / (1 - greatest(least(rate, 1 - 1e-6), 1e-6))) - ln(base / (1 - base)), 6) AS logit FROM h",
     "q_lambda_return": f"WITH {_EPI}, a AS (SELECT user_id, chunk, list(value ORDER BY step) AS v FROM ep GROUP BY ALL HAVING count(*) = 8), g AS (SELECT user_id, chunk, list_transform(v, lambda x: {_SYM.format(x='(x / 100 - 0.5)')}) AS r, list_transform(v, lambda x: {_SYM.format(x='(x / 200)')}) AS u FROM a), h7 AS (SELECT *, r[8] + 0.99 * (0.05 * u[8] + 0.95 * u[8]) AS g7 FROM g), " + ", ".join(f"h{k} AS (SELECT *, r[{k + 1}] + 0.99 * (0.05 * u[{k + 1}] + 0.95 * g{k + 1}) AS g{k} FROM h{k + 1})" for k in range(6, -1, -1)) + " SELECT user_id, chunk, round(g0, 6) AS g0, round(g7, 6) AS g7 FROM h0",
     "q_rollout_rewards": f"WITH {_EPI}, s AS (SELECT user_id, chunk, step, value / 1e4 - 0.005 AS ret, CASE WHEN step % 3 = 0 THEN 1.1 ELSE 0.8 END::DOUBLE AS pos FROM ep), n AS (SELECT *, pos * ret - {UNIT} * abs(pos - lag(pos, 1, 1.0) OVER w) AS net FROM s WINDOW w AS (PARTITION BY user_id, chunk ORDER BY step)), c AS (SELECT *, sum(net) OVER (PARTITION BY user_id, chunk ORDER BY step ROWS UNBOUNDED PRECEDING) AS c FROM n), l AS (SELECT *, max(c) OVER (PARTITION BY user_id, chunk ORDER BY step ROWS UNBOUNDED PRECEDING) - c AS level FROM c), r AS (SELECT *, net - ret - 0.5 * greatest(level - lag(level, 1, 0.0) OVER (PARTITION BY user_id, chunk ORDER BY step), 0) - 0.1 * greatest(pos - 1, 0) AS reward FROM l) SELECT user_id, chunk, round(sum(reward), 9) AS reward, round(max(level), 9) AS level FROM r GROUP BY ALL",
     "q_twohot": f"{ROWS}, u AS (SELECT sym, ts, (greatest(-3, least(3, {_SYM.format(x='(ret * 100)')})) + 3) / 0.2 AS a FROM rows) SELECT sym, ts, least(floor(a), 29)::INT AS bin, round(a - least(floor(a), 29), 6) AS upper FROM u",
-    "q_knn_anchor": "WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS anchor, list_distance(a.v, b.v) AS d FROM u a, u b WHERE b.vec_id < 32) SELECT vec_id, arg_min(anchor, (d, anchor)) AS anchor, round(min(d), 5) AS distance FROM d GROUP BY vec_id",
+    "q_knn_anchor": "WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS anchor, list_distance(a.v, b.v) AS d FROM u a, (SELECT u.* FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) JOIN u USING (vec_id) WHERE i IN (SELECT ((k * ((SELECT count(*) FROM embeddings) - 1)) // 31) FROM range(32) t(k))) b) SELECT vec_id, arg_min(anchor, (d, anchor)) AS anchor, round(min(d), 5) AS distance FROM d GROUP BY vec_id",
 }
 
 
@@ -429,4 +416,19 @@ def _term(h: int) -> str:
 
 
 _LOSSES = _fwd(8, "avg((ret < 0)::DOUBLE)", 1)
+_AIM = f"""{_REC}, {_TARGETS}, s0 AS (SELECT *, min(CASE WHEN target >= 1 THEN n END) OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop, max(CASE WHEN target >= 1 THEN n END) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS was, max(n) OVER (PARTITION BY sym) AS last, greatest(0.3, least(1.12, target)) AS c FROM tg),
+s1 AS (SELECT *, coalesce(stop, last + 1) - n AS fr, n - coalesce(was, 0) AS streak FROM s0), s2 AS (SELECT *, CASE WHEN c < 1 THEN least(1, greatest(streak, fr) / 3) ELSE 1 END AS share FROM s1),
+s3 AS MATERIALIZED (SELECT sym, ts, n, fr, CASE WHEN 1 + (c - 1) * share < 1 THEN greatest(1 + (c - 1) * share, 0.45) ELSE 1 + (c - 1) * share END AS aim, 0.1 * CASE WHEN c < 1 THEN greatest(share, 0.5) ELSE 1 END AS most FROM s2),
+h AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 0::BIGINT AS fr, 1.0::DOUBLE AS p FROM s3 UNION ALL SELECT t.sym, t.ts, t.n, t.fr, CASE WHEN abs(t.aim - h.p) <= 0.02 THEN h.p ELSE greatest(0.3, least(1.12, h.p + greatest(-t.most, least(t.most, t.aim - h.p)))) END FROM h JOIN s3 t ON t.sym = h.sym AND t.n = h.n + 1)"""
+ORACLES["q_smooth_aim"] = f"{_AIM} SELECT sym, ts, fr::DOUBLE AS future_run, round(p, 6) AS aim FROM h WHERE n > 0"
+_GRID = (-1.0, -0.25, 0.0, 0.5, 1.0)
+
+
+def _hat(i: int) -> str:
+    rise = f"(x - ({_GRID[i - 1]})) / {_GRID[i] - _GRID[i - 1]}" if i else "1"
+    fall = f"({_GRID[i + 1]} - x) / {_GRID[i + 1] - _GRID[i]}" if i + 1 < len(_GRID) else "1"
+    return f"round(greatest(0, least({rise}, {fall}, 1)), 6) AS s{i}"
+
+
+ORACLES["q_soft_label"] = f"{ROWS}, u AS (SELECT sym, ts, greatest(-1, least(1, ret * 100)) AS x FROM rows) SELECT sym, ts, {', '.join(map(_hat, range(5)))} FROM u"
 ORACLES["q_signal_teacher"] = f"{ROWS}, u AS (SELECT sym, ts, greatest(-4, least(4, {' + '.join(map(_term, (4, 8, 16)))} - 0.5 * coalesce({_LOSSES}, 0))) AS signal FROM rows) SELECT sym, ts, round(signal, 5) AS signal, round(greatest(0, least(1, exp(-greatest(0, -(signal + 0.1))))), 5) AS target FROM u"

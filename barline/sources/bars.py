@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +91,52 @@ def optional(spark: SparkSession, path: str) -> DataFrame | None:
 
 def series_files(spark: SparkSession, pattern: str, include: list[str] | None = None) -> DataFrame:
     """(series, ts, value) of files named ``..._series_NAME.parquet``: each one's first value column."""
-    df = spark.read.option("mergeSchema", "true").parquet(pattern)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"_series_(.+)\.parquet", 1)
-    values = [c for c in df.columns if c not in ("ts", "time", "timestamp")]
-    time = next(c for c in ("ts", "time", "timestamp") if c in df.columns)
-    out = df.select(name.alias("series"), F.col(time).cast("timestamp_ntz").alias("ts"), F.coalesce(*(F.col(c).cast("double") for c in values)).alias("value"))
-    return out.where(F.col("series").isin(include)) if include else out
+    times = ("ts", "time", "timestamp")
+    files = sorted(r[0] for r in spark.read.option("mergeSchema", "true").parquet(pattern).select("_metadata.file_path").distinct().collect())  # one for each series
+    parts = []
+    for path in files:
+        name = re.search(r"_series_([^/]+)\.parquet", path).group(1)
+        if include and name not in include:
+            continue
+        df = spark.read.parquet(path)
+        time, value = next(c for c in times if c in df.columns), next(c for c in df.columns if c not in times)
+        parts.append(df.select(F.lit(name).alias("series"), F.col(time).cast("timestamp_ntz").alias("ts"), F.col(value).cast("double").alias("value")))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "series string, ts timestamp_ntz, value double")
+
+
+def long_short_ratio(payloads: DataFrame, body: str = "body", sym: str = "sym") -> DataFrame:
+    """(sym, ts, buy, sell, imbalance, ratio) of JSON arrays of taker volumes, in time order."""
+    k = F.col("k")
+    rows = payloads.select(F.col(sym).alias("sym"), F.explode(F.from_json(F.col(body), "array<struct<timestamp: bigint, buyVol: string, sellVol: string, buySellRatio: string>>")).alias("k"))
+    out = rows.select("sym", F.timestamp_millis(k["timestamp"]).cast("timestamp_ntz").alias("ts"), k["buyVol"].cast("double").alias("buy"), k["sellVol"].cast("double").alias("sell"), k["buySellRatio"].cast("double").alias("ratio"))
+    return out.withColumn("imbalance", (F.col("buy") - F.col("sell")) / (F.col("buy") + F.col("sell") + 1e-8)).orderBy("sym", "ts")
+
+
+def mark_klines(payloads: DataFrame, **options) -> DataFrame:
+    """(sym, ts, mark_close) of kline payloads of mark prices."""
+    return klines(payloads, **options).select("sym", "ts", F.col("close").alias("mark_close"))
+
+
+def millis(text: Column) -> Column:
+    """Milliseconds since 1970 of a time in UTC."""
+    return F.unix_millis(F.to_utc_timestamp(F.to_timestamp(text), F.current_timezone()))
+
+
+def union_symbols(frames: dict[str, DataFrame]) -> DataFrame:
+    """One table of several symbols' frames, with the symbol as a column."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("sym", F.lit(sym)) for sym, df in frames.items()))
+
+
+def cached_pair(spark: SparkSession, folder: str, make, on: tuple[str, ...] = ("sym", "ts")) -> tuple[DataFrame, DataFrame]:
+    """(features, returns) of a folder, computed by ``make()`` and written unless both are there; rows that both have."""
+    have = [optional(spark, f"{folder}/{name}.parquet") for name in ("features", "returns")]
+    if None in have:
+        features, returns = make()
+        both = features.select(*on).join(returns.select(*on), list(on))
+        for name, df in (("features", features), ("returns", returns)):
+            df.join(both, list(on), "left_semi").write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        have = [spark.read.parquet(f"{folder}/{name}.parquet") for name in ("features", "returns")]
+    return have[0], have[1]
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:

@@ -17,7 +17,16 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["q_backtest_summary", "q_feature_matrix", "q_asof_funding", "q_oracle_dp", "q_transition_advantage", "q_lambda_return"])
+#: One or two queries of each kind; compare.py runs all of them.
+CHECKED = [
+    "q_backtest_summary", "q_feature_matrix", "q_asof_funding", "q_oracle_dp", "q_transition_advantage", "q_lambda_return", "q_context", "q_funding_context",
+    "q_extra_series", "q_controller_state", "q_smooth_aim", "q_overlay_chain", "q_edge_protected_chain", "q_low_frequency_overlay", "q_affine_overlay",
+    "q_oracle_soft_labels", "q_route_targets", "q_class_report", "q_safe_routes", "q_selector_choice", "q_fold_table", "q_fire_danger_summary",
+    "q_fire_candidates", "q_component_attribution", "q_differential_sharpe", "q_soft_executor", "q_reward_functionals", "q_reward_scale", "q_masked_losses",
+]
+
+
+@pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, db, name):
     df = plans.QUERIES[name](spark, SF)
     got = sorted(tuple(key(r[c]) for c in sorted(df.columns)) for r in df.collect())
