@@ -396,9 +396,10 @@ def _of_length(classes: DataFrame, dims: int, count: int, threshold: float, samp
     buckets = int(max(12, min(count * tables * width // 500_000, 1 << 20)))
     packed = classes.select("mark", "v").mapInArrow(_scatter(model, buckets), "bucket int, points binary, keys binary, local binary, ties binary")
     near = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(words, most + 2 * CLOSE), "a binary, b binary").distinct()
+    near = shared.table(near, "near")
     clusters = components(near).select(F.col("root").alias("cluster"), F.col("node").alias("mark"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    placed = shared.attach(clusters, sizes, "cluster", "mark").withColumn("tile", F.pmod(F.xxhash64("mark"), F.ceil(F.col("m") / TILE)).cast("int"))
+    placed = shared.attach_few(clusters, sizes, "cluster", "mark").withColumn("tile", F.pmod(F.xxhash64("mark"), F.ceil(F.col("m") / TILE)).cast("int"))
     members = shared.table(placed.join(classes.select("mark", "w", "v"), "mark"), "members")
     small = members.where(F.col("m") <= TILE).select("cluster", "mark", "w", "v").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_small(threshold), _OUT)
     large = members.where(F.col("m") > TILE)
