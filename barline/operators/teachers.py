@@ -72,19 +72,20 @@ def describe_overlay(rows: DataFrame, before: str, after: str, bench: float = 1.
     ).select(*by, "mean", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))), "active", "active_05", "remapped")
 
 
-def soft_labels(df: DataFrame, prev: str, ahead_value: str, actions=ACTIONS, bench: float | None = None, unit: float = UNIT, gamma: float = 1.0, temperature: float = 1.0) -> Column:
+def soft_labels(df: DataFrame, prev: str, ahead_value: str, into: str = "soft", actions=ACTIONS, bench: float | None = None, unit: float = UNIT, gamma: float = 1.0, temperature: float = 1.0) -> DataFrame:
     """Boltzmann shares of the actions by their values after the real last position.
 
     ``ahead_value`` holds, for each action, the best worth from the next bar on.
     Advantages are divided by their own deviation, so ``temperature`` has no unit.
     """
-    gain = 0.0 if bench is None else bench
+    gain, n = 0.0 if bench is None else bench, float(len(actions))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     q = F.array(*((a - gain) * F.col("ret") - unit * F.abs(a - F.col(prev)) + gamma * F.col(ahead_value)[i] for i, a in enumerate(actions)))
-    n = float(len(actions))
-    adv = F.transform(q, lambda x: x - F.array_max(q))
-    mean = F.aggregate(adv, F.lit(0.0), lambda s, x: s + x) / n
-    dev = F.sqrt(F.aggregate(adv, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    return scalar.softmax(F.transform(adv, lambda x: x / (dev + 1e-8) / temperature))
+    out = settled(df.withColumn("_q", q).withColumn("_top", F.array_max("_q")))
+    out = settled(out.withColumn("_a", F.transform("_q", lambda x: x - F.col("_top"))).withColumn("_mean", total(F.col("_a")) / n))
+    out = settled(out.withColumn("_dev", F.sqrt(total(F.transform("_a", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))) / n)))
+    out = settled(out.withColumn("_e", F.transform("_a", lambda x: F.exp(x / (F.col("_dev") + 1e-8) / temperature))).withColumn("_all", total(F.col("_e"))))
+    return out.withColumn(into, F.transform("_e", lambda x: x / F.col("_all"))).drop("_q", "_top", "_a", "_mean", "_dev", "_e", "_all")
 
 
 def relabel_bad_underweights(rows: DataFrame, pos: str = "pos", edge: str = "edge", quantile: float = 0.25, bench: float = 1.0, by=SYM) -> DataFrame:

@@ -53,7 +53,7 @@ def q_oracle_soft_labels(spark, sf):
     df = scans.scan(rows(spark, sf).select("sym", "ts", "ret"), lambda r: scans.hindsight_ahead(r, bench=1.0), ("ret",), ("best", "value", *ahead))
     df = df.withColumn("prev", F.lag("best", 1, 0.0).over(ordered())).withColumn("ahead", F.array(*ahead))
     soft = teachers.soft_labels(df, "prev", "ahead", bench=1.0, temperature=0.5)
-    return round_to(df.select("sym", "ts", soft.alias("s")).select("sym", "ts", *(F.col("s")[i].alias(f"p{i}") for i in range(4))), 5)
+    return round_to(soft.select("sym", "ts", *(F.col("soft")[i].alias(f"p{i}") for i in range(4))), 5)
 
 
 def q_bad_underweight(spark, sf):
