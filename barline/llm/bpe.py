@@ -215,7 +215,10 @@ class _Coder:
 
     def segments(self, text: str) -> list[str]:
         """Ordinary texts at even places, special strings at odd ones."""
-        return self.cut(text) if any(o in text for o in self.openings) else [text]
+        return self.cut(text) if self.may_hold_specials(text) else [text]
+
+    def may_hold_specials(self, text: str) -> bool:
+        return any(o in text for o in self.openings)
 
 
 class WordCoder(_Coder):
@@ -314,7 +317,7 @@ class ByteCounter(_Coder):
 
     def measure(self, text: str, limit: int) -> tuple[int, int]:
         """(tokens of the whole text, characters of the longest fitting prefix)."""
-        if self.has_special in text:
+        if self.may_hold_specials(text):
             counts = self.prefixes(text)
             return int(counts[-1]), int(np.flatnonzero(counts <= limit)[-1])
         # Only the pieces around the limit need to be looked into.
