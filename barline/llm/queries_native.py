@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barline.llm import licenses, mixing
+from barline.llm import licenses, mixing, reshard
 
 #: Target weights of the query: src0 gets three parts, src1 two, others one.
 WEIGHTS = {"src0": 3, "src1": 2}
 BLOCK_ROWS = 4
+#: Shards of the documents.
+SHARDS = 8
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.known_licenses(spark), shipped=licenses.shipped_licenses(spark))
 
 
+def op11_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from the uneven shards that their sources' checksums give to SHARDS even ones, by the fewest bytes moved."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    old = reshard.lay_out(docs, F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % SHARDS)
+    new, _ = reshard.reshard(old, reshard.equal_capacities(old.sizes(), SHARDS))
+    return reshard.slots(new).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP7_SQL = f"""
 WITH RECURSIVE src AS (
   SELECT source, count(*) AS n, CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} ELSE 1 END::BIGINT AS a,
@@ -74,5 +85,47 @@ SELECT w.doc_id, w.digest, k.license_id, coalesce(f.notices, '') AS notices
 FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.doc_id IS NOT DISTINCT FROM f.doc_id
 """
 
-QUERIES = {"op7_mixing": op7_mixing, "op10_license_scan": op10_license_scan}
-ORACLES = {"op7_mixing": OP7_SQL, "op10_license_scan": OP10_SQL}
+def _crc_table() -> list[int]:
+    """The table of the reflected polynomial 0xEDB88320."""
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    return table
+
+
+def crc32_sql(source: str, keys: str, text: str) -> str:
+    """SELECT of ``keys`` and the ``crc`` of a text's UTF-8 bytes from a relation; a null counts as empty.
+
+    Texts become bytes in pieces, as DuckDB cuts short strings faster.
+    """
+    return f"""
+SELECT {keys}, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, ({_crc_table()}::BIGINT[])[xor(c, x) % 256 + 1])), 4294967295) AS crc
+FROM (SELECT {keys}, flatten(list(bytes ORDER BY k)) AS bytes
+  FROM (SELECT {keys}, row_no, k, list_transform(range(0, length(h)::BIGINT, 2), lambda i: ('0x' || h[i+1:i+2])::BIGINT) AS bytes
+    FROM (SELECT {keys}, row_no, k, h[k * 128 + 1:k * 128 + 128] AS h
+      FROM (SELECT {keys}, row_number() OVER () AS row_no, hex(encode(coalesce({text}, ''))) AS h FROM {source}), unnest(range(0, greatest(length(h) + 127, 128) // 128)) u(k)))
+  GROUP BY {keys}, row_no)"""
+
+
+#: Shards as intervals on a line of bytes: what is beyond the capacities meets the room that is left.
+OP11_SQL = f"""
+WITH src AS ({crc32_sql("(SELECT DISTINCT coalesce(source, '') AS source FROM documents)", "source", "source")}),
+docs AS ({crc32_sql("documents", "doc_id, source, text", "text")}),
+d AS (SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m, strlen(coalesce(text, '')) + 1 AS size, docs.crc, CAST(src.crc % {SHARDS} AS INT) AS old FROM docs JOIN src ON coalesce(docs.source, '') = src.source),
+s AS (SELECT shard, coalesce(bytes, 0) AS bytes, t * (shard + 1) // {SHARDS} - t * shard // {SHARDS} AS capacity
+  FROM range({SHARDS}) r(shard) LEFT JOIN (SELECT old, sum(size)::BIGINT AS bytes FROM d GROUP BY old) ON old = shard, (SELECT sum(size)::BIGINT AS t FROM d)),
+k AS (SELECT *, least(bytes, capacity) AS keep, sum(bytes - least(bytes, capacity)) OVER (ORDER BY shard)::BIGINT AS s1, sum(capacity - least(bytes, capacity)) OVER (ORDER BY shard)::BIGINT AS r1 FROM s),
+spans AS (
+  SELECT shard AS old, shard AS new, 0 AS a, keep AS b FROM k WHERE keep > 0
+  UNION ALL
+  SELECT o.shard, n.shard, o.keep + greatest(o.s1 - (o.bytes - o.keep), n.r1 - (n.capacity - n.keep)) - (o.s1 - (o.bytes - o.keep)), o.keep + least(o.s1, n.r1) - (o.s1 - (o.bytes - o.keep))
+  FROM k o JOIN k n ON greatest(o.s1 - (o.bytes - o.keep), n.r1 - (n.capacity - n.keep)) < least(o.s1, n.r1)),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY old ORDER BY m, coalesce(CAST(doc_id AS VARCHAR), ''), size, crc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + size // 2 AS mid FROM d),
+placed AS (SELECT doc_id, m, size, crc, new FROM p JOIN spans ON p.old = spans.old AND mid >= a AND mid < b)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, new::INT AS shard, row_number() OVER (PARTITION BY new ORDER BY m, coalesce(CAST(doc_id AS VARCHAR), ''), size, crc) - 1 AS slot, NULL::INT AS grown_shard FROM placed
+"""
+
+QUERIES = {"op7_mixing": op7_mixing, "op10_license_scan": op10_license_scan, "op11_reshard": op11_reshard}
+ORACLES = {"op7_mixing": OP7_SQL, "op10_license_scan": OP10_SQL, "op11_reshard": OP11_SQL}
