@@ -102,10 +102,10 @@ def crc32_sql(source: str, keys: str, text: str) -> str:
     """
     return f"""
 SELECT {keys}, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, ({_crc_table()}::BIGINT[])[xor(c, x) % 256 + 1])), 4294967295) AS crc
-FROM (SELECT {keys}, flatten(list(bytes ORDER BY k)) AS bytes
-  FROM (SELECT {keys}, row_no, k, list_transform(range(0, length(h)::BIGINT, 2), lambda i: ('0x' || h[i+1:i+2])::BIGINT) AS bytes
-    FROM (SELECT {keys}, row_no, k, h[k * 128 + 1:k * 128 + 128] AS h
-      FROM (SELECT {keys}, row_number() OVER () AS row_no, hex(encode(coalesce({text}, ''))) AS h FROM {source}), unnest(range(0, greatest(length(h) + 127, 128) // 128)) u(k)))
+FROM (SELECT {keys}, flatten(list(bytes ORDER BY piece)) AS bytes
+  FROM (SELECT {keys}, row_no, piece, list_transform(range(0, length(h)::BIGINT, 2), lambda i: ('0x' || h[i+1:i+2])::BIGINT) AS bytes
+    FROM (SELECT {keys}, row_no, piece, h[piece * 128 + 1:piece * 128 + 128] AS h
+      FROM (SELECT {keys}, row_number() OVER () AS row_no, hex(encode(coalesce({text}, ''))) AS h FROM {source}), unnest(range(0, greatest(length(h) + 127, 128) // 128)) u(piece)))
   GROUP BY {keys}, row_no)"""
 
 
