@@ -37,6 +37,8 @@ from barline.llm import shared
 #: FIXED VALUES: letters that words are made of.
 LETTERS = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters that a node's name spells out at most.
+STEP = 64
 #: Rounds of pointer doubling: counts rise by a factor at each form, so no chain has 2 ** ROUNDS of them.
 ROUNDS = 7
 
@@ -52,29 +54,32 @@ def count_words(docs: DataFrame, change: Callable[[Column, Column], Column] | No
     return words.select(word.alias("word")).where(F.char_length("word") >= least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_n)
 
 
-def heavy_children(words: DataFrame) -> DataFrame:
-    """(p, heavy): the next character of most words that begin with p."""
-    longer = words.select(F.explode(F.expr("transform(sequence(1, char_length(word)), i -> left(word, i))")).alias("c"))
-    below = longer.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    child = F.struct(F.col("n"), (-F.ascii(F.right("c", F.lit(1)))).alias("k"), F.right("c", F.lit(1)).alias("ch"))
-    return below.groupBy(F.expr("left(c, char_length(c) - 1)").alias("p")).agg(F.max(child)["ch"].alias("heavy"))
+#: A word's path: the depth i of each node, its name k, and the next character ch ('' at the end).  A node's name is its
+#: prefix, in which whole runs of STEP characters are replaced by the md5 of all up to there, so that long words stay short.
+_PATH = f"""flatten(transform(
+    transform(sequence(0, char_length(word) div {STEP}), b -> named_struct('b', b, 'd', if(b = 0, '', '\\0' || md5(left(word, {STEP} * b))), 't', substr(word, {STEP} * b + 1, {STEP}))),
+    x -> transform(sequence(0, least({STEP - 1}, char_length(x.t))), j -> named_struct('i', {STEP} * x.b + j, 'k', x.d || left(x.t, j), 'ch', substr(x.t, j + 1, 1)))))"""
 
 
-def _nodes(words: DataFrame) -> DataFrame:
-    """(word, n, i, p, heavy): the inner nodes p on each word's path, its own end among them."""
-    paths = words.select("word", "n", F.posexplode(F.expr("transform(sequence(0, char_length(word)), i -> left(word, i))")).alias("i", "p"))
+def _light(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, n, p, a, s, heavy) of each light edge on a word's path, and (word, n, heavy) of words that are inner nodes."""
+    named = words.withColumn("name", F.expr(f"if(char_length(word) < {STEP}, word, '\\0' || md5(word))"))
+    nodes = shared.table(named.select("name", F.inline(F.expr(_PATH))), "nodes")
+    below = nodes.where("ch <> ''").groupBy("k", "ch").agg(F.count(F.lit(1)).alias("n"))
+    heavy = below.groupBy("k").agg(F.max(F.struct("n", (-F.ascii("ch")).alias("o"), "ch"))["ch"].alias("heavy"))
     # short prefixes are on the paths of most words
-    return shared.attach(paths, heavy_children(words), "p", "word")
+    turns = shared.attach(nodes, heavy, "k", "name").where("ch <> heavy").select("name", "i", "ch", "heavy").join(named, "name")
+    turns = shared.table(turns.select("word", "n", "heavy", "ch", F.expr("left(word, i)").alias("p"), F.expr("substr(word, i + 2)").alias("s")), "turns")
+    return turns.where("ch <> ''").withColumnRenamed("ch", "a"), turns.where("ch = ''").select("word", "n", "heavy")
 
 
 def one_edit(words: DataFrame) -> DataFrame:
-    """(word, n, x, m): each pair of words one edit apart, once, with their counts."""
-    nodes = shared.table(_nodes(words), "nodes")
-    light = nodes.where("i < char_length(word) and substr(word, i + 1, 1) <> heavy").withColumns({"a": F.expr("substr(word, i + 1, 1)"), "s": F.expr("substr(word, i + 2)")})
+    """(word, n, x, m): each pair of the distinct ``words`` (word, n) one edit apart, once, with their counts."""
+    light, inner = _light(words)
     met = light.select("word", "n", F.explode(F.array(
-        F.concat("p", "heavy", "s"), F.when(F.col("s").eqNullSafe("") | (F.substring("s", 1, 1) != F.col("a")), F.concat("p", "s")), F.concat("p", "heavy", "a", "s"),
+        F.concat("p", "heavy", "s"), F.when((F.col("s") == "") | (F.left("s", F.lit(1)) != F.col("a")), F.concat("p", "s")), F.concat("p", "heavy", "a", "s"),
     )).alias("x"))
-    ends = nodes.where("i = char_length(word)").select("word", "n", F.concat("word", "heavy").alias("x"))
+    ends = inner.select("word", "n", F.concat("word", "heavy").alias("x"))
     found = met.where("x is not null").union(ends).join(words.select(F.col("word").alias("x"), F.col("n").alias("m")), "x").select("word", "n", "x", "m")
     # terminals that coincide among light subtrees: a word for each letter at most
     groups = light.groupBy("p", "s").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("g")).where("size(g) > 1")
