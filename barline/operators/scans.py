@@ -48,22 +48,26 @@ def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return late(line), late(ema(line, span(signal)))
 
 
-def _worths(ret: np.ndarray, actions, unit: float, bench: float | None, gamma: float) -> tuple[np.ndarray, np.ndarray]:
-    """(best worth before each bar by the position held, best action by it), backwards from 0."""
+def worths(ret: np.ndarray, actions, unit: float, bench: float | None, gamma: float, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(best worth before each bar by the position held, best action by it), backwards from ``last``, the worths after the final bar (0).
+
+    ``last`` may stack several cases (cases x actions); results have that axis too.
+    """
     a = np.asarray(actions, dtype=np.float64)
     change = unit * np.abs(a[None, :] - a[:, None])  # from, to
-    n = len(ret)
-    value, policy = np.zeros((n + 1, len(a))), np.zeros((n, len(a)), dtype=np.int64)
+    n, last = len(ret), np.zeros(len(a)) if last is None else last
+    value, policy = np.zeros((n + 1, *last.shape)), np.zeros((n, *last.shape), dtype=np.int64)
+    value[n] = last
     for t in range(n - 1, -1, -1):
-        choice = ((a - (bench or 0.0)) * ret[t] + gamma * value[t + 1])[None, :] - change
-        policy[t] = choice.argmax(axis=1)
-        value[t] = choice[np.arange(len(a)), policy[t]]
+        choice = ((a - (bench or 0.0)) * ret[t] + gamma * value[t + 1])[..., None, :] - change
+        policy[t] = choice.argmax(axis=-1)
+        value[t] = np.take_along_axis(choice, policy[t][..., None], axis=-1)[..., 0]
     return value, policy
 
 
 def hindsight(ret: np.ndarray, actions=(0.0, 0.5, 1.0, 1.25), unit: float = 5.5e-4, bench: float | None = None, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Best positions in hindsight under costs, from flat, and their values."""
-    value, policy = _worths(ret, actions, unit, bench, gamma)
+    value, policy = worths(ret, actions, unit, bench, gamma)
     flat = int(np.abs(np.asarray(actions)).argmin())
     taken = np.array(fold(flat, lambda state, row: int(row[0][state]), policy), dtype=np.int64)
     before = np.r_[flat, taken[:-1]].astype(np.int64)[: len(ret)]
@@ -72,7 +76,7 @@ def hindsight(ret: np.ndarray, actions=(0.0, 0.5, 1.0, 1.25), unit: float = 5.5e
 
 def hindsight_ahead(ret: np.ndarray, actions=(0.0, 0.5, 1.0, 1.25), unit: float = 5.5e-4, bench: float | None = None, gamma: float = 1.0) -> tuple:
     """``hindsight``, and for each action the best worth from the next bar on."""
-    value, _ = _worths(ret, actions, unit, bench, gamma)
+    value, _ = worths(ret, actions, unit, bench, gamma)
     return (*hindsight(ret, actions, unit, bench, gamma), *value[1:].T)
 
 
@@ -97,21 +101,21 @@ def min_hold(target: np.ndarray, bars: int) -> np.ndarray:
     return np.array([held for held, _ in fold((target[0], 0), step, target)]) if len(target) else target
 
 
-def confirmed(aim: np.ndarray, under: np.ndarray, ahead: np.ndarray, bars: int, bench: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(aims, shares): underweights count in full once their run, up to here or from here on, has ``bars`` bars."""
+def confirmed(aim: np.ndarray, under: np.ndarray, ahead: np.ndarray, bars: int, bench: float, least: float, past: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(aims, shares): underweights count in full once their run, up to here or from here on, has ``bars`` bars, ``past`` of them before the first row."""
     n = np.arange(len(aim))
-    share = np.maximum(np.maximum(n - np.maximum.accumulate(np.where(under, -1, n)), ahead) / bars, least)
+    share = np.maximum(np.maximum(n - np.maximum.accumulate(np.where(under, -1 - past, n)), ahead) / bars, least)
     share = np.where(under, np.minimum(share, 1.0), 1.0)
     return bench + (aim - bench) * share, share
 
 
-def smooth_aim(target: np.ndarray, future_run: np.ndarray, step: float, band: float, start: float, low: float, high: float, bench: float = 1.0, confirm: int = 0, least_scale: float = 0.0, step_scale: float = 1.0, floor: float | None = None) -> np.ndarray:
-    """A path towards the targets: confirmed underweights, dead band, limited steps."""
+def smooth_aim(target: np.ndarray, future_run: np.ndarray, step: float, band: float, start: float, low: float, high: float, bench: float = 1.0, confirm: int = 0, least_scale: float = 0.0, step_scale: float = 1.0, floor: float | None = None, past: int = 0) -> np.ndarray:
+    """A path towards the targets: confirmed underweights (``past`` bars of a run before the first row), dead band, limited steps."""
     aim, most = np.clip(target, low, high), np.full(len(target), max(step, 1e-6))
     if bench != 0.0:
         under = aim < bench
         if confirm > 0:
-            aim, share = confirmed(aim, under, future_run, confirm, bench, least_scale)
+            aim, share = confirmed(aim, under, future_run, confirm, bench, least_scale, past)
             most = np.where(under, most * np.maximum(share, step_scale), most)
         if floor is not None:
             aim = np.where(aim < bench, np.maximum(aim, np.clip(floor, low, high)), aim)
@@ -121,6 +125,11 @@ def smooth_aim(target: np.ndarray, future_run: np.ndarray, step: float, band: fl
 
 def execute(target: np.ndarray, blend: float = 1.0, hold: int = 0, step: float = 0.04, bench: float = 1.0, low: float = 0.5, high: float = 1.12) -> np.ndarray:
     """Targets blended with the benchmark, locked after a trade, in limited steps."""
+    return np.array([at for at, _ in execute_states(target, blend, hold, step, bench, low, high)])
+
+
+def execute_states(target: np.ndarray, blend: float, hold: int, step: float, bench: float, low: float, high: float, start: tuple[float, float] | None = None) -> list[tuple[float, float]]:
+    """(position, bars since the last trade) after each row."""
     aims = np.clip((1 - blend) * bench + blend * target, low, high)
 
     def trade(state, row):
@@ -128,7 +137,7 @@ def execute(target: np.ndarray, blend: float = 1.0, hold: int = 0, step: float =
         after = float(np.clip(toward(at, row[0], step), low, high)) if idle >= hold else at
         return after, idle + 1 if abs(after - at) <= 1e-8 else 0
 
-    return np.array([at for at, _ in fold((bench, hold), trade, aims)])
+    return fold(start or (bench, hold), trade, aims)
 
 
 def execute_grid(target: np.ndarray, specs: list[tuple[float, float, int]], bench: float = 1.0, low: float = 0.5, high: float = 1.12) -> tuple[np.ndarray, ...]:
@@ -145,9 +154,9 @@ def execute_grid(target: np.ndarray, specs: list[tuple[float, float, int]], benc
     return tuple(np.array(path).reshape(len(target), len(specs)).T)
 
 
-def held_band(x: np.ndarray, band: float) -> np.ndarray:
-    """The last value that lay ``band`` or more from the one held before it."""
-    return np.array(fold(x[0], lambda now, row: row[0] if abs(row[0] - now) >= band else now, x)) if len(x) else x
+def held_band(x: np.ndarray, band: float, start: float | None = None) -> np.ndarray:
+    """The last value that lay ``band`` or more from the one held before it, from the first value or ``start``."""
+    return np.array(fold(x[0] if start is None else start, lambda now, row: row[0] if abs(row[0] - now) >= band else now, x)) if len(x) else x
 
 
 def edge_gate(edge: np.ndarray, centre: float = 0.0, scale: float = 1.0) -> np.ndarray:
@@ -155,13 +164,22 @@ def edge_gate(edge: np.ndarray, centre: float = 0.0, scale: float = 1.0) -> np.n
     return 1.0 / (1.0 + np.exp(-np.clip((np.nan_to_num(edge) - centre) * scale, -30.0, 30.0)))
 
 
-def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, high: float = 0.12, alpha: float = 0.2, hold_band: float = 0.02, dead: float = 0.01, step: float = 0.05, gate: np.ndarray | None = None, down_cut: float = 0.0, up_add: float = 0.0) -> np.ndarray:
-    """Overlay protected by an edge gate, bounded, smoothed, held inside a band, zeroed when small, stepped from 0."""
+#: Settings of the overlay chain.
+OVERLAY = {"bench": 1.0, "low": -0.5, "high": 0.12, "alpha": 0.2, "hold_band": 0.02, "dead": 0.01, "step": 0.05, "down_cut": 0.0, "up_add": 0.0}
+
+
+def overlay_bounded(target: np.ndarray, gate: np.ndarray | None = None, bench: float = 1.0, low: float = -0.5, high: float = 0.12, down_cut: float = 0.0, up_add: float = 0.0) -> np.ndarray:
+    """Overlays, those below the benchmark cut and others raised by a gate's share, and bounded."""
     over = target - bench
     if gate is not None:
         over = np.where(over < 0, over * (1 - down_cut * gate), over)
         over = np.where(over >= 0, over + up_add * gate, over)
-    over = np.clip(over, low, high)
+    return np.clip(over, low, high)
+
+
+def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, high: float = 0.12, alpha: float = 0.2, hold_band: float = 0.02, dead: float = 0.01, step: float = 0.05, gate: np.ndarray | None = None, down_cut: float = 0.0, up_add: float = 0.0) -> np.ndarray:
+    """Overlay protected by an edge gate, bounded, smoothed, held inside a band, zeroed when small, stepped from 0."""
+    over = overlay_bounded(target, gate, bench, low, high, down_cut, up_add)
     over = held_band(ema(over, alpha) if len(over) else over, hold_band)
     over = np.where(np.abs(over) < dead, 0.0, over)
     return bench + np.array(fold(0.0, lambda now, row: toward(now, row[0], step), over))
@@ -169,13 +187,18 @@ def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, hig
 
 def regime_hold(target: np.ndarray, bars: int, dead: float) -> np.ndarray:
     """Overlays, from flat, that move by more than ``dead`` only after ``bars`` bars without a move."""
+    return np.array([at for at, _ in regime_hold_states(target, bars, dead)])
+
+
+def regime_hold_states(target: np.ndarray, bars: int, dead: float, start: tuple[float, float] | None = None) -> list[tuple[float, float]]:
+    """(overlay, bars since its last move) after each row."""
 
     def step(state, row):
         at, idle = state
         after = at if idle < bars and abs(row[0] - at) > dead else row[0]
         return after, idle + 1 if abs(after - at) <= 1e-8 else 0
 
-    return np.array([at for at, _ in fold((0.0, bars), step, target)])
+    return fold(start or (0.0, bars), step, target)
 
 
 def rate_cap(fire: np.ndarray, share: float) -> np.ndarray:
@@ -197,9 +220,14 @@ def soft_path(aim: np.ndarray, rate: np.ndarray, band: np.ndarray, step: float,
 
 def differential_sharpe(ret: np.ndarray, eta: float = 0.01) -> np.ndarray:
     """Differential Sharpe ratio with running first and second moments."""
-    before = lambda x: ema(np.r_[0.0, x], eta)[:-1]
-    a, b = before(ret), before(ret * ret)
-    return (b * (ret - a) - 0.5 * a * (ret * ret - b)) / (b - a * a + 1e-8) ** 1.5
+    return sharpe_steps(ret, eta, (0.0, 0.0))[0]
+
+
+def sharpe_steps(ret: np.ndarray, eta: float, start: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """(differential Sharpe ratio, both moments after the last row), from the moments ``start``."""
+    moments = [ema(np.r_[s, x], eta) for s, x in zip(start, (ret, ret * ret))]
+    a, b = (m[:-1] for m in moments)
+    return (b * (ret - a) - 0.5 * a * (ret * ret - b)) / (b - a * a + 1e-8) ** 1.5, (moments[0][-1], moments[1][-1])
 
 
 def forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.frames import SYM, ahead, clip, ordered, running, settled, trailing
 from barline.functions import scalar
-from barline.operators import scans
+from barline.operators import chunks, scans
 from barline.operators.labels import ACTIONS, ROUTES, UNIT, first_best, nearest, route, transition_class, transition_values
 
 
@@ -24,8 +24,7 @@ def add_trailing_state(df: DataFrame, trend: int, depth: int, vol: int, ret: str
 
 def smoothed(df: DataFrame, names: tuple[str, ...], span: int, by=SYM) -> DataFrame:
     """``NAME_slow``: exponential means of the columns, in one pass."""
-    alpha = scans.span(span)
-    return scans.scan(df, lambda *x: tuple(scans.ema(c, alpha) for c in x), names, tuple(f"{n}_slow" for n in names), by)
+    return chunks.ema(df, names, scans.span(span), tuple(f"{n}_slow" for n in names), by)
 
 
 #: Limits and sizes of the low-frequency overlay.
@@ -43,7 +42,7 @@ def low_frequency_overlay(df: DataFrame, hold: int = 0, dead: float = 0.0, safe_
     out = df.withColumn("_raw", F.when(up, k["base"] + abs(k["up"])).when(down, k["base"] - abs(k["down"])).otherwise(base))
     if hold < 1:
         return out.withColumnRenamed("_raw", "overlay")
-    return scans.scan(out, lambda x: scans.regime_hold(x, hold, dead), ("_raw",), ("overlay",), by).drop("_raw")
+    return chunks.regime_hold(out, hold, dead, "_raw", "overlay", by=by).drop("_raw")
 
 
 def affine_overlay(base: float, risk: float, edge: float, utility: float, trend_down: float, trend_up: float, centre: float = 0.0, gate: float = 3.0) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.frames import ordered, round_to
-from barline.operators import align, features, folds, scans
+from barline.operators import align, chunks, features, folds, scans
 from barline.plans.views import BARS_1D, BARS_15M, EXPANDED, FOLDS, RETS, rolling
 from barline.sources import bars
 
@@ -57,13 +57,12 @@ def q_realized_vol(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ema(spark: SparkSession, sf: str) -> DataFrame:
     df = bars.bars_1d(spark, sf).select("sym", "ts", "close")
-    return round_to(scans.scan(df, lambda x: scans.ema(x, scans.span(12)), ("close",), ("ema",)).select("sym", "ts", "ema"), 4)
+    return round_to(chunks.ema(df, ("close",), scans.span(12), ("ema",)).select("sym", "ts", "ema"), 4)
 
 
 def q_macd(spark: SparkSession, sf: str) -> DataFrame:
     df = bars.bars_1d(spark, sf).select("sym", "ts", "close")
-    out = scans.scan(df, scans.macd, ("close",), ("macd", "signal"))
-    return round_to(out.select("sym", "ts", F.nanvl("macd", F.lit(None)).alias("macd"), F.nanvl("signal", F.lit(None)).alias("signal")), 4)
+    return round_to(chunks.macd(df, outputs=("macd", "signal")).select("sym", "ts", "macd", "signal"), 4)
 
 
 def _ema_sql(select: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.frames import ordered, round_to
-from barline.operators import backtest, diagnostics, folds, labels, overfit, rewards, scans, selection
+from barline.operators import backtest, chunks, diagnostics, folds, labels, overfit, rewards, scans, selection
 from barline.plans.views import EQS, FOLDS, PNLS, ROWS, UNIT
 from barline.sources import bars
 
@@ -163,7 +163,7 @@ def q_position_utility(spark, sf):
 
 
 def q_oracle_dp(spark, sf):
-    df = scans.scan(rows(spark, sf).select("sym", "ts", "ret"), lambda r: scans.hindsight(r, bench=1.0), ("ret",), ("best", "value"))
+    df = chunks.hindsight(rows(spark, sf).select("sym", "ts", "ret"), bench=1.0)
     return round_to(df.select("sym", "ts", "best", "value"))
 
 
@@ -173,21 +173,21 @@ def _targets(spark, sf):
 
 
 def q_min_hold(spark, sf):
-    return scans.scan(_targets(spark, sf), lambda x: scans.min_hold(x, 5), ("target",), ("held",)).select("sym", "ts", "held")
+    return chunks.min_hold(_targets(spark, sf), 5).select("sym", "ts", "held")
 
 
 def q_smooth_aim(spark, sf):
     df = labels.add_underweight_run(_targets(spark, sf))
-    out = scans.scan(df, lambda t, f: scans.smooth_aim(t, f, 0.1, 0.02, 1.0, 0.3, 1.12, confirm=3, step_scale=0.5, floor=0.45), ("target", "future_run"), ("aim",))
+    out = chunks.smooth_aim(df, 0.1, 0.02, 1.0, 0.3, 1.12, confirm=3, step_scale=0.5, floor=0.45)
     return round_to(out.select("sym", "ts", "future_run", "aim"))
 
 
 def q_execute_targets(spark, sf):
-    return round_to(scans.scan(_targets(spark, sf), lambda t: scans.execute(t, 0.8, 3), ("target",), ("position",)).select("sym", "ts", "position"))
+    return round_to(chunks.execute(_targets(spark, sf), 0.8, 3).select("sym", "ts", "position"))
 
 
 def q_overlay_chain(spark, sf):
-    return round_to(scans.scan(_targets(spark, sf), scans.overlay_chain, ("target",), ("position",)).select("sym", "ts", "position"))
+    return round_to(chunks.overlay_chain(_targets(spark, sf)).select("sym", "ts", "position"))
 
 
 def _grid(spark, sf):

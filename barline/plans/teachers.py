@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.frames import ordered, round_to
-from barline.operators import diagnostics, folds, labels, scans, teachers
+from barline.operators import chunks, diagnostics, folds, labels, scans, teachers
 from barline.plans.paths import _BEST, _REC, _TARGETS, _VALUES, ORACLES as PATHS, W, _advantage, _targets, rows
 from barline.plans.views import EXPANDED, FOLDS, RETS, ROWS, UNIT
 from barline.sources import bars
@@ -36,8 +36,7 @@ def q_risk_budget_overlay(spark, sf):
 
 
 def _chain(spark, sf):
-    gated = lambda t, e: scans.overlay_chain(t, gate=scans.edge_gate(e, 0.1, 2.0), down_cut=0.5, up_add=0.02)
-    return scans.scan(_targets(spark, sf).withColumn("edge", F.col("ret") * 100), gated, ("target", "edge"), ("position",))
+    return chunks.overlay_chain(_targets(spark, sf).withColumn("edge", F.col("ret") * 100), edge="edge", centre=0.1, scale=2.0, down_cut=0.5, up_add=0.02)
 
 
 def q_edge_protected_chain(spark, sf):
@@ -50,7 +49,7 @@ def q_overlay_report(spark, sf):
 
 def q_oracle_soft_labels(spark, sf):
     ahead = [f"v{i}" for i in range(4)]
-    df = scans.scan(rows(spark, sf).select("sym", "ts", "ret"), lambda r: scans.hindsight_ahead(r, bench=1.0), ("ret",), ("best", "value", *ahead))
+    df = chunks.hindsight(rows(spark, sf).select("sym", "ts", "ret"), ahead=ahead, bench=1.0)
     df = df.withColumn("prev", F.lag("best", 1, 0.0).over(ordered())).withColumn("ahead", F.array(*ahead))
     soft = teachers.soft_labels(df, "prev", "ahead", bench=1.0, temperature=0.5)
     return round_to(soft.select("sym", "ts", *(F.col("soft")[i].alias(f"p{i}") for i in range(4))), 5)
