@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.frames import SYM, ordered, run_ids, running
+from barline.operators.quantiles import with_quantiles
 
 ANNUAL = 252
 
@@ -152,8 +153,8 @@ def action_stats(rows: DataFrame, bench: float = 1.0, flat: float = 0.05, by=SYM
     over = F.col("pos") - bench
     step = F.abs(F.col("pos") - F.lag("pos").over(ordered(by)))
     df = rows.withColumns({"over": over, "step": step})
-    ref = df.groupBy(*by).agg(F.greatest(F.coalesce(F.percentile(F.when(F.col("step") > 1e-8, F.col("step")), F.lit(0.9)), F.lit(0.0)), F.lit(0.05)).alias("step_ref"))
-    return df.join(ref, list(by)).groupBy(*by, "step_ref").agg(
+    ref = F.greatest(F.coalesce(F.col("_q")[0], F.lit(0.0)), F.lit(0.05))
+    return with_quantiles(df, F.when(F.col("step") > 1e-8, F.col("step")), (0.9,), by).withColumn("step_ref", ref).groupBy(*by, "step_ref").agg(
         F.avg((F.col("over") > flat).cast("double")).alias("long_share"), F.avg((F.col("over") < -flat).cast("double")).alias("short_share"),
         F.avg((F.abs("over") <= flat).cast("double")).alias("flat_share"), F.avg("over").alias("mean_overlay"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("turnover"),
         F.coalesce(F.sum(F.rint(F.col("step") / F.col("step_ref"))), F.lit(0.0)).alias("switches"), (F.count(F.lit(1)) / F.greatest(F.coalesce(F.sum(F.rint(F.col("step") / F.col("step_ref"))), F.lit(0.0)), F.lit(1.0))).alias("avg_hold"),

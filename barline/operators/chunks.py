@@ -313,16 +313,19 @@ def regime_hold(df: DataFrame, bars: int, dead: float, target: str, output: str,
     return stateful(df, lambda state, x: _last(scans.regime_hold_states(x, bars, dead, state)), (target,), (output,), **where)
 
 
-def overlay_chain(df: DataFrame, target: str = "target", edge: str | None = None, centre: float = 0.0, scale: float = 1.0, output: str = "position", by=SYM, ts: str = "ts", width: float = WIDTH, **settings: float) -> DataFrame:
-    """``scans.overlay_chain``: the overlay is bounded row by row, smoothed by ``ema``, then held and stepped."""
+def overlay_chain(df: DataFrame, target: str = "target", edge: str | None = None, centre: float = 0.0, scale: float = 1.0, risk: str | None = None, output: str = "position", by=SYM, ts: str = "ts", width: float = WIDTH, **settings: float) -> DataFrame:
+    """``scans.overlay_chain``: the overlay is bounded row by row, smoothed by ``ema``, then held and stepped.
+
+    ``edge`` names a column that an edge gate is made of, ``risk`` one with a risk gate's shares (``teachers.risk_gate``).
+    """
     k = scans.OVERLAY | settings
-    bounded, smooth = "_bounded", "_smooth"
+    bounded, smooth, shaped = "_bounded", "_smooth", ("bench", "low", "high", "down_cut", "up_add", "down_scale", "up_scale")
     keep = [c for c in df.columns if c != output]
 
     def bound(batches):
         for rows in batches:
             gate = scans.edge_gate(rows[edge].to_numpy(dtype=np.float64), centre, scale) if edge else None
-            yield rows.assign(**{bounded: scans.overlay_bounded(rows[target].to_numpy(dtype=np.float64), gate, **{n: k[n] for n in ("bench", "low", "high", "down_cut", "up_add")})})
+            yield rows.assign(**{bounded: scans.overlay_bounded(rows[target].to_numpy(dtype=np.float64), gate, risk=rows[risk].to_numpy(dtype=np.float64) if risk else None, **{n: k[n] for n in shaped})})
 
     def run(state, x):
         held, now = state if state is not None else (x[0], 0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barline.frames import SYM, ahead, ordered, run_ids
 from barline.operators import backtest, diagnostics, selection
 from barline.operators.backtest import UNIT
+from barline.operators.quantiles import quantiles
 
 #: Limits and weights of candidates for selection.
 SELECTOR = {
@@ -152,7 +153,7 @@ def fire_dangers(rows: DataFrame, horizon: int = 32, vol_window: int = 64, thres
 def danger_summary(rows: DataFrame, quantile: float = 0.8, include_post_dd: bool = True, by=SYM, **options) -> DataFrame:
     """Rates of dangerous and safe fires of each group, their mean gains and their net."""
     fires = fire_dangers(rows, by=by, **options)
-    limit = fires.groupBy(*by).agg(F.percentile("post_dd", F.lit(quantile)).alias("_limit"))
+    limit = quantiles(fires, "post_dd", (quantile,), by).select(*by, F.col("_q")[0].alias("_limit"))
     high = (F.col("post_dd") >= F.col("_limit")) if include_post_dd else F.lit(False)
     marked = fires.join(limit, list(by)).withColumn("danger", F.col("overlap") | F.col("pre_dd") | high).withColumn("safe", ~F.col("danger") & (F.col("advantage") > 0))
     drop = diagnostics.maxdd_interval(rows, by).select(*by, "peak", "trough")
@@ -191,11 +192,32 @@ def fire_candidates(rows: DataFrame, horizon: int = 16, by=SYM, **limits: float)
     return out.withColumn("score", score - F.when(c("reject").isNotNull(), 1000.0).otherwise(0.0)).select(*by, "fires", "fire_rate", "mean_delta", "fire_pnl", "other_pnl", "forward", "incremental", "reject", "score")
 
 
-def fingerprint(df: DataFrame, by=()) -> DataFrame:
-    """Row count and order-free digest of whole rows: equal tables have equal ones, whatever their partitions."""
-    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns if c not in by)), 256)
-    low = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(low).alias("digest"))
+def fingerprint(df: DataFrame, by=(), ts: str = "ts", width: int = 30 * 86_400_000_000) -> DataFrame:
+    """(by, rows, digest): a tree of SHA-256 digests over rows in the order of their time.
+
+    A row's digest is of its fields with their lengths, nulls marked, so that no
+    text can stand for two fields.  Rows of a time bucket are split by the first
+    digits of their digests; a leaf is the digest of its sorted row digests with
+    how often each occurs, a bucket's of its leaves, a group's of its buckets in
+    order.  Any change of a value, a time, a repeat or a column's place shows;
+    partitions don't.  Each list is as long as a leaf, the leaves of a bucket,
+    or the buckets of the whole time.
+    """
+    text = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("string") if kinds[c].startswith("timestamp") else F.col(c).cast("string")
+    kinds = dict(df.dtypes)
+    fields = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in df.columns if c not in by]
+    time = F.unix_micros(F.col(ts).cast("timestamp")) if kinds[ts].startswith("timestamp") else F.col(ts)
+    rows = df.select(*by, F.floor(time / width).alias("_bucket"), F.sha2(F.concat(*fields), 256).alias("_row"))
+    counted = rows.groupBy(*by, "_bucket", "_row").agg(F.count(F.lit(1)).alias("_n"))
+
+    def above(below: DataFrame, keys: tuple, *line: Column) -> DataFrame:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*line))), lambda s: F.concat_ws(":", s["k"], s["v"])), ",")
+        return below.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sha2(joined, 256).alias("_digest"))
+
+    leaf = F.substring("_row", 1, 3).alias("_leaf")
+    leaves = above(counted.withColumn("_leaf", leaf), (*by, "_bucket", "_leaf"), F.col("_row").alias("k"), F.col("_n").cast("string").alias("v"))
+    buckets = above(leaves, (*by, "_bucket"), F.col("_leaf").alias("k"), F.col("_digest").alias("v"))
+    return above(buckets, by, F.col("_bucket").alias("k"), F.col("_digest").alias("v")).select(*by, F.col("_n").alias("rows"), F.col("_digest").alias("digest"))
 
 
 def evenly_spaced(df: DataFrame, n: int, by=SYM) -> DataFrame:

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.operators.quantiles import with_quantiles
+
 SCHEMA = "fold int, train_start timestamp_ntz, train_end timestamp_ntz, val_start timestamp_ntz, val_end timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz"
 
 
@@ -75,9 +77,8 @@ def parse_folds(text: str) -> list[int]:
 def quantile_norm(rows: DataFrame, signal: str, by=("sym", "fold")) -> DataFrame:
     """Signal centred on the training median of its positive values, over q90 - q50 of these."""
     x = F.when((F.col("role") == "train") & (F.col(signal) > 0), F.col(signal))
-    fit = rows.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.5), F.lit(0.9))).alias("_q"))
     scale = F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-6))
-    return rows.join(fit, list(by)).withColumn(f"{signal}_norm", (F.col(signal) - F.col("_q")[0]) / scale).drop("_q")
+    return with_quantiles(rows, x, (0.5, 0.9), by).withColumn(f"{signal}_norm", (F.col(signal) - F.col("_q")[0]) / scale).drop("_q")
 
 
 def standardise(rows: DataFrame, signal: str, by=("sym", "fold"), bound: float = 5.0) -> DataFrame:

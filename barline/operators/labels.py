@@ -176,14 +176,26 @@ def future_returns(h: int, offset: int, ret: str = "ret", by=SYM) -> Column:
     return F.when(F.count(ret).over(w) == h, F.sum(ret).over(w))
 
 
-def future_risk(df: DataFrame, h: int, crash: float, ret: str = "ret", by=SYM) -> DataFrame:
-    """RMS volatility, depth below the start, and crash flag of the next h bars."""
+def path_windows(df: DataFrame, columns: tuple[str, ...], h: int, state: str = "pos", by=SYM) -> DataFrame:
+    """Each bar that ``h`` bars begin with: arrays ``NAME_path`` of the columns over these, and the ``start`` state.
+
+    Nulls keep their places.  The last bars of a group, which have fewer ahead, begin no window.
+    """
+    w = ahead(0, h - 1, by)
+    # lists drop nulls, structs around them don't
+    paths = {f"{c}_path": F.transform(F.collect_list(F.struct(F.col(c).alias("x"))).over(w), lambda s: s["x"]) for c in columns}
+    return df.withColumns({**paths, "start": F.col(state), "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") == h).drop("_n")
+
+
+def future_risk(df: DataFrame, h: int, crash: float, excess: float = 0.0, ret: str = "ret", by=SYM) -> DataFrame:
+    """RMS volatility, depth below the start, crash flag, and depth beyond ``excess``, of the next h bars."""
     w = ahead(1, h, by)
     whole = F.count(ret).over(w) == h
     path = F.collect_list(ret).over(w)
     low = F.aggregate(path, F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("m")), lambda s, x: F.struct((s["c"] + x).alias("c"), F.least(s["m"], s["c"] + x).alias("m")), lambda s: -s["m"])
     out = df.withColumns({f"vol_{h}": F.when(whole, F.sqrt(F.avg(F.col(ret) * F.col(ret)).over(w))), f"depth_{h}": F.when(whole, low)})
-    return out.withColumn(f"crash_{h}", F.when(F.col(f"depth_{h}").isNotNull(), (F.col(f"depth_{h}") >= crash).cast("int")))
+    known = F.col(f"depth_{h}").isNotNull()
+    return out.withColumns({f"crash_{h}": F.when(known, (F.col(f"depth_{h}") >= crash).cast("int")), f"excess_{h}": F.when(known, F.greatest(F.col(f"depth_{h}") - excess, F.lit(0.0)))})
 
 
 def position_utility(df: DataFrame, h: int, actions=ACTIONS, bench: float = 1.0, unit: float = UNIT, dd: float = 0.5, vol: float = 0.1, by=SYM) -> DataFrame:

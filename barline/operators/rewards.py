@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.operators.backtest import UNIT
+from barline.operators.quantiles import at_places
 
 
 def symlog(x: Column) -> Column:
@@ -68,17 +69,17 @@ def soft_label(x: Column, grid: tuple[float, ...]) -> Column:
 
 
 def anchor_bank(vectors: DataFrame, bank_size: int, vec_id: str = "vec_id") -> DataFrame:
-    """``bank_size`` rows of ``vectors``, evenly spaced over all rows in the order of their (unique) ids; all rows if fewer.
+    """``bank_size`` rows of ``vectors``, evenly spaced over all rows in the order of their ids; all rows if fewer.
 
-    Only ids are sorted and numbered, in as many tasks as the shuffle has.
+    Only ids and hashes of rows are sorted, in ranges; of equal rows one stands for all.
     """
     total = vectors.count()
     if total <= bank_size:
         return vectors
-    places = set(np.linspace(0, total - 1, num=bank_size, dtype=np.int64).tolist())
-    numbered = vectors.select(vec_id).orderBy(F.col(vec_id).asc_nulls_first()).rdd.zipWithIndex()
-    picked = numbered.filter(lambda x: x[1] in places).map(lambda x: x[0][0]).collect()  # the bank's ids
-    return vectors.where(F.col(vec_id).isin([i for i in picked if i is not None]) | (F.col(vec_id).isNull() if None in picked else F.lit(False)))
+    marked = vectors.withColumn("_mark", F.xxhash64(*(c for c in vectors.columns if c != vec_id)))
+    places = np.linspace(0, total - 1, num=bank_size, dtype=np.int64).tolist()
+    picked = at_places(marked, (vec_id, "_mark"), places).select(F.col(vec_id).alias("_id"), F.col("_mark").alias("_row"))  # as many rows as the bank has
+    return marked.join(picked, F.col(vec_id).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_row")), "left_semi").dropDuplicates([vec_id, "_mark"]).drop("_mark")
 
 
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -165,21 +165,25 @@ def edge_gate(edge: np.ndarray, centre: float = 0.0, scale: float = 1.0) -> np.n
 
 
 #: Settings of the overlay chain.
-OVERLAY = {"bench": 1.0, "low": -0.5, "high": 0.12, "alpha": 0.2, "hold_band": 0.02, "dead": 0.01, "step": 0.05, "down_cut": 0.0, "up_add": 0.0}
+OVERLAY = {"bench": 1.0, "low": -0.5, "high": 0.12, "alpha": 0.2, "hold_band": 0.02, "dead": 0.01, "step": 0.05, "down_scale": 1.0, "up_scale": 1.0, "down_cut": 0.0, "up_add": 0.0}
 
 
-def overlay_bounded(target: np.ndarray, gate: np.ndarray | None = None, bench: float = 1.0, low: float = -0.5, high: float = 0.12, down_cut: float = 0.0, up_add: float = 0.0) -> np.ndarray:
-    """Overlays, those below the benchmark cut and others raised by a gate's share, and bounded."""
+def overlay_bounded(target: np.ndarray, gate: np.ndarray | None = None, bench: float = 1.0, low: float = -0.5, high: float = 0.12, down_cut: float = 0.0, up_add: float = 0.0, down_scale: float = 1.0, up_scale: float = 1.0, risk: np.ndarray | None = None) -> np.ndarray:
+    """Overlays, scaled on either side of the benchmark, those below it by a risk gate's share; then by an edge gate's those
+    below cut and others raised; and bounded."""
     over = target - bench
+    over = np.where(over < 0, over * down_scale, over * up_scale)
+    if risk is not None:
+        over = np.where(over < 0, over * risk, over)
     if gate is not None:
         over = np.where(over < 0, over * (1 - down_cut * gate), over)
         over = np.where(over >= 0, over + up_add * gate, over)
     return np.clip(over, low, high)
 
 
-def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, high: float = 0.12, alpha: float = 0.2, hold_band: float = 0.02, dead: float = 0.01, step: float = 0.05, gate: np.ndarray | None = None, down_cut: float = 0.0, up_add: float = 0.0) -> np.ndarray:
-    """Overlay protected by an edge gate, bounded, smoothed, held inside a band, zeroed when small, stepped from 0."""
-    over = overlay_bounded(target, gate, bench, low, high, down_cut, up_add)
+def overlay_chain(target: np.ndarray, bench: float = 1.0, low: float = -0.5, high: float = 0.12, alpha: float = 0.2, hold_band: float = 0.02, dead: float = 0.01, step: float = 0.05, gate: np.ndarray | None = None, down_cut: float = 0.0, up_add: float = 0.0, down_scale: float = 1.0, up_scale: float = 1.0, risk: np.ndarray | None = None) -> np.ndarray:
+    """Overlay scaled, gated by risk and protected by an edge gate, bounded, smoothed, held inside a band, zeroed when small, stepped from 0."""
+    over = overlay_bounded(target, gate, bench, low, high, down_cut, up_add, down_scale, up_scale, risk)
     over = held_band(ema(over, alpha) if len(over) else over, hold_band)
     over = np.where(np.abs(over) < dead, 0.0, over)
     return bench + np.array(fold(0.0, lambda now, row: toward(now, row[0], step), over))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barline.frames import SYM, ahead, clip, ordered, running, settled, trailing
 from barline.functions import scalar
 from barline.operators import chunks, scans
+from barline.operators.quantiles import quantiles, with_quantiles
 from barline.operators.labels import ACTIONS, ROUTES, UNIT, first_best, nearest, route, transition_class, transition_values
 
 
@@ -55,6 +56,23 @@ def affine_overlay(base: float, risk: float, edge: float, utility: float, trend_
     )
 
 
+def vector_signal(vector: Column, indices: tuple[int, ...]) -> Column:
+    """Mean of the elements at ``indices`` (from 0) that the vector has; 0 without one, or where it is no finite number."""
+    there = F.filter(F.array(*(F.when(F.size(vector) > i, F.struct(F.get(vector, F.lit(i)).cast("double").alias("x"))) for i in indices if i >= 0)), lambda e: e.isNotNull())
+    mean = F.try_divide(F.aggregate(there, F.lit(0.0), lambda s, e: s + e["x"]), F.size(there))
+    return F.when((F.size(there) > 0) & mean.isNotNull() & ~F.isnan(mean) & (F.abs(mean) < float("inf")), mean).otherwise(0.0)
+
+
+def risk_gate(signal: Column, centre: float = 0.0, scale: float = 1.0, least: float = 0.0) -> Column:
+    """Share, ``least`` to 1, that rises with a signal about its centre."""
+    return least + (1 - least) * scalar.sigmoid(clip((signal - centre) * scale, -30, 30))
+
+
+def risk_state(vector: Column, indices: tuple[int, ...], centre: float = 0.0, scale: float = 1.0) -> Column:
+    """How far the mean of chosen elements lies above its centre, scaled; 0 below it."""
+    return F.greatest((vector_signal(vector, indices) - centre) * scale, F.lit(0.0))
+
+
 def risk_budget_overlay(risk: Column, centre: float, scale: float, least: float, base: float, low_up: float, high_down: float) -> Column:
     """An overlay between ``low_up`` above the base at no risk and ``high_down`` below it at full risk."""
     gate = least + (1 - least) * scalar.sigmoid(clip((risk - centre) * scale, -30, 30))
@@ -65,8 +83,8 @@ def describe_overlay(rows: DataFrame, before: str, after: str, bench: float = 1.
     """Mean, deciles, median and active shares of the overlay, and the share of rows that changed."""
     over = F.col(after) - bench
     share = lambda c: F.avg(c.cast("double"))
-    return rows.groupBy(*by).agg(
-        F.avg(over).alias("mean"), F.percentile(over, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"), share(F.abs(over) > 1e-6).alias("active"),
+    return with_quantiles(rows, over, (0.1, 0.5, 0.9), by).groupBy(*by).agg(
+        F.avg(over).alias("mean"), F.first("_q").alias("_q"), share(F.abs(over) > 1e-6).alias("active"),
         share(F.abs(over) > 0.05).alias("active_05"), share(F.abs(F.col(after) - F.col(before)) > 1e-6).alias("remapped"),
     ).select(*by, "mean", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))), "active", "active_05", "remapped")
 
@@ -89,17 +107,15 @@ def soft_labels(df: DataFrame, prev: str, ahead_value: str, into: str = "soft",
 
 def relabel_bad_underweights(rows: DataFrame, pos: str = "pos", edge: str = "edge", quantile: float = 0.25, bench: float = 1.0, by=SYM) -> DataFrame:
     """``relabelled``: positions below the benchmark whose edge is not above the group's quantile of positive edges become it."""
-    floor = rows.groupBy(*by).agg(F.coalesce(F.percentile(F.when(F.col(edge) > 0, F.col(edge)), F.lit(quantile)), F.lit(0.0)).alias("_floor"))
-    bad = (F.col(pos) < bench - 1e-6) & (F.col(edge) <= F.col("_floor"))
-    return rows.join(floor, list(by)).withColumn("relabelled", F.when(bad, bench).otherwise(F.col(pos))).drop("_floor")
+    bad = (F.col(pos) < bench - 1e-6) & (F.col(edge) <= F.coalesce(F.col("_q")[0], F.lit(0.0)))
+    return with_quantiles(rows, F.when(F.col(edge) > 0, F.col(edge)), (quantile,), by).withColumn("relabelled", F.when(bad, bench).otherwise(F.col(pos))).drop("_q")
 
 
 def normalised_stress(rows: DataFrame, signal: str, by=("sym", "fold")) -> DataFrame:
     """A stress signal as share, 0 to 1, of the way from the median to the ninth decile of the training rows' positive values."""
     x = F.when((F.col("role") == "train") & (F.col(signal) > 0), F.col(signal))
-    fit = rows.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.5), F.lit(0.9))).alias("_q"))
     centre, scale = F.coalesce(F.col("_q")[0], F.lit(0.0)), F.coalesce(F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-6)), F.lit(1.0))
-    return rows.join(fit, list(by)).withColumn(f"{signal}_share", clip((F.col(signal) - centre) / scale, 0.0, 1.0)).drop("_q")
+    return with_quantiles(rows, x, (0.5, 0.9), by).withColumn(f"{signal}_share", clip((F.col(signal) - centre) / scale, 0.0, 1.0)).drop("_q")
 
 
 def route_targets(df: DataFrame, margin: float = 0.0, penalties=(0.0, 0.0, 0.0, 0.0), tau: float = 0.001, smoothing: float = 0.05, actions=ACTIONS, bench: float = 1.0, by=SYM, **costs) -> DataFrame:
@@ -130,8 +146,7 @@ def route_targets(df: DataFrame, margin: float = 0.0, penalties=(0.0, 0.0, 0.0,
 
 def route_report(rows: DataFrame) -> DataFrame:
     """(route, n, rate, mean_adv, top_adv, mean_score): one row for each route, empty ones too."""
-    top = rows.groupBy("route").agg(F.percentile("route_advantage", F.lit(0.9)).alias("q"))
-    limits = {r.route: r.q for r in top.collect()}  # one for each route
+    limits = {r.route: r.q[0] for r in quantiles(rows, "route_advantage", (0.9,), ("route",), "q").collect()}  # one for each route
     limit = F.array(*(F.lit(limits.get(k)) for k in range(4)))[F.col("route")]
     high = F.when(F.col("route_advantage") >= limit, F.col("route_advantage"))
     each = rows.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.avg("route_advantage").alias("mean_adv"), F.avg(high).alias("top_adv"))
@@ -144,7 +159,7 @@ def route_report(rows: DataFrame) -> DataFrame:
 def class_report(rows: DataFrame, name: str = "best_class", value: str = "best_advantage") -> DataFrame:
     """Count, rate, mean, median, outer decile means and positive rate of the advantages of each class."""
     df = rows.where(F.col(value).isNotNull())
-    q = df.groupBy(name).agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"))
+    q = quantiles(df, value, (0.1, 0.5, 0.9), (name,))
     v = F.col(value)
     out = df.join(F.broadcast(q), name).groupBy(name, F.col("_q")[1].alias("median")).agg(  # one row for each class
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.avg(F.when(v >= F.col("_q")[2], v)).alias("top_mean"),

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.frames import SYM, clip, ordered
+from barline.operators.quantiles import with_quantiles
 
 
 def _with_quantiles(rows: DataFrame, edge: str, quantiles: tuple[float, ...], by) -> DataFrame:
     """``_q``: quantiles of the positive values of each group, null where it has none."""
     positive = F.when(F.col(edge) > 0, F.col(edge))
-    return rows.join(rows.groupBy(*by).agg(F.percentile(positive, F.array(*map(F.lit, quantiles))).alias("_q")), [*by])
+    return with_quantiles(rows, positive, quantiles, by)
 
 
 def quality_weights(rows: DataFrame, edge: str, into: str = "quality", quantile: float = 0.75, bound: float = 4.0, by=SYM) -> DataFrame:

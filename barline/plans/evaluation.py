@@ -126,7 +126,7 @@ def q_soft_executor(spark, sf):
 
 
 def q_fingerprint(spark, sf):
-    df = bars.read(spark, sf, "orders").select("o_orderpriority", F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey"))
+    df = bars.read(spark, sf, "orders").select("o_orderpriority", F.col("o_orderdate").alias("ts"), "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return evaluate.fingerprint(df, ("o_orderpriority",))
 
 
@@ -300,7 +300,12 @@ SELECT sym, fires, {_rounded(('fire_rate', 'mean_delta', 'fire_pnl', 'other_pnl'
     "q_differential_sharpe": f"{_REC}, t AS MATERIALIZED (SELECT sym, ts, ret * 100 AS r, row_number() OVER {W} AS n FROM rows), d AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS x FROM t UNION ALL SELECT t.sym, t.ts, t.n, d.a + 0.01 * (t.r - d.a), d.b + 0.01 * (t.r * t.r - d.b), (d.b * (t.r - d.a) - 0.5 * d.a * (t.r * t.r - d.b)) / pow(d.b - d.a * d.a + 1e-8, 1.5) FROM d JOIN t ON t.sym = d.sym AND t.n = d.n + 1) SELECT sym, ts, round(CASE WHEN abs(x) < 1e6 THEN x END, 3) AS dsr FROM d WHERE n > 0",
     "q_rate_cap": f"{ROWS}, f AS (SELECT sym, ts, abs(ret) > 0.004 AS f, count(*) OVER (PARTITION BY sym) AS n FROM rows), g AS (SELECT *, sum(f::INT) OVER {_P} UNBOUNDED PRECEDING) AS c FROM f) SELECT sym, ts, (f AND c <= ceil(0.1 * n))::INT AS kept FROM g",
     "q_soft_executor": f"{_REC}, t AS MATERIALIZED (SELECT sym, ts, CASE WHEN ret > 0 THEN 1.1 ELSE 0.7 END::DOUBLE AS aim, least(abs(ret) * 100, 1) AS rate, row_number() OVER {W} AS n FROM rows), d AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 1.0::DOUBLE AS p FROM t UNION ALL SELECT t.sym, t.ts, t.n, greatest(0.5, least(1.12, d.p + t.rate / (1 + exp(-50 * (abs(t.aim - d.p) - 0.05))) * greatest(-0.1, least(0.1, t.aim - d.p)))) FROM d JOIN t ON t.sym = d.sym AND t.n = d.n + 1) SELECT sym, ts, round(p, 6) AS position FROM d WHERE n > 0",
-    "q_fingerprint": "SELECT o_orderpriority, count(*) AS rows, bit_xor(('0x' || substr(sha256(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR), 1, 15))::BIGINT) AS digest FROM orders GROUP BY 1",
+    "q_fingerprint": f"""WITH r AS (
+  SELECT o_orderpriority AS p, epoch_us(o_orderdate) // {30 * 86_400_000_000} AS b, sha256({" || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("epoch_us(o_orderdate)::VARCHAR", "o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "o_totalprice::VARCHAR"))}) AS d FROM orders),
+n AS (SELECT p, b, d, count(*) AS n FROM r GROUP BY ALL),
+l AS (SELECT p, b, d[1:3] AS k, sum(n) AS n, sha256(string_agg(d || ':' || n, ',' ORDER BY d)) AS v FROM n GROUP BY ALL),
+t AS (SELECT p, b, sum(n) AS n, sha256(string_agg(k || ':' || v, ',' ORDER BY k)) AS v FROM l GROUP BY ALL)
+SELECT p AS o_orderpriority, sum(n)::BIGINT AS rows, sha256(string_agg(b || ':' || v, ',' ORDER BY b)) AS digest FROM t GROUP BY p""",
     "q_evenly_spaced": f"{ROWS}, i AS (SELECT sym, ts, ret, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY sym) AS m FROM rows) SELECT sym, ts, round(ret, 6) AS ret FROM i WHERE m <= 100 OR i IN (SELECT (k * (m - 1)) // 99 FROM range(100) t(k))",
     "q_running_best": f"WITH {_EPI}, e AS (SELECT user_id, chunk * 8 + step AS n, value FROM ep), b AS (SELECT user_id, n, max(value) OVER w AS best, arg_max(n, (value, -n)) OVER w AS bs FROM e WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)), l AS (SELECT *, max((n - bs > 5)::INT) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS late FROM b) SELECT user_id, n AS step, bs AS best_step, round(best, 6) AS best FROM l WHERE late = 0",
     "q_fold_coverage": f"{RETS}, {FOLDS}, {EXPANDED}, w AS (SELECT fold FROM fr GROUP BY fold HAVING count(DISTINCT role) = 3) SELECT fold, 'whole' AS state FROM w UNION ALL SELECT k::INT, 'missing' FROM (VALUES (0), (1), (2), (3), (9), (90)) v(k) WHERE k NOT IN (SELECT fold FROM w)",

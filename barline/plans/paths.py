@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.frames import ordered, round_to
 from barline.operators import backtest, chunks, diagnostics, folds, labels, overfit, rewards, scans, selection
+from barline.operators.quantiles import quantiles
 from barline.plans.views import EQS, FOLDS, PNLS, ROWS, UNIT
 from barline.sources import bars
 
@@ -136,7 +137,7 @@ def q_transition_matrix(spark, sf):
 
 def q_transition_summary(spark, sf):
     df = labels.transition_values(rows(spark, sf)).select(F.posexplode("values").alias("action", "v")).where("v is not null")
-    q = df.groupBy("action").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    q = quantiles(df, "v", (0.1, 0.5, 0.9), ("action",), "q")
     out = df.join(F.broadcast(q), "action").groupBy("action", F.col("q")[1].alias("median")).agg(  # one row for each action
         F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.avg(F.when(F.col("v") >= F.col("q")[2], F.col("v"))).alias("top_mean"),
         F.avg(F.when(F.col("v") <= F.col("q")[0], F.col("v"))).alias("bottom_mean"), F.avg((F.col("v") > 0).cast("double")).alias("positive_rate"),
@@ -155,7 +156,7 @@ def q_future_return_targets(spark, sf):
 
 
 def q_future_risk_targets(spark, sf):
-    return round_to(labels.future_risk(rows(spark, sf), 4, 0.01).select("sym", "ts", "vol_4", "depth_4", "crash_4"))
+    return round_to(labels.future_risk(rows(spark, sf), 4, 0.01, 0.005).select("sym", "ts", "vol_4", "depth_4", "crash_4", "excess_4"))
 
 
 def q_position_utility(spark, sf):
@@ -386,7 +387,7 @@ SELECT sym, bars, n_trades, {_round('sharpe', 'sortino', 'total_return', 'bench_
     "q_transition_summary": f"{ROWS}, {_VALUES}, l AS ({' UNION ALL '.join(f'SELECT {i} AS action, a{i} AS v FROM ta WHERE a{i} IS NOT NULL' for i in range(4))}), q AS (SELECT action, quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.9) AS c FROM l GROUP BY 1) SELECT l.action, round(b, 6) AS median, count(*) AS n, round(avg(v), 6) AS mean, round(avg(v) FILTER (v >= c), 6) AS top_mean, round(avg(v) FILTER (v <= a), 6) AS bottom_mean, round(avg((v > 0)::DOUBLE), 6) AS positive_rate FROM l JOIN q USING (action) GROUP BY l.action, b",
     "q_route_summary": f"{ROWS}, {_VALUES}, {_BEST}, r AS (SELECT CASE best_class WHEN 'neutral' THEN 0 WHEN 'recovery' THEN 2 WHEN 'overweight' THEN 3 ELSE 1 END AS route, best_advantage FROM te) SELECT k::INT AS route, count(r.route) AS n, round(coalesce(avg(best_advantage), 0), 6) AS advantage FROM range(4) t(k) LEFT JOIN r ON r.route = k GROUP BY k",
     "q_future_return_targets": f"{ROWS} SELECT sym, ts, round({_whole(4, _fwd(4, 'sum(ret)'))}, 6) AS r4_0, round({_whole(8, _fwd(8, 'sum(ret)', 1), 1)}, 6) AS r8_1 FROM rows",
-    "q_future_risk_targets": f"{ROWS}, u AS (SELECT sym, ts, {', '.join(f'lead(ret, {k}) OVER {W} AS r{k}' for k in (1, 2, 3, 4))} FROM rows), w AS (SELECT *, CASE WHEN r4 IS NOT NULL THEN sqrt((r1 * r1 + r2 * r2 + r3 * r3 + r4 * r4) / 4) END AS v, CASE WHEN r4 IS NOT NULL THEN -least(0, r1, r1 + r2, r1 + r2 + r3, r1 + r2 + r3 + r4) END AS d FROM u) SELECT sym, ts, round(v, 6) AS vol_4, round(d, 6) AS depth_4, CASE WHEN d IS NOT NULL THEN (d >= 0.01)::INT END AS crash_4 FROM w",
+    "q_future_risk_targets": f"{ROWS}, u AS (SELECT sym, ts, {', '.join(f'lead(ret, {k}) OVER {W} AS r{k}' for k in (1, 2, 3, 4))} FROM rows), w AS (SELECT *, CASE WHEN r4 IS NOT NULL THEN sqrt((r1 * r1 + r2 * r2 + r3 * r3 + r4 * r4) / 4) END AS v, CASE WHEN r4 IS NOT NULL THEN -least(0, r1, r1 + r2, r1 + r2 + r3, r1 + r2 + r3 + r4) END AS d FROM u) SELECT sym, ts, round(v, 6) AS vol_4, round(d, 6) AS depth_4, CASE WHEN d IS NOT NULL THEN (d >= 0.01)::INT END AS crash_4, CASE WHEN d IS NOT NULL THEN round(greatest(d - 0.005, 0), 6) END AS excess_4 FROM w",
     "q_position_utility": f"{ROWS}, u AS (SELECT sym, ts, pos, {_fwd(4, 'stddev_pop(ret)', 1)} AS v, {', '.join(f'lead(ret, {k}) OVER {W} AS r{k}' for k in (1, 2, 3, 4))} FROM rows), w AS (SELECT *, -least(0, r1, r1 + r2, r1 + r2 + r3, r1 + r2 + r3 + r4) AS d FROM u WHERE r4 IS NOT NULL) SELECT sym, ts, a AS action, round((a - 1) * (r1 + r2 + r3 + r4) - {UNIT} * abs(a - pos) - 0.5 * (a * d - d) - 0.1 * abs(a - 1) * v, 6) AS utility FROM w, unnest([0.0, 0.5, 1.0, 1.25]::DOUBLE[]) t(a)",
     "q_oracle_dp": f"""{_REC}, m AS MATERIALIZED (SELECT sym, ts, ret, row_number() OVER (PARTITION BY sym ORDER BY ts DESC) AS n, row_number() OVER {W} AS k FROM rows),
 v(sym, n, val, pol) AS (SELECT sym, 0::BIGINT, [0.0, 0.0, 0.0, 0.0]::DOUBLE[], [0, 0, 0, 0]::BIGINT[] FROM (SELECT DISTINCT sym FROM m)
