@@ -42,3 +42,8 @@ def finite_or(x: Column, other: float = 0.0) -> Column:
 def run_id(settings: dict) -> str:
     """Twenty hex digits that name a configuration, whatever the order of its keys."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:20]
+
+
+def clipped_atanh(x: Column, edge: float = 1e-6) -> Column:
+    """Inverse hyperbolic tangent, of values kept inside (-1, 1) by ``edge``."""
+    return F.when(x.isNotNull(), F.atanh(F.greatest(F.lit(edge - 1), F.least(F.lit(1 - edge), x))))

@@ -74,6 +74,21 @@ def parse_folds(text: str) -> list[int]:
     return list(dict.fromkeys(out))
 
 
+def parse_run(text: str, modes: tuple[str, ...] = ("bc", "ac"), file: str = "ac.pt") -> dict[str, str]:
+    """'label=dir@file:mode' -> its four parts; the mode defaults to the last of ``modes``, the file to ``file``.
+
+    ValueError without a label or a directory, or with an empty file.
+    """
+    label, given, path = text.partition("=")
+    head, cut, mode = path.rpartition(":")
+    path, mode = (head, mode) if cut and mode in modes else (path, modes[-1])
+    folder, cut, name = path.rpartition("@")
+    folder, name = (folder, name) if cut else (path, file)
+    if not (given and label and folder and name):
+        raise ValueError(f"a run is label=dir@file:mode, not {text!r}")
+    return {"label": label, "dir": folder, "file": name, "mode": mode}
+
+
 def quantile_norm(rows: DataFrame, signal: str, by=("sym", "fold")) -> DataFrame:
     """Signal centred on the training median of its positive values, over q90 - q50 of these."""
     x = F.when((F.col("role") == "train") & (F.col(signal) > 0), F.col(signal))

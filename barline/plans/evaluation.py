@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.frames import ordered, round_to
-from barline.operators import backtest, evaluate, folds, rewards, scans, selection
+from barline.operators import backtest, chunks, evaluate, folds, rewards, scans, selection
 from barline.plans.paths import _EPI, _REC, _SYM, W, _episodes, rows
-from barline.plans.views import EXPANDED, FOLDS, RETS, ROWS, UNIT
+from barline.plans.views import CANDIDATES, EXPANDED, FOLDS, RETS, ROWS, SPECS, UNIT
 from barline.sources import bars
 
-#: Blends, steps and holds of the whole execution grid.
-SPECS = [(b, s, h) for b in (0.25, 0.5, 0.75, 1.0) for s in (0.01, 0.02, 0.04) for h in (16, 32, 64)]
 KEYS = ("sym", "fold", "spec")
 
 
@@ -48,9 +46,8 @@ def q_execution_grid(spark, sf):
 
 
 def _figures(spark, sf):
-    """Figures of each fold's test rows, for four settings and for holding the benchmark."""
-    specs = [(0.5, 0.04, 0), (1.0, 0.04, 0), (1.0, 0.1, 5), (0.0, 0.1, 0)]
-    df = _executed(_targets(spark, sf).where("role = 'test'"), specs)
+    """Figures of each fold's test rows, for all settings and for holding the benchmark."""
+    df = _executed(_targets(spark, sf).where("role = 'test'"), CANDIDATES)
     return round_to(evaluate.figures(df, 21, KEYS), 5)
 
 
@@ -112,7 +109,10 @@ def q_fire_candidates(spark, sf):
 
 
 def q_differential_sharpe(spark, sf):
-    return round_to(scans.scan(rows(spark, sf), lambda r: scans.differential_sharpe(r * 100), ("ret",), ("dsr",)).select("sym", "ts", F.when(F.abs("dsr") < 1e6, F.col("dsr")).alias("dsr")), 3)
+    """Large values, near a variance of nothing, are rounded to ten thousands."""
+    x = F.col("dsr")
+    df = chunks.differential_sharpe(rows(spark, sf), scale=100.0)
+    return df.select("sym", "ts", F.when(F.abs(x) < 1e6, F.round(x, 3) + 0.0).otherwise(F.round(x / 1e4) * 1e4).alias("dsr"))
 
 
 def q_rate_cap(spark, sf):
@@ -246,7 +246,7 @@ def _rounded(names, digits: int) -> str:
 
 
 K = "sym, fold, spec"
-_FIGURES = f"""{_grid_sql([(0.5, 0.04, 0), (1.0, 0.04, 0), (1.0, 0.1, 5), (0.0, 0.1, 0)], "role = 'test'")}, {summary_sql('grid', K)},
+_FIGURES = f"""{_grid_sql(CANDIDATES, "role = 'test'")}, {summary_sql('grid', K)},
 fig AS (SELECT {K}, round(100 * final_excess, 5) AS alpha_pt, round(sharpe_delta, 5) AS sharpe_delta, round(abs(max_dd), 5) AS depth, round(100 * maxdd_delta, 5) AS maxdd_pt, round(win_rate, 5) AS win_rate, round(long_share, 5) AS long_share, round(short_share, 5) AS short_share, round(flat_share, 5) AS flat_share, round(turnover, 5) AS turnover, round(switches, 5) AS switches, round(avg_hold, 5) AS avg_hold FROM x_s JOIN x_st USING ({K}) JOIN x_w USING ({K})),
 card AS (SELECT *, alpha_pt >= 3 AS ok_alpha, sharpe_delta >= 0.2 AS ok_sharpe, maxdd_pt <= -3 AS ok_maxdd, win_rate >= 0.6 AS ok_win_rate, NOT (greatest(long_share, short_share) >= 0.8 AND switches <= 5 AND turnover < 1) AS ok_collapse, alpha_pt >= 10 OR maxdd_pt <= -5 AS stretch_hit, flat_share >= 0.95 AND switches = 0 AS hold FROM fig)"""
 _CANDIDATES = f"""{_FIGURES}, cd0 AS (SELECT *, ok_alpha AND ok_sharpe AND ok_maxdd AND ok_win_rate AND ok_collapse AS m2_pass, CASE WHEN hold THEN NULL WHEN alpha_pt <= -25 THEN 'alpha' WHEN sharpe_delta <= -1 THEN 'sharpe' WHEN maxdd_pt > 5 THEN 'maxdd' WHEN win_rate < 0.35 THEN 'win' WHEN turnover > 2 THEN 'turnover' WHEN long_share > 1 THEN 'long' WHEN short_share > 1 THEN 'short' WHEN avg_hold < 1 THEN 'avg_hold' WHEN NOT ok_collapse THEN 'collapse' WHEN greatest(long_share, short_share) >= 1.01 THEN 'one_sided' END AS reject FROM card),
@@ -265,7 +265,7 @@ k2 AS (SELECT sym, i, max(d_on) AS worst, arg_min(k, (-d_on, k)) AS trough, grea
 k3 AS (SELECT k2.*, CASE WHEN worst > 0 THEN (SELECT min(x.k) FROM k1 x WHERE x.sym = k2.sym AND x.i = k2.i AND x.c_on = (SELECT y.top FROM k1 y WHERE y.sym = k2.sym AND y.i = k2.i AND y.k = k2.trough)) ELSE 0 END AS peak FROM k2),
 fd AS (SELECT ff.sym, ff.ts, ff.i, ff.p_on, advantage, post_dd, worst > 0.5 * greatest(vol * sqrt(8), 1e-8) AS deep, peak, greatest(0, least(7, run_end - ff.i - 1)) AS stop_at FROM ff JOIN k3 USING (sym, i)),
 fdd AS (SELECT *, deep AND peak <= stop_at AS overlap, deep AND peak > stop_at AND peak <= greatest(stop_at + 1, 4) AS pre_dd FROM fd)"""
-_FOUR = f"""{_grid_sql([(0.5, 0.04, 0), (0.5, 0.1, 0), (1.0, 0.04, 0), (1.0, 0.1, 0)], "role = 'test'")}, {summary_sql('grid', K)}"""
+_TESTED = f"""{_grid_sql(SPECS, "role = 'test'")}, {summary_sql('grid', K)}"""
 _EP = f"WITH {_EPI}, s AS (SELECT user_id, chunk, step, value / 1e4 - 0.005 AS b, (value / 1e4 - 0.005) * (1 + CASE WHEN step % 3 = 0 THEN 0.1 ELSE -0.2 END) AS n, CASE WHEN step % 3 = 0 THEN 0.1 ELSE -0.2 END::DOUBLE AS o, value / 100 AS risk, value / 200 - 0.2 AS edge FROM ep)"
 _Q = "(PARTITION BY user_id, chunk ORDER BY step ROWS UNBOUNDED PRECEDING)"
 _A = "(PARTITION BY user_id, chunk)"
@@ -276,8 +276,8 @@ d AS (SELECT *, hs IS NOT NULL AND NOT hold AND NOT (alpha_pt >= 8 AND maxdd_pt
 t AS (SELECT p.*, held FROM pool p JOIN d ON p.sym = d.sym AND p.fold = d.fold WHERE (held AND p.spec = hs) OR (NOT held AND p.score >= d.score - 15 AND p.alpha_pt >= d.alpha_pt - 5 AND p.sharpe_delta >= d.sharpe_delta - 0.2))"""
 
 ORACLES = {
-    "q_vol_target_grid": f"{_FOUR} SELECT {K}, bars, {_rounded(('total_return', 'max_dd', 'final_excess', 'maxdd_delta'), 5)} FROM x_s",
-    "q_policy_family_summary": f"{_FOUR}, m AS (SELECT {K}, round(100 * final_excess, 5) AS a, round(100 * maxdd_delta, 5) AS d, round(turnover, 5) AS t FROM x_s JOIN x_st USING ({K})) SELECT spec, count(*) AS n, round(avg(a), 4) AS alpha_mean, round(quantile_cont(a, 0.5), 4) AS alpha_median, round(min(a), 4) AS alpha_worst, round(avg(d), 4) AS maxdd_mean, round(quantile_cont(d, 0.5), 4) AS maxdd_median, round(max(d), 4) AS maxdd_worst, count_if(d <= 0)::BIGINT AS dd_improved, round(avg(t), 4) AS turnover_mean FROM m GROUP BY spec",
+    "q_vol_target_grid": f"{_TESTED} SELECT {K}, bars, {_rounded(('total_return', 'max_dd', 'final_excess', 'maxdd_delta'), 5)} FROM x_s",
+    "q_policy_family_summary": f"{_TESTED}, m AS (SELECT {K}, round(100 * final_excess, 5) AS a, round(100 * maxdd_delta, 5) AS d, round(turnover, 5) AS t FROM x_s JOIN x_st USING ({K})) SELECT spec, count(*) AS n, round(avg(a), 4) AS alpha_mean, round(quantile_cont(a, 0.5), 4) AS alpha_median, round(min(a), 4) AS alpha_worst, round(avg(d), 4) AS maxdd_mean, round(quantile_cont(d, 0.5), 4) AS maxdd_median, round(max(d), 4) AS maxdd_worst, count_if(d <= 0)::BIGINT AS dd_improved, round(avg(t), 4) AS turnover_mean FROM m GROUP BY spec",
     "q_selector_choice": f"{_CHOICE}, w AS (SELECT sym, fold, arg_min(spec, (CASE WHEN hold THEN 0 ELSE 1 END, turnover, maxdd_pt, -win_rate, -score, spec)) AS cand FROM t GROUP BY sym, fold) SELECT w.sym, w.fold, cand, round(score, 6) AS score, reject FROM w JOIN c0 ON c0.sym = w.sym AND c0.fold = w.fold AND c0.spec = cand",
     "q_execution_grid": f"{_CHOSEN} SELECT {K}, round(score, 5) AS score, bars, {_rounded(('total_return', 'final_excess', 'maxdd_delta'), 5)} FROM x_s JOIN best USING (sym, fold, spec)",
     "q_selector_candidates": f"{_CANDIDATES} SELECT {K}, hold, reject, m2_pass, stretch_hit, round(score, 6) AS score FROM cd",
@@ -297,7 +297,7 @@ SELECT sym, count(*) AS fires, {', '.join(f'round(avg({c}::DOUBLE), 6) AS {n}' f
 o AS (SELECT sym, avg(fire::DOUBLE) AS fire_rate, count_if(fire)::BIGINT AS fires, coalesce(avg(delta) FILTER (fire), 0) AS mean_delta, coalesce(sum(pnl) FILTER (fire), 0) AS fire_pnl, coalesce(sum(pnl) FILTER (NOT fire), 0) AS other_pnl, coalesce(avg(fwd) FILTER (fire), 0) AS forward, coalesce(avg(delta * fwd) FILTER (fire), 0) AS incremental FROM w GROUP BY sym),
 j AS (SELECT *, 100 * final_excess AS a, 100 * maxdd_delta AS d FROM o JOIN x_s USING (sym) JOIN x_st USING (sym)), k AS (SELECT *, CASE WHEN d > 0 THEN 'maxdd' WHEN a <= 0 THEN 'alpha' WHEN sharpe_delta < 0 THEN 'sharpe' WHEN fire_pnl <= 0 THEN 'fire_pnl' WHEN forward <= 0 THEN 'forward' WHEN incremental <= 0 THEN 'incremental' WHEN long_share > 0.03 THEN 'long' WHEN turnover > 3.5 THEN 'turnover' WHEN short_share > 0 THEN 'short' END AS reject FROM j)
 SELECT sym, fires, {_rounded(('fire_rate', 'mean_delta', 'fire_pnl', 'other_pnl', 'forward', 'incremental'), 5)}, reject, round(a + 20 * sharpe_delta - 4 * greatest(d, 0) + 2 * greatest(-d, 0) + 30 * fire_pnl + 5000 * incremental + 1000 * forward - turnover - CASE WHEN reject IS NOT NULL THEN 1000 ELSE 0 END, 5) AS score FROM k""",
-    "q_differential_sharpe": f"{_REC}, t AS MATERIALIZED (SELECT sym, ts, ret * 100 AS r, row_number() OVER {W} AS n FROM rows), d AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS x FROM t UNION ALL SELECT t.sym, t.ts, t.n, d.a + 0.01 * (t.r - d.a), d.b + 0.01 * (t.r * t.r - d.b), (d.b * (t.r - d.a) - 0.5 * d.a * (t.r * t.r - d.b)) / pow(d.b - d.a * d.a + 1e-8, 1.5) FROM d JOIN t ON t.sym = d.sym AND t.n = d.n + 1) SELECT sym, ts, round(CASE WHEN abs(x) < 1e6 THEN x END, 3) AS dsr FROM d WHERE n > 0",
+    "q_differential_sharpe": f"{_REC}, t AS MATERIALIZED (SELECT sym, ts, ret * 100 AS r, row_number() OVER {W} AS n FROM rows), d AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS x FROM t UNION ALL SELECT t.sym, t.ts, t.n, d.a + 0.01 * (t.r - d.a), d.b + 0.01 * (t.r * t.r - d.b), (d.b * (t.r - d.a) - 0.5 * d.a * (t.r * t.r - d.b)) / pow(d.b - d.a * d.a + 1e-8, 1.5) FROM d JOIN t ON t.sym = d.sym AND t.n = d.n + 1) SELECT sym, ts, CASE WHEN abs(x) < 1e6 THEN round(x, 3) + 0.0 ELSE round(x / 1e4) * 1e4 END AS dsr FROM d WHERE n > 0",
     "q_rate_cap": f"{ROWS}, f AS (SELECT sym, ts, abs(ret) > 0.004 AS f, count(*) OVER (PARTITION BY sym) AS n FROM rows), g AS (SELECT *, sum(f::INT) OVER {_P} UNBOUNDED PRECEDING) AS c FROM f) SELECT sym, ts, (f AND c <= ceil(0.1 * n))::INT AS kept FROM g",
     "q_soft_executor": f"{_REC}, t AS MATERIALIZED (SELECT sym, ts, CASE WHEN ret > 0 THEN 1.1 ELSE 0.7 END::DOUBLE AS aim, least(abs(ret) * 100, 1) AS rate, row_number() OVER {W} AS n FROM rows), d AS (SELECT DISTINCT sym, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 1.0::DOUBLE AS p FROM t UNION ALL SELECT t.sym, t.ts, t.n, greatest(0.5, least(1.12, d.p + t.rate / (1 + exp(-50 * (abs(t.aim - d.p) - 0.05))) * greatest(-0.1, least(0.1, t.aim - d.p)))) FROM d JOIN t ON t.sym = d.sym AND t.n = d.n + 1) SELECT sym, ts, round(p, 6) AS position FROM d WHERE n > 0",
     "q_fingerprint": f"""WITH r AS (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barline.frames import ordered, round_to
 from barline.operators import backtest, chunks, diagnostics, folds, labels, overfit, rewards, scans, selection
 from barline.operators.quantiles import quantiles
-from barline.plans.views import EQS, FOLDS, PNLS, ROWS, UNIT
+from barline.plans.views import EQS, FOLDS, PNLS, ROWS, SPECS, UNIT
 from barline.sources import bars
 
 W = "(PARTITION BY sym ORDER BY ts)"
@@ -200,9 +200,8 @@ def _grid(spark, sf):
     level = fr.where("role = 'train'").groupBy("sym", "fold").agg(F.percentile("vol", F.lit(0.5)).alias("level"))
     goal = F.greatest(F.lit(0.5), F.least(F.lit(1.12), F.col("level") / F.greatest(F.col("vol"), F.lit(1e-8))))
     test = fr.where("role = 'test'").join(level, ["sym", "fold"]).withColumn("target", goal)
-    specs = [(b, s, 0) for b in (0.5, 1.0) for s in (0.04, 0.1)]
-    paths = [f"p{i}" for i in range(len(specs))]
-    wide = scans.scan(test.select("sym", "fold", "ts", "ret", "target"), lambda t: scans.execute_grid(t, specs), ("target",), tuple(paths), by=("sym", "fold"))
+    paths = [f"p{i}" for i in range(len(SPECS))]
+    wide = scans.scan(test.select("sym", "fold", "ts", "ret", "target"), lambda t: scans.execute_grid(t, SPECS), ("target",), tuple(paths), by=("sym", "fold"))
     return wide.select("sym", "fold", "ts", "ret", F.posexplode(F.array(*paths)).alias("spec", "pos")), ("sym", "fold", "spec")
 
 

@@ -79,6 +79,7 @@ def q_route_report(spark, sf):
 
 
 def q_class_report(spark, sf):
+    """Bars whose horizons are all known: the last of each symbol have no advantage to report."""
     return round_to(teachers.class_report(_advantage(spark, sf).where("values[2] is not null")))
 
 

@@ -7,6 +7,10 @@ BARS_15M = "bars15 AS (SELECT event_type AS sym, time_bucket(INTERVAL 15 MINUTE,
 RETURNS = "rets AS (SELECT sym, ts, ret FROM (SELECT sym, ts, 0.01 * ln(close / lag(close) OVER (PARTITION BY sym ORDER BY ts)) AS ret FROM bars) WHERE ret IS NOT NULL)"
 POSITIONS = "rows AS (SELECT *, CASE WHEN lag(ret) OVER (PARTITION BY sym ORDER BY ts) > 0 THEN 1.12 ELSE 0.5 END::DOUBLE AS pos FROM rets)"
 UNIT = 0.00055
+#: Blends, steps and holds of the whole execution grid.
+SPECS = [(b, s, h) for b in (0.25, 0.5, 0.75, 1.0) for s in (0.01, 0.02, 0.04) for h in (16, 32, 64)]
+#: The same, and holding the benchmark.
+CANDIDATES = [*SPECS, (0.0, 0.04, 16)]
 PNL = f"""pnl AS (SELECT *, {UNIT} * abs(pos - lag(pos, 1, 0.0) OVER w) AS cost, pos * ret - {UNIT} * abs(pos - lag(pos, 1, 0.0) OVER w) AS pnl,
   ret - CASE WHEN row_number() OVER w = 1 THEN {UNIT} ELSE 0.0 END AS bench_pnl FROM rows WINDOW w AS (PARTITION BY sym ORDER BY ts))"""
 EQUITY = """eq0 AS (SELECT *, exp(sum(pnl) OVER w) AS equity, exp(sum(bench_pnl) OVER w) AS bench_equity FROM pnl WINDOW w AS (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING)),

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline import scratch
 from barline.frames import ordered
 
 #: Damping of daily log returns, so that compounding does not saturate.
@@ -128,10 +129,13 @@ def union_symbols(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def cached_pair(spark: SparkSession, folder: str, make, on: tuple[str, ...] = ("sym", "ts")) -> tuple[DataFrame, DataFrame]:
-    """(features, returns) of a folder, computed by ``make()`` and written unless both are there; rows that both have."""
+    """(features, returns) of a folder, computed by ``make()`` and written unless both are there; rows that both have.
+
+    Each frame is worked out once, into the shared folder, before they are cut to each other's rows.
+    """
     have = [optional(spark, f"{folder}/{name}.parquet") for name in ("features", "returns")]
     if None in have:
-        features, returns = make()
+        features, returns = (scratch.table(df, "pair") for df in make())
         both = features.select(*on).join(returns.select(*on), list(on))
         for name, df in (("features", features), ("returns", returns)):
             df.join(both, list(on), "left_semi").write.mode("overwrite").parquet(f"{folder}/{name}.parquet")

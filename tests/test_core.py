@@ -1,11 +1,14 @@
 """Operators against literal fixtures, re-derivations and invariants."""
 
+import json
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barline.functions import scalar
 from barline.operators import align, backtest, diagnostics, features, folds, labels, overfit, rewards, scans, selection
 from barline.sources import bars
 
@@ -279,3 +282,44 @@ def test_knn_anchors_span_the_table(spark):
     assert len(got) == len(ids) and sorted((i, a, f"{d:.4f}") for i, a, d in got) == sorted((i, a, f"{d:.4f}") for i, a, d in want)
     assert max(a for _, a, _ in got) > 31
     assert rewards.anchor_bank(spark.range(7).withColumnRenamed("id", "vec_id"), 32).count() == 7
+
+
+def test_run_specs():
+    assert folds.parse_run("a=runs/x") == {"label": "a", "dir": "runs/x", "file": "ac.pt", "mode": "ac"}
+    assert folds.parse_run("b=/r:1/x@y.pt:bc") == {"label": "b", "dir": "/r:1/x", "file": "y.pt", "mode": "bc"}
+    assert folds.parse_run("c=d=e@f@g") == {"label": "c", "dir": "d=e@f", "file": "g", "mode": "ac"}
+    for wrong in ("", "a", "=x", "a=", "a=@f", "a=d@", "a=:bc"):
+        with pytest.raises(ValueError):
+            folds.parse_run(wrong)
+
+
+def test_days_to_bars():
+    assert [features.days_to_bars(2, i) for i in ("1d", "1h", "15m", "1m", "?")] == [2, 48, 192, 2880, 192]
+
+
+def test_mark_prices(spark):
+    row = lambda ms, close: [ms, "1", "2", "0.5", close, "9", 0, "0", 3, "0", "0", "0"]
+    body = json.dumps([row(0, "1.25"), row(900_000, "1.5")])
+    got = bars.mark_klines(spark.createDataFrame([("a", body)], "sym string, body string")).orderBy("ts").collect()
+    assert [(r.sym, r.ts.minute, r.mark_close) for r in got] == [("a", 0, 1.25), ("a", 15, 1.5)]
+
+
+def test_hyperbolic_and_rounding(spark):
+    rows = spark.createDataFrame([(0.0,), (0.5,), (2.5,), (-0.5,), (None,)], "x double")
+    got = rows.select(F.tanh("x"), scalar.clipped_atanh(F.col("x")), F.rint("x")).collect()
+    assert got[1][0] == pytest.approx(math.tanh(0.5)) and got[1][1] == pytest.approx(math.atanh(0.5)) and math.isfinite(got[2][1])
+    assert [r[2] for r in got] == [0.0, 0.0, 2.0, 0.0, None] and got[4][1] is None
+
+
+def test_pair_is_worked_out_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        left = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.2)], "sym string, ts int, x double")
+        return left, left.where("ts > 1").withColumnRenamed("x", "ret")
+
+    for _ in range(2):
+        features_, returns = bars.cached_pair(spark, f"file://{tmp_path}", make)
+        assert features_.count() == returns.count() == 1
+    assert made == [1]
