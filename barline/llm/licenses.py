@@ -55,16 +55,16 @@ KNOWN = (
 TEXTS = Path(__file__).with_name("license_texts")
 #: What every whole licence text says somewhere.
 SPEAKS = r"(?i)licen[sc]e|permission|redistribution|unencumbered"
-#: A first line that only names a licence.
-TITLE = r"(?i)\A\s*(?![^\n]*\bunder\b)[^\n.]{0,60}\blicen[sc]e\b[^\n.]{0,40}\n"
+#: A first line that names a licence; it is no title if it says under which.
+TITLE, NO_TITLE = r"(?i)\A\s*[^\n.]*\blicen[sc]e\b[^\n.]*\n", r"(?i)\A\s*[^\n]*\bunder\b"
 #: Lines that state a copyright, unlike lines of a wrapped sentence that begin with the word; list marks.
 STATEMENT = r"(?im)^[ \t]*((copyright|\(c\)|©)[^\n]*(\d{4}|yyyy|<year>|\(c\)|©)[^\n]*|all rights reserved\.?[ \t\r]*)$"
 LIST_MARK = r"(?m)^[ \t]*(\d{1,2}\.|[*-])[ \t]+"
-#: FIXED VALUES: names of holders in the BSD texts, in the canonical form.
+#: FIXED VALUES: names of holders in the BSD texts, of any length between the fixed words, in the canonical form.
 HOLDERS = (
-    (r"neither the names? (of )?.{1,80}? nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
-    (r"this software is provided by .{1,80}? and contributors as is", "this software is provided by the copyright holders and contributors as is"),
-    (r"in no event shall .{1,80}? or contributors be liable", "in no event shall the copyright holder or contributors be liable"),
+    (r"neither the names? (of )?.+? nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by .+? and contributors as is", "this software is provided by the copyright holders and contributors as is"),
+    (r"in no event shall .+? or contributors be liable", "in no event shall the copyright holder or contributors be liable"),
 )
 
 
@@ -84,7 +84,8 @@ def digest(text: Column) -> Column:
 
 def shipped_digest(text: Column) -> Column:
     """SHA-256 (hex) of the form without title, statements, list marks and holders; null for texts that can't be licences."""
-    form = canonical(F.regexp_replace(F.regexp_replace(text, TITLE, ""), LIST_MARK, ""), STATEMENT)
+    body = F.when(text.rlike(NO_TITLE), text).otherwise(F.regexp_replace(text, TITLE, ""))
+    form = canonical(F.regexp_replace(body, LIST_MARK, ""), STATEMENT)
     for names, one in HOLDERS:
         form = F.regexp_replace(form, names, one)
     return F.when(text.rlike(SPEAKS) & (form != ""), F.sha2(form, 256))
@@ -107,17 +108,19 @@ def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
     return rows.select("license_id", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", shipped: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", shipped: DataFrame | None = None, notice: str = NOTICE) -> DataFrame:
     """(doc_id, digest, license_id, notices): the licence that the entire text is,
     or null, and the sorted ids of the notices on its lines.
 
     ``shipped`` (see ``shipped_licenses``) is for texts whose digest isn't ``known``.
+    ``notice`` is what a lower-cased line must say to be looked up as a notice;
+    it has to cover what the known notices say.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     whole = base.select("doc_id", digest(F.col("_text")).alias("digest"), *([shipped_digest(F.col("_text")).alias("shipped")] if shipped is not None else [])).join(known, "digest", "left")
     if shipped is not None:
         named = F.broadcast(shipped.withColumnRenamed("license_id", "_shipped"))  # a few rows for each licence
         whole = whole.join(named, "shipped", "left").withColumn("license_id", F.coalesce("license_id", "_shipped")).drop("shipped", "_shipped")
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.lower(x).rlike(NOTICE))
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.lower(x).rlike(notice))
     found = base.select("doc_id", F.explode(lines).alias("line")).select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(found, whole["doc_id"].eqNullSafe(found["_id"]), "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -58,8 +58,8 @@ FROM docs d JOIN slots ON slots.i = d.i AND slots.k = block % d.a, par, lacks
 """
 
 
-def _canonical_sql(x: str) -> str:
-    form = f"lower(regexp_replace({x}, '{licenses.COPYRIGHT_LINE.replace('(?im)', '')}', '', 'gim'))"
+def _canonical_sql(x: str, dropped: str = licenses.COPYRIGHT_LINE) -> str:
+    form = f"lower(regexp_replace({x}, '{dropped}', '', 'g'))"
     for old, new in licenses.SPELLINGS:
         form = f"replace({form}, '{old}', '{new}')"
     return f"trim(regexp_replace({form}, '{licenses.PUNCTUATION}', ' ', 'g'))"
@@ -70,8 +70,22 @@ def _digest_sql(x: str) -> str:
     return f"CASE WHEN {form} <> '' THEN sha256({form}) END"
 
 
+def _shipped_sql(x: str) -> str:
+    body = f"CASE WHEN regexp_matches({x}, '{licenses.NO_TITLE}') THEN {x} ELSE regexp_replace({x}, '{licenses.TITLE}', '') END"
+    form = _canonical_sql(f"regexp_replace({body}, '{licenses.LIST_MARK}', '', 'g')", licenses.STATEMENT)
+    for names, one in licenses.HOLDERS:
+        form = f"regexp_replace({form}, '{names}', '{one}', 'g')"
+    return f"CASE WHEN regexp_matches({x}, '{licenses.SPEAKS}') THEN {form} END"
+
+
 OP10_SQL = f"""
-WITH known AS (
+WITH files AS (SELECT parse_filename(filename, true) AS license_id, content AS t FROM read_text('{licenses.TEXTS}/*.txt')),
+parts AS (
+  SELECT license_id, t FROM files
+  UNION ALL SELECT license_id, regexp_extract(t, '(?s).*END OF TERMS AND CONDITIONS') FROM files WHERE t LIKE '%END OF TERMS AND CONDITIONS%'
+  UNION ALL SELECT license_id, regexp_extract(t, '(?s)(.*)END OF TERMS AND CONDITIONS', 1) FROM files WHERE t LIKE '%END OF TERMS AND CONDITIONS%'),
+shipped AS (SELECT sha256(form) AS shipped, min(license_id) AS license_id FROM (SELECT license_id, {_shipped_sql("t")} AS form FROM parts) WHERE form <> '' GROUP BY 1),
+known AS (
   SELECT digest, min(license_id) AS license_id
   FROM (SELECT license_id, {_digest_sql("body")} AS digest FROM (VALUES {", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in licenses.KNOWN)}) v(license_id, body))
   WHERE digest IS NOT NULL GROUP BY digest),
@@ -80,9 +94,9 @@ found AS (
   SELECT doc_id, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices
   FROM (SELECT doc_id, {_digest_sql("line")} AS digest FROM lines WHERE regexp_matches(lower(line), '{licenses.NOTICE}')) JOIN known USING (digest)
   GROUP BY doc_id),
-whole AS (SELECT doc_id, {_digest_sql("text")} AS digest FROM documents)
-SELECT w.doc_id, w.digest, k.license_id, coalesce(f.notices, '') AS notices
-FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.doc_id IS NOT DISTINCT FROM f.doc_id
+whole AS (SELECT doc_id, {_digest_sql("text")} AS digest, CASE WHEN form <> '' THEN sha256(form) END AS shipped FROM (SELECT doc_id, text, {_shipped_sql("text")} AS form FROM documents))
+SELECT w.doc_id, w.digest, coalesce(k.license_id, s.license_id) AS license_id, coalesce(f.notices, '') AS notices
+FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN shipped s ON w.shipped = s.shipped LEFT JOIN found f ON w.doc_id IS NOT DISTINCT FROM f.doc_id
 """
 
 def _crc_table() -> list[int]:

@@ -93,6 +93,30 @@ def test_clauses_are_no_copyright_lines(spark):
     assert got == {0: "X", 1: None, 2: None, 3: "X"}
 
 
+def test_long_holders_and_titles(spark):
+    bsd = (licenses.TEXTS / "BSD-3-Clause.txt").read_text()
+    named = bsd.replace("the copyright holder", "H" * 300 + " and Sons").replace("THE COPYRIGHT HOLDERS", "N" * 300).replace("THE COPYRIGHT HOLDER", "O" * 300)
+    assert named != bsd
+    titled = "The " + "very " * 60 + "free license, in its third form " * 3 + "\n" + bsd
+    docs = spark.createDataFrame([(1, named), (2, titled), (3, "Under this license one may\n" + bsd), (4, named + " and more")], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known_licenses(spark), shipped=licenses.shipped_licenses(spark)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: None, 4: None}
+
+
+def test_shipped_licences_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from barline.llm import queries_native
+
+    rows = [(i, f.read_text()) for i, f in enumerate(sorted(licenses.TEXTS.glob("*.txt")))]
+    rows += [(100 + i, "Some Licence\n\nCopyright (c) 1999 A\n" + t) for i, t in rows] + [(300, None), (301, ""), (302, "Released under the MIT License.\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.license_id, r.digest, r.notices) for r in queries_native.op10_license_scan(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {tuple(r) for r in db.execute(f"SELECT doc_id, license_id, digest, notices FROM ({queries_native.OP10_SQL})").fetchall()}
+    assert got == want and sum(r[1] is not None for r in got) > 20
+
+
 def test_licences_as_shipped(spark):
     """Each whole text as its file, without its first line, and under another title and holder."""
     files = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
