@@ -212,25 +212,17 @@ def _to_batch(columns, names, kinds=None):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
 
-def _with_texts(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, nameless: bool, added: str, make, carry: tuple[str, ...] = ()) -> DataFrame:
+def _with_texts(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, added: str, make, carry: tuple[str, ...] = ()) -> DataFrame:
     """Texts of the classes' first documents, mapped by ``make(keys, n)``.
 
-    ``classes`` has (mark, first_id) and the ``carry`` columns.  Of several
-    rows with one id, those whose set is not the class's are left out.  Classes
-    of null ids only, if any (``nameless``), find a row by its set's mark.
+    ``classes`` has (mark, first), the id and text digest of a document of the
+    class, and the ``carry`` columns.  A text is found by both, so rows that
+    share an id don't meet; if digests collide, the set's mark tells.
     """
     kinds = dict(classes.dtypes)
-
-    def marked(batches):
-        for batch, part in _chunks(batches, 0):
-            _, _, n, marks = _sets(part)
-            keep = [i for i in range(len(part)) if n[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([marks[i].tobytes() for i in keep], pa.binary()), batch.column(0).take(pa.array(keep, pa.int64()))], names=["mark", "_text"])
-
-    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("_text")).join(classes.select("first_id", "mark", *carry), "first_id").select("mark", *carry, "_text")
-    if nameless:
-        unnamed = docs.where(F.col(doc_id).isNull()).select(F.col(text).alias("_text")).mapInArrow(marked, "mark binary, _text string").dropDuplicates(["mark"])
-        texts = texts.union(unnamed.join(classes.where("first_id is null").select("mark", *carry), "mark").select("mark", *carry, "_text"))
+    known = classes.select("mark", *carry, F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    rows = docs.select(F.col(doc_id).alias("_of"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    texts = rows.join(known, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_digest"))).select("mark", *carry, "_text")
     schema = ", ".join(["mark binary", *(f"{c} {kinds[c]}" for c in carry), "n int", added])
     name = added.split()[0]
 
@@ -376,21 +368,21 @@ def _large_clusters(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(profiles, roots): ``profiles`` as above; ``roots`` (mark, root) of the classes that have a link."""
-    profile = shared.table(profiles(docs, doc_id, text), "profiles")
-    elements, nameless = profile.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or(F.expr("doc_id is null and mark is not null")), F.lit(False))).first()
+    """(profiles, roots): ``profiles`` as above, with a number ``row``; ``roots`` (mark, root) of the classes that have a link."""
+    profile = shared.table(profiles(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    elements = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(max(12, min(elements // BUCKET, 1 << 20)))
-    firsts = profile.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"))
+    firsts = profile.where("mark is not null").groupBy("mark").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     memberships = shared.table(_memberships(docs, frequent_elements(docs, text), buckets, text).distinct(), "blocks")
     classes = firsts.join(memberships.select("mark").distinct(), "mark")
-    vectors = shared.table(_with_texts(docs, classes, doc_id, text, nameless, "vector binary", lambda keys, n: T.pack_vector(T.count_vector(keys, T.group_bits(n)))), "vectors")
+    vectors = shared.table(_with_texts(docs, classes, doc_id, text, "vector binary", lambda keys, n: T.pack_vector(T.count_vector(keys, T.group_bits(n)))), "vectors")
     stars = memberships.where("hub is not null").select(F.col("hub").alias("a"), F.col("mark").alias("b")).distinct()
     near = shared.table(_block_links(memberships, vectors).union(stars), "near")
     clusters = components(near).select(F.col("root").alias("cluster"), F.col("node").alias("mark"))
     counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     tiles = F.ceil(F.col("m") / TILE)
     placed = shared.attach_few(clusters, counts, "cluster", "mark").select("mark", "cluster", F.when(F.col("m") <= TILE, 0).otherwise(F.pmod(F.xxhash64("mark"), tiles)).cast("int").alias("tile"), (F.col("m") > TILE).alias("large"))
-    sets = shared.table(_with_texts(docs, firsts.join(placed, "mark"), doc_id, text, nameless, "elements binary", lambda keys, n: keys.astype("<u8").tobytes(), ("cluster", "tile", "large")).dropDuplicates(["mark"]), "sets")
+    sets = shared.table(_with_texts(docs, firsts.join(placed, "mark"), doc_id, text, "elements binary", lambda keys, n: keys.astype("<u8").tobytes(), ("cluster", "tile", "large")).dropDuplicates(["mark"]), "sets")
     links = shared.table(_verify_groups(sets), "links")
     # a whole cluster's stars are its components; tiles' stars are joined first
     roots = links.where("not large").select(F.col("b").alias("mark"), F.col("a").alias("root"))
@@ -408,7 +400,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = shared.attach(rooted, names, "root", "mark").select("mark", "component_id")
     alone = profile.where("mark is null").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return shared.attach(profile.where("mark is not null"), named, "mark", "doc_id").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
+    return shared.attach(profile.where("mark is not null"), named, "mark", "row").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
