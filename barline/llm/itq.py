@@ -3,9 +3,13 @@
 1.  Equal vectors form a class.  A rotation that balances the signs of the
     principal components is learnt on at most ``sample`` classes (those with
     the lowest hashes); several rotations give as many bits as are needed.
-2.  The code is cut into tables of about log2(classes) bits.  Two codes meet in
-    a table if they differ there in one bit at most: for each bit, a key leaves
-    that bit out.  The number of tables is such that a pair at the threshold
+2.  The code is cut into tables of about log2(classes / LOAD) bits.  Two codes
+    meet in a table if they differ there in one bit at most: each has its own
+    value as a key, and looks under the values in which one of its set bits is
+    clear.  So one of two codes that differ in a bit finds the other, and a
+    table takes half as many keys of a code as it has bits.  For 10 million
+    classes of any length that is some 16 tables of 20 bits, 176 keys, and with
+    mark and code 12 KB that are shuffled for a vector.  The number of tables is such that a pair at the threshold
     meets with probability 0.97 if its bits differ independently; closer pairs
     meet almost surely.  Bits are taken about the sample's mean, where such a
     pair is at a wider angle; the tables are planned for the widest angle that
@@ -32,6 +36,7 @@ all ids of its component are null.  Other input columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -47,6 +52,8 @@ TILE = 512
 FEW = 32
 #: Bits in which codes may differ, beyond what is expected at the threshold, in deviations.
 SPREAD = 3.0
+#: Classes that a table has for each of its values.
+LOAD = 16
 #: Bits within which a chunk's codes stand for each other.
 CLOSE = 4
 #: Tables for vectors about their mean, at most, for each that they need about the origin.
@@ -84,7 +91,7 @@ class Quantiser:
 
 def plan_tables(classes: int, threshold: float, recall: float = 0.97) -> tuple[int, int, int]:
     """(tables, bits in each, differing bits allowed in all)."""
-    width = int(min(max(math.ceil(math.log2(max(classes, 2))), 8), 24))
+    width = int(min(max(math.ceil(math.log2(max(classes / LOAD, 2))), 8), 24))
     threshold = min(threshold, 1 - 1e-9)
     p = math.acos(threshold) / math.pi
     meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
@@ -127,6 +134,21 @@ def _pairs_inside(starts: np.ndarray, sizes: np.ndarray):
             yield (base + i).ravel(), (base + j).ravel()
 
 
+def _pairs_across(starts: np.ndarray, own: np.ndarray, sizes: np.ndarray):
+    """Places (i, j) of the first ``own`` of each run with the rest of it, a bounded number at a time."""
+    use = (own > 0) & (sizes > own)
+    starts, own, rest = starts[use], own[use], (sizes - own)[use]
+    first = 0
+    upto = np.cumsum(own * rest)
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 2_000_000)))
+        s, n, m = starts[first:last], own[first:last], rest[first:last]
+        run = np.repeat(np.arange(len(s)), n * m)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+        yield s[run] + at // m[run], s[run] + n[run] + at % m[run]
+        first = last
+
+
 def _canopies(codes: np.ndarray, members: np.ndarray, most: int):
     """(leader, others) ties that join, in one component each, every two members within ``most`` bits.
 
@@ -155,13 +177,14 @@ def _scatter(model: Quantiser, buckets: int):
             codes = np.packbits(bits, axis=1)
             codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view("<u8")
             sub = (bits.reshape(len(bits), tables, width) * (1 << np.arange(width, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-            bit = np.arange(width, dtype=np.uint64)
-            # the bits above the one that is left out move down
-            low = (np.uint64(1) << bit) - np.uint64(1)
-            cut = (sub[:, :, None] & low) | ((sub[:, :, None] >> np.uint64(1)) & ~low)
-            keys = wordhash.mix(cut * np.uint64(4096) + (np.arange(tables)[:, None] * width + np.arange(width)).astype(np.uint64), 81).reshape(len(bits), -1)
-            who = np.repeat(np.arange(len(bits)), keys.shape[1])
-            keys = keys.ravel()
+            one = np.uint64(1) << np.arange(width, dtype=np.uint64)
+            row, table, bit = np.nonzero(sub[:, :, None] & one)
+            # a value's own key is even, those under which it looks are odd
+            table = np.concatenate([np.tile(np.arange(tables), len(bits)), table]).astype(np.uint64)
+            value = np.concatenate([sub.ravel(), sub[row, table[sub.size :].astype(np.int64)] ^ one[bit]])
+            keys = wordhash.mix(value * np.uint64(4096) + table, 81) & ~np.uint64(1)
+            keys[sub.size :] |= np.uint64(1)
+            who = np.concatenate([np.repeat(np.arange(len(bits)), tables), row])
             order = np.argsort(keys, kind="stable")
             keys, who = keys[order], who[order]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -169,7 +192,7 @@ def _scatter(model: Quantiser, buckets: int):
             near = (who != leader) & (_hamming(codes, who, leader) <= CLOSE)
             tied = np.unique(np.stack([leader[near], who[near]], axis=1), axis=0)
             keys, who = keys[~near], who[~near]
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            bucket = ((keys >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, who, bucket = keys[order], who[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -200,14 +223,16 @@ def _gather(words: int, most: int):
         who = np.concatenate([np.frombuffer(r["local"], dtype="<u4").astype(np.int64) + b for r, b in zip(held, base)])
         order = np.argsort(keys, kind="stable")
         keys, who = keys[order], who[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+        value = keys >> np.uint64(1)
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
         left, right, kept = [], [], 0
         ends = np.r_[starts[1:], len(keys)] if len(starts) else starts
-        long = ends - starts > RUN
+        own = ends - starts - np.add.reduceat((keys & np.uint64(1)).astype(np.int64), starts) if len(starts) else starts
+        long = own * (ends - starts) > RUN * RUN
         for i, j in zip(starts[long], ends[long]):
-            for leader, others in _canopies(codes, who[i:j], most):
+            for leader, others in _canopies(codes, np.unique(who[i:j]), most):
                 left.append(np.full(len(others), leader)), right.append(others)  # noqa: B018
-        for i, j in _pairs_inside(starts[~long], (ends - starts)[~long]):
+        for i, j in itertools.chain(_pairs_inside(starts[~long], own[~long]), _pairs_across(starts[~long], own[~long], (ends - starts)[~long])):
             a, b = who[i], who[j]
             ok = _hamming(codes, a, b) <= most
             left.append(a[ok]), right.append(b[ok])  # noqa: B018

@@ -195,6 +195,20 @@ def test_jaccard_against_brute_force(spark, monkeypatch, limits):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _components(rows)
 
 
+def test_many_texts_under_one_id(spark):
+    """Different texts that share an id, or have none, don't meet by it; their near copies are found all the same."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(40)) for _ in range(400)]
+    near = [t + " more" for t in texts[:50]]
+    rows = [(7 if i % 2 else None, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(near)] + [(7, texts[1])] * 20
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    linked = {r.doc_id: r.component_id for r in got if r.doc_id is not None and r.doc_id >= 100}
+    assert linked == {100 + i: 7 if i % 2 else 100 + i for i in range(50)}
+    plan = jaccard._with_texts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(bytearray(b"m"), (7, 1))], "mark binary, first struct<doc_id: bigint, digest: bigint>"), "doc_id", "text", "vector binary", lambda k, n: b"")
+    assert plan.count() == 0
+
+
 def test_jaccard_edges(spark, edge):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(edge).collect()), key=str)
     assert got == sorted([(1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 59996, 5), (6, 2, 1), (6, 2, 1), (None, 2, 1), (7, 1, 7), (8, 1, 7)], key=str)
@@ -306,6 +320,32 @@ def test_tables_find_pairs_off_the_origin(kind):
     assert min(met.mean(), met[: n // 3].mean()) >= 0.93
 
 
+def test_tables_meet_within_one_bit(monkeypatch):
+    """Codes meet exactly where a table's values differ in one bit at most."""
+    rng = np.random.default_rng(2)
+    n, tables, width = 120, 3, 8
+    bits = rng.integers(0, 2, (n, tables * width)).astype(bool)
+
+    class Model:
+        pass
+
+    model = Model()
+    model.tables, model.width, model.bits = tables, width, lambda v: bits
+    marks = [int(i).to_bytes(16, "little") for i in range(n)]
+    batch = itq.pa.RecordBatch.from_arrays([itq.pa.array(marks, itq.pa.binary()), itq.pa.array([[0.0]] * n)], names=["mark", "v"])
+    monkeypatch.setattr(itq, "CLOSE", -1)
+    packed = list(itq._scatter(model, 5)([batch]))
+    met = set()
+    monkeypatch.setattr(itq, "_hamming", lambda codes, a, b: met.update(zip(map(int, codes[a, 0]), map(int, codes[b, 0]))) or np.full(len(a), 99))
+    for rows in packed:
+        order = rows.sort_by("bucket") if hasattr(rows, "sort_by") else rows
+        list(itq._gather(1, 5)([order]))
+    codes = np.pad(np.packbits(bits, axis=1), ((0, 0), (0, 5))).view("<u8")[:, 0].tolist()
+    apart = (bits[:, None] ^ bits[None]).reshape(n, n, tables, width).sum(axis=3)
+    want = {frozenset((codes[i], codes[j])) for i in range(n) for j in range(i) if (apart[i, j] <= 1).any()}
+    assert {frozenset(p) for p in met} == want and len(want) > 50
+
+
 def test_long_runs_are_tied_in_linear_work(monkeypatch):
     """Every pair within the bound shares a component, and near copies take one leader."""
     rng = np.random.default_rng(3)
