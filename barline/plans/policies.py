@@ -83,9 +83,9 @@ def q_path_windows(spark, sf):
 
 
 def q_context_means(spark, sf):
-    """Context of past rows, with the trailing means of volume and range."""
-    df = bars.bars_15m(spark, sf).withColumns({"r": features.raw_return(), "range": F.col("high") - F.col("low")})
-    out = features.add_context(df, (24,), means={"volume": "flow", "range": "range"})
+    """Context of past rows, with the trailing means of the logarithms of volume and range."""
+    df = bars.bars_15m(spark, sf).withColumns({"r": features.raw_return(), "size": F.ln("volume"), "range": F.ln(F.col("high") - F.col("low") + 1)})
+    out = features.add_context(df, (24,), means={"size": "flow", "range": "range"})
     return round_to(out.select("sym", "ts", "ctx_flow_24", "ctx_range_24", "ctx_mom_24"), 5)
 
 
@@ -132,7 +132,7 @@ p AS (
   UNION ALL
   SELECT p.sym, p.fold, p.n - 1, fm.b[p.state + 1] FROM p JOIN fm ON fm.sym = p.sym AND fm.fold = p.fold AND fm.n = p.n WHERE p.n > 1)"""
 _RISK = f"(0.25 + 0.75 * {_SIGMOID.format(x='((abs(ret) * 100 + 0.2) / 2 - 0.3) * 4')})"
-_C15 = f"WITH {BARS_15M}, c0 AS (SELECT *, ln(close / lag(close) OVER {W}) AS r, high - low AS x FROM bars15), c1 AS (SELECT *, sum(r) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM c0), c2 AS (SELECT sym, ts, {rolling('avg(volume) OVER @', 24, 8, 'volume')} AS f, {rolling('avg(x) OVER @', 24, 8)} AS g, c - lag(c, 24) OVER {W} AS m FROM c1)"
+_C15 = f"WITH {BARS_15M}, c0 AS (SELECT *, ln(close / lag(close) OVER {W}) AS r, ln(high - low + 1) AS x, ln(volume) AS y FROM bars15), c1 AS (SELECT *, sum(r) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM c0), c2 AS (SELECT sym, ts, {rolling('avg(y) OVER @', 24, 8, 'y')} AS f, {rolling('avg(x) OVER @', 24, 8)} AS g, c - lag(c, 24) OVER {W} AS m FROM c1)"
 _SERIES = {"mark_close": ("avg(l_extendedprice)", True), "funding_rate": ("avg(l_discount) / 100", False), "open_interest": ("sum(l_quantity)", True), "flow": ("avg(l_tax)", True)}
 _ALL = ["open_ret", "high_ret", "low_ret", "close_ret", "volume_ret", "rsi", "macd", "macd_signal", "atr_norm_ret", "atr", "rv_2", "rv_4", "funding_rate", "oi_change", "basis", "basis_mom", "basis_abs", "flow", "flow_delta1", "flow_abs", "flow_mean_12", "flow_std_12", "flow_z_12", "flow_impulse_12"]
 _SIDES = ", ".join(f"side_{c} AS (SELECT l_shipdate AS ts, {x} AS {c} FROM lineitem GROUP BY 1)" for c, (x, _) in _SERIES.items())
