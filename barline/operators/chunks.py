@@ -24,6 +24,7 @@ NumPy columns in time order.  An empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -256,12 +257,12 @@ def stateful(df: DataFrame, run: Callable, inputs: Sequence[str], outputs: Seque
     keys, schema = [*by, AT], "start array<double>, after array<double>"
     state_of = lambda x: None if x is None else tuple(map(float, x))
     note = lambda *columns: {"start": None, "after": list(map(float, run(None, *columns)[1]))}
-    known = scratch.table(_noted(rows, note, inputs, schema, by, ts), "known")
+    known = scratch.table(_noted(rows, note, inputs, schema, by, ts).withColumn("turn", F.lit(0)), "known")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         """The start that each chunk has by what is known, and whether it has run from there."""
         ran, latest = {}, {}
-        for x in group.itertuples():  # later runs stand below earlier ones, by ``turn``
+        for x in group.sort_values("turn", kind="stable").itertuples():
             ran[getattr(x, "at"), state_of(x.start)] = latest[getattr(x, "at")] = state_of(x.after)
         start, out = None, []
         for at in sorted(latest):
@@ -271,7 +272,7 @@ def stateful(df: DataFrame, run: Callable, inputs: Sequence[str], outputs: Seque
         made = pd.DataFrame(out, columns=[AT, "start", "ready"])
         return made.assign(**{k: group[k].iloc[0] for k in by})[[*keys, "start", "ready"]]
 
-    while True:
+    for turn in itertools.count(1):
         # a walk over the group's chunks, a few numbers each
         plan = known.withColumnRenamed(AT, "at").groupBy(*by).applyInPandas(walk, f"{_kinds(known, keys)}, start array<double>, ready boolean")
         plan = scratch.table(plan, "plan")
@@ -281,7 +282,7 @@ def stateful(df: DataFrame, run: Callable, inputs: Sequence[str], outputs: Seque
         some = rows.join(todo.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keys))), [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)], "left_semi")
         again = lambda at, *columns: {"start": at["start"], "after": list(map(float, run(state_of(at["start"]), *columns)[1]))}
         more = _noted(some, again, inputs, schema, by, ts, todo)
-        known = scratch.table(known.union(more), "known")
+        known = scratch.table(known.union(more.withColumn("turn", F.lit(turn))), "known")
     return _finished(rows, plan, lambda at, *columns: run(state_of(at["start"]), *columns)[0], inputs, outputs, by, ts)
 
 
