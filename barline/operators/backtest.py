@@ -102,6 +102,13 @@ def full(rows: DataFrame, by=SYM, annual: int = ANNUAL, unit: float = UNIT) -> D
     })
 
 
+def local_drawdown(rows: DataFrame, pnl: str = "pnl", into: str = "local_dd", by=SYM) -> DataFrame:
+    """How far equity, from these returns' start, lies below its highest so far, 0 at a peak."""
+    equity = rows.withColumn("_e", F.exp(F.sum(pnl).over(running(by))))
+    below = 1 - F.col("_e") / F.greatest(F.max("_e").over(running(by)), F.lit(1e-12))
+    return equity.withColumn(into, F.greatest(below, F.lit(0.0))).drop("_e")
+
+
 def attribution(rows: DataFrame, by=SYM, unit: float = UNIT) -> DataFrame:
     """Gross pnl of long and short positions, costs and what is left."""
     gross = F.col("pos") * F.col("ret")

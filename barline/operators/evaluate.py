@@ -230,6 +230,13 @@ def evenly_spaced(df: DataFrame, n: int, by=SYM) -> DataFrame:
     return row.where(taken).drop("_i", "_m")
 
 
+def distinct_values(df: DataFrame, value: str, by=SYM, order: str = "ts", sort: bool = False) -> DataFrame:
+    """(by, values): each group's distinct values, in the order in which they first come up, or sorted; nulls left out."""
+    firsts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(order).alias("_first"))
+    key = F.struct(F.col(value).alias("v")) if sort else F.struct("_first", F.col(value).alias("v"))
+    return firsts.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(key)), lambda s: s["v"]).alias("values"))
+
+
 def running_best(df: DataFrame, score: str, patience: int, by=SYM) -> DataFrame:
     """Steps up to the stop (no new best for ``patience`` steps), each with the best step so far."""
     best = F.max(F.struct(F.col(score).alias("s"), (-F.col("step")).alias("k"))).over(ordered(by, "step").rowsBetween(Window.unboundedPreceding, 0))

@@ -6,7 +6,7 @@ single sort serves a whole feature table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.frames import SYM, at_least, ordered, running, trailing
@@ -111,9 +111,45 @@ def add_funding_context(df: DataFrame, windows: tuple[int, ...], name: str = "fu
     return df.withColumns(made).withColumns({f"f{k}": lag(F.col(k), 1, by) for k in made}).drop(*made)
 
 
+#: Rows of a window from which trailing moments come from prefix sums: a frame is gone through again for each row.
+LONG = 256
+
+
+def zscores(df: DataFrame, names: list[str], n: int, by=SYM, long: int = LONG) -> DataFrame:
+    """(by, ts, names): ``zscore`` of each column.
+
+    Long windows take the same work for each row whatever their length: rows
+    are numbered and cut into blocks of n, inside which values less their
+    group's mean, their squares and their number are summed up; a window is
+    what the block so far holds and what the block before holds beyond the row
+    n rows back.
+    """
+    if n < long:
+        return df.select(*by, "ts", *(zscore(c, n, by).alias(c) for c in names))
+    place = (F.row_number().over(ordered(by)) - 1).alias("_i")
+    level = {f"_x{k}": F.col(c) - F.avg(c).over(Window.partitionBy(*by)) for k, c in enumerate(names)}
+    rows = df.select(*by, "ts", *(F.col(c).cast("double").alias(c) for c in names), place).withColumns({**level, "_block": F.floor(F.col("_i") / n)})
+    inside = Window.partitionBy(*by, "_block")
+    upto = inside.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"s": lambda x: F.coalesce(x, F.lit(0.0)), "q": lambda x: F.coalesce(x * x, F.lit(0.0)), "n": lambda x: F.when(x.isNull(), 0).otherwise(1)}
+    terms = {f"{p}{k}": f(F.col(f"_x{k}")) for k in range(len(names)) for p, f in parts.items()}
+    summed = rows.withColumns({f"_{t}": x for t, x in terms.items()})
+    summed = summed.withColumns({f"_p{t}": F.sum(f"_{t}").over(upto) for t in terms} | {f"_t{t}": F.sum(f"_{t}").over(inside) for t in terms})
+    back = lambda t: F.coalesce(F.lag(F.col(f"_t{t}") - F.col(f"_p{t}"), n).over(ordered(by)), F.lit(0))
+    summed = summed.withColumns({f"_w{t}": F.col(f"_p{t}") + back(t) for t in terms})
+
+    def score(k: int) -> Column:
+        s, q, count = (F.col(f"_w{p}{k}") for p in "sqn")
+        mean = F.try_divide(s, count)
+        dev = F.sqrt(F.greatest(F.try_divide(q - s * mean, count - 1), F.lit(0.0)))
+        return F.when((count >= max(n // 4, 1)) & (count > 1), (F.col(f"_x{k}") - mean) / (dev + EPS))
+
+    return summed.select(*by, "ts", *(score(k).alias(c) for k, c in enumerate(names)))
+
+
 def scored(df: DataFrame, names: list[str], z: int, by=SYM) -> DataFrame:
     """Trailing z-scores of the columns; rows with a null dropped."""
-    return df.select(*by, "ts", *(zscore(c, z, by).alias(c) for c in names)).na.drop("any")
+    return zscores(df, names, z, by).na.drop("any")
 
 
 def feature_matrix(bars: DataFrame, z: int, rv: tuple[int, ...] = (2, 4), by=SYM) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from calendar import monthrange
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,24 @@ def parse_folds(text: str) -> list[int]:
     return list(dict.fromkeys(out))
 
 
+def select(folds: DataFrame, wanted: str | Sequence[int] | None = None) -> DataFrame:
+    """The folds (rows with ``fold``) that a list or a text like '0-2,5' names, all for None.
+
+    ValueError if it names none, or one that isn't there: folds are few, and
+    the missing ones come to the driver.
+    """
+    if wanted is None:
+        return folds
+    numbers = sorted(set(parse_folds(wanted) if isinstance(wanted, str) else wanted))
+    if not numbers:
+        raise ValueError("no fold is named")
+    asked = folds.sparkSession.createDataFrame([(k,) for k in numbers], "fold int")
+    lacking = sorted(r.fold for r in missing(asked, folds.select("fold").distinct()).collect())
+    if lacking:
+        raise ValueError(f"folds {lacking} aren't there")
+    return folds.join(F.broadcast(asked), "fold", "left_semi")  # a row for each fold
+
+
 def parse_run(text: str, modes: tuple[str, ...] = ("bc", "ac"), file: str = "ac.pt") -> dict[str, str]:
     """'label=dir@file:mode' -> its four parts; the mode defaults to the last of ``modes``, the file to ``file``.
 

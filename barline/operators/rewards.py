@@ -30,6 +30,12 @@ def lambda_returns(rewards: Column, values: Column, last: Column, gamma: float =
     return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
+def net_returns(steps: DataFrame, by=("episode",), unit: float = UNIT, bench: float | None = None, into: str = "net") -> DataFrame:
+    """Returns of each sequence's positions from a flat start, less costs, and less the benchmark's if it is given."""
+    traded = F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(Window.partitionBy(*by).orderBy("step")))
+    return steps.withColumn(into, (F.col("pos") - (bench or 0.0)) * F.col("ret") - unit * traded)
+
+
 def rollout_rewards(steps: DataFrame, by=("episode",), bench: float = 1.0, unit: float = UNIT, dd: float = 0.5, leverage: float = 0.1) -> DataFrame:
     """Excess over the benchmark less costs, growing drawdown and leverage, by step of an episode."""
     w = Window.partitionBy(*by).orderBy("step")

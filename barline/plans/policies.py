@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.frames import clip, ordered, round_to
-from barline.operators import align, boosting, chunks, features, folds, labels, regimes, rollout, teachers
+from barline.operators import align, backtest, boosting, chunks, evaluate, features, folds, labels, regimes, rewards, rollout, teachers
 from barline.plans.market import _ATR, _LR, _RSI
 from barline.plans.paths import _REC, W, _targets, rows
 from barline.plans.teachers import _SIGMOID, chain_sql
-from barline.plans.views import BARS_1D, BARS_15M, EXPANDED, FOLDS, RETS, ROWS, rolling
+from barline.plans.views import BARS_1D, BARS_15M, EXPANDED, FOLDS, PNLS, RETS, ROWS, UNIT, rolling
 from barline.sources import bars, bundles
 
 #: The executor of q_rollout.
@@ -104,6 +104,32 @@ def q_composite(spark, sf):
     return round_to(features.composite(df, Z, RV, side=("flow",), windows=(SIDE,)), 3)
 
 
+def q_local_drawdown(spark, sf):
+    """Drawdowns of each symbol's pnl, as positive depths."""
+    return round_to(backtest.local_drawdown(backtest.with_pnl(rows(spark, sf))).select("sym", "ts", "local_dd"))
+
+
+def q_sequence_net(spark, sf):
+    """Net returns of positions in sequences of 16 bars, each from flat, beyond the benchmark's."""
+    n = F.row_number().over(ordered()) - 1
+    steps = rows(spark, sf).withColumns({"episode": F.floor(n / 16), "step": n % 16})
+    return round_to(rewards.net_returns(steps, ("sym", "episode"), bench=1.0).select("sym", "ts", "episode", "step", "net"), 8)
+
+
+def q_selected_folds(spark, sf):
+    """Rows of the folds that a text names, by role."""
+    rets = bars.returns_1d(spark, sf)
+    chosen = folds.select(folds.bar_splits(rets), "0-1,3,1")
+    return folds.expand(rets, chosen).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_first_seen(spark, sf):
+    """Each user's kinds of event, in the order in which they first came up, and sorted."""
+    df = bars.read(spark, sf, "events")
+    first = evaluate.distinct_values(df, "event_type", ("user_id",))
+    return first.join(evaluate.distinct_values(df, "event_type", ("user_id",), sort=True).withColumnRenamed("values", "kinds"), "user_id").select("user_id", F.array_join("values", ",").alias("seen"), F.array_join("kinds", ",").alias("kinds"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _K = CONTROL
@@ -164,4 +190,8 @@ ORACLES = {
     "q_path_windows": f"{ROWS} SELECT sym, ts, pos AS start, round(ret + lead(ret, 1) OVER {W} + lead(ret, 2) OVER {W} + lead(ret, 3) OVER {W} + lead(ret, 4) OVER {W}, 6) AS total, lead(pos, 4) OVER {W} AS last, 5 AS n FROM rows QUALIFY lead(pos, 4) OVER {W} IS NOT NULL",
     "q_context_means": f"{_C15} SELECT sym, ts, round(lag(f) OVER {W}, 5) AS ctx_flow_24, round(lag(g) OVER {W}, 5) AS ctx_range_24, round(lag(m) OVER {W}, 5) AS ctx_mom_24 FROM c2",
     "q_composite": _COMPOSITE,
+    "q_local_drawdown": f"{PNLS}, e AS (SELECT sym, ts, exp(sum(pnl) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS e FROM pnl) SELECT sym, ts, round(greatest(1 - e / max(e) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING), 0), 6) AS local_dd FROM e",
+    "q_sequence_net": f"{ROWS}, s AS (SELECT *, row_number() OVER {W} - 1 AS n FROM rows) SELECT sym, ts, n // 16 AS episode, (n % 16)::INT AS step, round((pos - 1) * ret - {UNIT} * abs(pos - CASE WHEN n % 16 = 0 THEN 0 ELSE lag(pos) OVER {W} END), 8) AS net FROM s",
+    "q_selected_folds": f"{RETS}, {FOLDS}, {EXPANDED} SELECT fold, role, count(*) AS n FROM fr WHERE fold IN (0, 1, 3) GROUP BY ALL",
+    "q_first_seen": "WITH f AS (SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY t, event_type) AS seen, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM f GROUP BY user_id",
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barline.operators import boosting, labels, overfit, regimes, rollout, teachers
+from barline.operators import boosting, evaluate, folds, labels, overfit, regimes, rollout, teachers
 from barline.sources import bundles
 
 # --- rollout
@@ -186,6 +186,21 @@ def test_vector_signal(spark):
     assert gate.a == pytest.approx(1.0) and gate.b == pytest.approx(0.6)
 
 
+def test_folds_are_selected(spark):
+    table = spark.createDataFrame([(k, 10 * k) for k in range(5)], "fold int, x int")
+    assert sorted(r.x for r in folds.select(table, "0-1,3,1").collect()) == [0, 10, 30]
+    assert folds.select(table).count() == 5 and folds.select(table, [4]).first().x == 40
+    for wrong in ("", "3-6", [9]):
+        with pytest.raises(ValueError):
+            folds.select(table, wrong)
+
+
+def test_distinct_values(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "z"), ("a", 2, "x"), ("a", 0, None), ("b", 5, None)], "sym string, ts int, v string")
+    assert [(r.sym, r["values"]) for r in evaluate.distinct_values(df, "v").collect()] == [("a", ["z", "x"])]
+    assert evaluate.distinct_values(df, "v", sort=True).first()["values"] == ["x", "z"]
+
+
 def test_path_windows(spark):
     df = spark.createDataFrame([("a", t, None if t == 1 else float(t), 10.0 + t) for t in range(4)] + [("b", 0, 1.0, 1.0)], "sym string, ts int, x double, pos double")
     got = labels.path_windows(df, ("x",), 3).orderBy("ts").collect()
