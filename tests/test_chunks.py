@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barline.operators import chunks, scans
 
-WIDTHS = (6, 1000)
+WIDTHS = (13, 1000)
 
 
 @pytest.fixture(scope="module")
