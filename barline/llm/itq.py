@@ -15,7 +15,7 @@
     pair is at a wider angle; the tables are planned for the widest angle that
     it can have at any vector of the sample, or the mean is not subtracted
     where that would take more than ``WIDER`` times the tables.
-    Pairs that meet are compared by whole codes; in a key with more than RUN
+    Pairs that meet are compared by whole codes, of CODE bits or more; in a key with more than RUN
     codes, all codes within twice the bound of a leader are tied to it, which
     takes in every pair of the codes within the bound, and these are done.
     After LEADERS leaders what is left of the key is tied together.
@@ -54,6 +54,8 @@ FEW = 32
 SPREAD = 3.0
 #: Classes that a table has for each of its values.
 LOAD = 16
+#: Bits of a code at least, beyond those that tables use: what tells random pairs from near ones.
+CODE = 256
 #: Bits within which a chunk's codes stand for each other.
 CLOSE = 4
 #: Tables for vectors about their mean, at most, for each that they need about the origin.
@@ -75,13 +77,13 @@ class Quantiser:
         v = centred @ axes
         rng = np.random.default_rng(seed)
         d, blocks = v.shape[1], []
-        for _ in range(math.ceil(tables * width / v.shape[1])):
+        for _ in range(math.ceil(code_bits(tables, width) / v.shape[1])):
             r, _ = np.linalg.qr(rng.standard_normal((d, d)))
             for _ in range(rounds):
                 u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
                 r = (u @ w).T
             blocks.append(axes @ r)
-        self.project = np.concatenate(blocks, axis=1)[:, : tables * width]
+        self.project = np.concatenate(blocks, axis=1)[:, : code_bits(tables, width)]
         self.tables, self.width = tables, width
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
@@ -89,6 +91,10 @@ class Quantiser:
         return (unit - self.mean) @ self.project >= 0
 
 
+def code_bits(tables: int, width: int) -> int:
+    return max(tables * width, CODE)
+
+
 def plan_tables(classes: int, threshold: float, recall: float = 0.97) -> tuple[int, int, int]:
     """(tables, bits in each, differing bits allowed in all)."""
     width = int(min(max(math.ceil(math.log2(max(classes / LOAD, 2))), 8), 24))
@@ -96,7 +102,7 @@ def plan_tables(classes: int, threshold: float, recall: float = 0.97) -> tuple[i
     p = math.acos(threshold) / math.pi
     meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
-    bits = tables * width
+    bits = code_bits(tables, width)
     return tables, width, math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
@@ -176,7 +182,7 @@ def _scatter(model: Quantiser, buckets: int):
             bits = model.bits(vectors)
             codes = np.packbits(bits, axis=1)
             codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view("<u8")
-            sub = (bits.reshape(len(bits), tables, width) * (1 << np.arange(width, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+            sub = (bits[:, : tables * width].reshape(len(bits), tables, width) * (1 << np.arange(width, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
             one = np.uint64(1) << np.arange(width, dtype=np.uint64)
             row, table, bit = np.nonzero(sub[:, :, None] & one)
             # a value's own key is even, those under which it looks are odd
@@ -417,7 +423,7 @@ def _of_length(classes: DataFrame, dims: int, count: int, threshold: float, samp
     learnt = picked.flatten().to_numpy().reshape(-1, dims)
     tables, width, most, centre = plan(learnt, count, threshold)
     model = Quantiser(learnt, tables, width, centre=centre)
-    words = (tables * width + 63) // 64
+    words = (code_bits(tables, width) + 63) // 64
     buckets = int(max(12, min(count * tables * width // 500_000, 1 << 20)))
     packed = classes.select("mark", "v").mapInArrow(_scatter(model, buckets), "bucket int, points binary, keys binary, local binary, ties binary")
     near = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(words, most + 2 * CLOSE), "a binary, b binary").distinct()
